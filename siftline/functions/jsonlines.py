@@ -1,4 +1,7 @@
-"""JSON lines: strict object check and first-usable-key lookups on a variant."""
+"""JSON lines: strict object check and first-usable-key lookups on a variant.
+
+Functions take the name of a column and return an expression over it.
+"""
 
 from __future__ import annotations
 
@@ -11,72 +14,58 @@ TIME_KEYS = ["time", "timestamp", "ts", "@timestamp"]
 MESSAGE_KEYS = ["msg", "message", "MESSAGE"]
 RESERVED = LEVEL_KEYS + TIME_KEYS + MESSAGE_KEYS
 
-# JSON texts that count as absent.
-_EMPTY = ["null", "false", '""', "[]", "{}"]
-_ZERO = r"^-?0(?:[.]0+)?(?:[eE][+-]?[0-9]+)?$"
-
-
-def _opens_object(raw: Column) -> Column:
-    return F.startswith(F.ltrim(raw, F.lit(" \t\r\n")), F.lit("{"))
+# JSON texts that count as absent (null, false, empty, any zero).
+ABSENT = r'^(?:null|false|""|\[\]|\{\}|-?0(?:[.]0+)?(?:[eE][+-]?[0-9]+)?)$'
 
 
-def document(raw: Column) -> Column:
-    """The line as a one-element variant array, NULL unless it is exactly one JSON object.
+def document(raw: str) -> Column:
+    """The line as the first element of a variant array, NULL unless it is exactly one JSON object.
 
     The parser accepts text after a complete value. A hash of the line is
     therefore appended as a second element: it can only come out at position 1
     when everything before it was a single value.
     """
-    mark = F.xxhash64(raw)
-    parsed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), mark.cast("string"), F.lit("]")))
-    closed = F.try_variant_get(parsed, "$[1]", "bigint") == mark
-    return F.when(_opens_object(raw), F.when(closed, parsed))
-
-
-def is_object(raw: Column) -> Column:
-    return document(raw).isNotNull()
-
-
-def _field(doc: Column, key: str, kind: str) -> Column:
-    return F.try_variant_get(doc, f'$[0]["{key}"]', kind)
-
-
-def _text(doc: Column, key: str) -> Column:
-    return _field(doc, key, "string")
+    return F.expr(
+        f"""
+        CASE WHEN startswith(trim(LEADING ' \\t\\r\\n' FROM {raw}), '{{') THEN
+          try_element_at(filter(
+            array(try_parse_json('[' || {raw} || ',' || xxhash64({raw}) || ']')),
+            v -> try_variant_get(v, '$[1]', 'bigint') = xxhash64({raw})
+          ), 1)
+        END"""
+    )
 
 
-def usable(doc: Column, key: str) -> Column:
-    """Text of a key, NULL when the key is missing, null, false, zero or empty."""
-    js = F.to_json(_field(doc, key, "variant"))
-    absent = js.isin(_EMPTY) | js.rlike(_ZERO)
-    return F.when(js.isNotNull() & ~absent, _text(doc, key))
+def _field(doc: str, key: str, kind: str = "variant") -> str:
+    return f"try_variant_get({doc}, '$[0][\"{key}\"]', '{kind}')"
 
 
-def _first_usable(doc: Column, keys: list[str]) -> Column:
-    return F.coalesce(*[usable(doc, k) for k in keys])
+def _first_usable(doc: str, keys: list[str]) -> str:
+    """Text of the first key that is present and neither null, false, zero nor empty."""
+    fields = ", ".join(_field(doc, k) for k in keys)
+    return f"CAST(try_element_at(filter(array({fields}), v -> NOT to_json(v) RLIKE r'{ABSENT}'), 1) AS STRING)"
 
 
-def level(doc: Column) -> Column:
-    return F.upper(_first_usable(doc, LEVEL_KEYS))
+def level(doc: str) -> Column:
+    return F.expr(f"upper({_first_usable(doc, LEVEL_KEYS)})")
 
 
-def stamp(doc: Column) -> Column:
-    return _first_usable(doc, TIME_KEYS)
+def stamp(doc: str) -> Column:
+    return F.expr(_first_usable(doc, TIME_KEYS))
 
 
-def message(doc: Column) -> Column:
+def message(doc: str) -> Column:
     """First usable message key; a present but unusable last key keeps its text; else ''.
 
     NULL only for lines that are not JSON objects.
     """
-    last = _text(doc, MESSAGE_KEYS[-1])
-    return F.when(doc.isNotNull(), F.coalesce(_first_usable(doc, MESSAGE_KEYS), last, F.lit("")))
+    last = _field(doc, MESSAGE_KEYS[-1], "string")
+    return F.expr(f"CASE WHEN {doc} IS NOT NULL THEN coalesce({_first_usable(doc, MESSAGE_KEYS)}, {last}, '') END")
 
 
-def extras(doc: Column) -> Column:
+def extras(doc: str) -> Column:
     """All other keys as text; nested values stay JSON text; an unparsed line gives an empty map."""
-    fields = F.try_variant_get(doc, "$[0]", "map<string,variant>")
-    kept = F.map_filter(fields, lambda k, _: ~k.isin(RESERVED))
-    return F.coalesce(
-        F.transform_values(kept, lambda _, v: v.try_cast("string")), F.create_map().cast("map<string,string>")
-    )
+    fields = f"try_variant_get({doc}, '$[0]', 'map<string,variant>')"
+    reserved = ", ".join(f"'{k}'" for k in RESERVED)
+    kept = f"map_filter({fields}, (k, v) -> k NOT IN ({reserved}))"
+    return F.expr(f"coalesce(transform_values({kept}, (k, v) -> CAST(v AS STRING)), CAST(map() AS MAP<STRING, STRING>))")

@@ -2,7 +2,7 @@
 
 A key is everything up to the next ``=``, a bare value ends at the next blank,
 a quoted one at the next quote or the end of the line. The last pair of a key
-wins.
+wins. Functions take the name of a column and return an expression over it.
 """
 
 from __future__ import annotations
@@ -16,65 +16,52 @@ TIME_KEYS = ["time", "ts", "timestamp"]
 MESSAGE_KEYS = ["msg", "message"]
 RESERVED = LEVEL_KEYS + TIME_KEYS + MESSAGE_KEYS
 
-_PAIR = r' *[^=]*=(?:"[^"]*(?:"|\z)|[^ ]*)'
+# Shape of a pair, and of a pair as counted by format detection.
+PAIR = r' *[^=]*=(?:"[^"]*(?:"|\z)|[^ ]*)'
+COUNTED_PAIR = r'(?U)(?:^|\s)\w+=(?:"[^"]*"|\S+)'
 
+_KEY = "substring_index(p, '=', 1)"
+_VALUE = """CASE WHEN substr(p, instr(p, '=') + 1) LIKE '"%' THEN split_part(substr(p, instr(p, '=') + 1), '"', 2)
+    ELSE substr(p, instr(p, '=') + 1) END"""
 
-def pairs(raw: Column) -> Column:
-    """Array of ``key=value`` texts in line order."""
-    return F.transform(F.regexp_extract_all(raw, F.lit(_PAIR), F.lit(0)), lambda p: F.ltrim(p))
-
-
-def _unquote(value: Column) -> Column:
-    return F.when(F.startswith(value, F.lit('"')), F.split_part(value, F.lit('"'), F.lit(2))).otherwise(value)
-
-
-def _last_value(pair_list: Column, key: str) -> Column:
-    """Value of the last pair of ``key``, NULL when missing or empty."""
-    head = key + "="
-    same = F.filter(pair_list, lambda p: F.startswith(p, F.lit(head)))
-    text = F.substring(F.try_element_at(same, F.lit(-1)), len(head) + 1, 2147483647)
-    return F.nullif(_unquote(text), F.lit(""))
 
-
-def _first_usable(pair_list: Column, keys: list[str]) -> Column:
-    return F.coalesce(*[_last_value(pair_list, k) for k in keys])
-
-
-def level(pair_list: Column) -> Column:
-    return F.upper(_first_usable(pair_list, LEVEL_KEYS))
+def pairs(raw: str) -> Column:
+    """Array of ``key=value`` texts in line order."""
+    return F.expr(f"transform(regexp_extract_all({raw}, r'{PAIR}', 0), p -> ltrim(p))")
 
 
-def stamp(pair_list: Column) -> Column:
-    return _first_usable(pair_list, TIME_KEYS)
+def _first_usable(pair_list: str, keys: list[str]) -> str:
+    """Value of the first key whose last pair has a value."""
+    last = ", ".join(f"try_element_at(filter({pair_list}, p -> startswith(p, '{k}=')), -1)" for k in keys)
+    return f"try_element_at(filter(transform(array({last}), p -> {_VALUE}), v -> v <> ''), 1)"
 
 
-def message(pair_list: Column) -> Column:
-    return F.coalesce(_first_usable(pair_list, MESSAGE_KEYS), F.lit(""))
+def level(pair_list: str) -> Column:
+    return F.expr(f"upper({_first_usable(pair_list, LEVEL_KEYS)})")
 
 
-def _key(pair: Column) -> Column:
-    return F.split_part(pair, F.lit("="), F.lit(1))
+def stamp(pair_list: str) -> Column:
+    return F.expr(_first_usable(pair_list, TIME_KEYS))
 
 
-def _value(pair: Column) -> Column:
-    return _unquote(F.substr(pair, F.instr(pair, F.lit("=")) + 1))
+def message(pair_list: str) -> Column:
+    return F.expr(f"coalesce({_first_usable(pair_list, MESSAGE_KEYS)}, '')")
 
 
-def extras(pair_list: Column) -> Column:
-    """All other keys as a map; empty values are kept as ''."""
-    other = F.filter(pair_list, lambda p: ~_key(p).isin(RESERVED))
-    names = F.array_distinct(F.transform(other, _key))
-    values = F.transform(
-        names,
-        lambda name: _value(F.element_at(F.filter(other, lambda p: _key(p) == name), -1)),
+def other_pairs(pair_list: str) -> Column:
+    """Key and value of the pairs that are not level, time or message."""
+    reserved = ", ".join(f"'{k}'" for k in RESERVED)
+    return F.expr(
+        f"transform(filter({pair_list}, p -> {_KEY} NOT IN ({reserved})), p -> struct({_KEY} AS k, {_VALUE} AS v))"
     )
-    return F.map_from_arrays(names, values)
 
 
-# Fixed value: shape of a pair as counted by format detection.
-_COUNTED_PAIR = r'(?U)(?:^|\s)\w+=(?:"[^"]*"|\S+)'
+def extras(others: str) -> Column:
+    """A map of the ``other_pairs`` column; the last pair of a key wins, empty values are kept as ''."""
+    repeated = f"exists(slice({others}, i + 2, size({others})), q -> q.k = p.k)"
+    return F.expr(f"map_from_entries(filter({others}, (p, i) -> NOT {repeated}))")
 
 
-def looks_like(text: Column) -> Column:
+def looks_like(text: str) -> Column:
     """True for text with at least two separate pairs."""
-    return F.regexp_count(text, F.lit(_COUNTED_PAIR)) >= 2
+    return F.expr(f"regexp_count({text}, r'{COUNTED_PAIR}') >= 2")

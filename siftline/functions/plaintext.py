@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Level words, the timestamp shape looked for inside a line, and
+from siftline.functions.timestamps import iso_clock
+
+# Level words (WARNING is reported as WARN), the timestamp shape looked for inside a line, and
 # the characters dropped between a level word and the message.
-LEVEL_WORDS = r"CRITICAL|FATAL|ERROR|WARN(?:ING)?|INFO|DEBUG|TRACE"
+LEVEL_WORDS = r"CRITICAL|FATAL|ERROR|WARN|INFO|DEBUG|TRACE"
+LEVEL = rf"\b({LEVEL_WORDS})(?:(?<=WARN)ING)?\b"
 TIMESTAMP_SHAPE = r"([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)"
 MESSAGE_LEAD = r"[ :|-]*"
 
@@ -25,12 +28,11 @@ _PIECES = {
 
 
 def level(raw: Column) -> Column:
-    word = F.upper(F.regexp_extract(raw, rf"(?iU)\b({LEVEL_WORDS})\b", 1))
-    return F.when(word == "WARNING", F.lit("WARN")).otherwise(F.nullif(word, F.lit("")))
+    return F.nullif(F.upper(F.regexp_extract(raw, f"(?iU){LEVEL}", 1)), F.lit(""))
 
 
 def message(raw: Column) -> Column:
-    rest = F.regexp_extract(raw, rf"(?iUs)^.*?\b(?:{LEVEL_WORDS})\b{MESSAGE_LEAD}(.*)\z", 1)
+    rest = F.regexp_extract(raw, rf"(?iUs)^.*?{LEVEL}{MESSAGE_LEAD}(.*)\z", 2)
     return F.coalesce(F.nullif(rest, F.lit("")), raw)
 
 
@@ -39,6 +41,11 @@ def stamp(raw: Column) -> Column:
     return F.regexp_extract(raw, TIMESTAMP_SHAPE, 1)
 
 
+def clock(stamp_text: Column) -> Column:
+    """Wall clock of a ``stamp``. It already has one of two exact shapes, so nothing else is tried."""
+    return iso_clock(F.translate(stamp_text, ",", "."))
+
+
 def may_have_level(raw: Column, levels: list[str]) -> Column:
     """False only for lines that cannot carry one of ``levels``; spares them the regex."""
     pieces = sorted({_PIECES[lv.upper()] for lv in levels if lv.upper() in _PIECES})

@@ -45,13 +45,14 @@ def _tidy(text: Column) -> Column:
     return F.translate(F.btrim(text, F.lit(_BLANKS)), ",", ".")
 
 
-def _iso_clock(t: Column) -> Column:
-    clock = F.nullif(F.regexp_extract(t, _ISO, 1), F.lit(""))
-    # The second form only runs for a lower-case "t" or several blanks.
-    return F.coalesce(
-        clock.try_cast("timestamp_ntz"),
-        F.regexp_replace(clock, r"[Tt]|\s+", "T").try_cast("timestamp_ntz"),
-    )
+def iso_clock(t: Column) -> Column:
+    """Wall clock of a tidy text with one ``T`` or blank between date and time."""
+    return F.regexp_extract(t, _ISO, 1).try_cast("timestamp_ntz")
+
+
+def _loose_clock(t: Column) -> Column:
+    """The same with a lower-case ``t`` or several blanks."""
+    return F.regexp_replace(F.regexp_extract(t, _ISO, 1), r"[Tt]|\s+", "T").try_cast("timestamp_ntz")
 
 
 def _access_clock(t: Column) -> Column:
@@ -62,13 +63,13 @@ def _access_clock(t: Column) -> Column:
     text = F.concat_ws(
         "-", part(3), month.cast("string"), F.concat(part(1), F.lit("T"), F.concat_ws(":", part(4), part(5), part(6)))
     )
-    return F.when(t.rlike(_ACCESS), text.try_cast("timestamp_ntz"))
+    return text.try_cast("timestamp_ntz")
 
 
 def wall_clock(text: Column) -> Column:
     """Wall clock (TIMESTAMP_NTZ) of a timestamp text, NULL when it has no accepted shape."""
     t = _tidy(text)
-    return F.when(F.contains(t, F.lit("/")), _access_clock(t)).otherwise(_iso_clock(t))
+    return F.coalesce(iso_clock(t), F.when(t.rlike(_ACCESS), _access_clock(t)).otherwise(_loose_clock(t)))
 
 
 def utc_offset(text: Column) -> Column:

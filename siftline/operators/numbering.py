@@ -13,7 +13,7 @@ CHUNK_ROWS = 1 << 18
 
 
 def chunk_of(position: Column, chunk_rows: int) -> Column:
-    return F.floor(position / F.lit(chunk_rows))
+    return F.call_function("div", position, F.lit(chunk_rows))
 
 
 def offsets(counts: DataFrame, keys: Sequence[str], chunk: str, value: str, into: str) -> DataFrame:

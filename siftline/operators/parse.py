@@ -27,10 +27,10 @@ def format_shares(sample: DataFrame, keys: Sequence[str] = (), raw: str = "raw")
     """
     prepare(sample.sparkSession)
     text = F.regexp_replace(F.col(raw), r"(?U)^\s+|\s+$", "")
-    is_json = jsonlines.is_object(F.col("_text"))
-    is_logfmt = ~F.col("_json") & logfmt.looks_like(F.col("_text"))
+    is_json = jsonlines.document("_text").isNotNull()
+    is_logfmt = ~F.col("_json") & logfmt.looks_like("_text")
     judged = (
-        sample.select(*keys, text.alias("_text"))
+        _once(sample.select(*keys, raw), "_text", text)
         .withColumn("_json", is_json)
         .withColumn("_logfmt", is_logfmt)
     )
@@ -57,27 +57,14 @@ def detect_per_key(lines: DataFrame, keys: Sequence[str], order: str = "lineno",
     return format_shares(lines.where(F.col(order) <= SAMPLE_ROWS), keys, raw)
 
 
-def _plain(raw: Column) -> dict[str, Column]:
-    stamp = plaintext.stamp(raw)
-    return {"level": plaintext.level(raw), "stamp": stamp, "message": plaintext.message(raw)}
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once per row.
 
-
-def _json(doc: Column) -> dict[str, Column]:
-    return {
-        "level": jsonlines.level(doc),
-        "stamp": jsonlines.stamp(doc),
-        "message": jsonlines.message(doc),
-        "extras": jsonlines.extras(doc),
-    }
-
-
-def _logfmt(pairs: Column) -> dict[str, Column]:
-    return {
-        "level": logfmt.level(pairs),
-        "stamp": logfmt.stamp(pairs),
-        "message": logfmt.message(pairs),
-        "extras": logfmt.extras(pairs),
-    }
+    A later filter on a plain column would be pushed below it, with the
+    expression copied to every place the filter mentions it. Filters do not pass
+    the one-element explode unless they use other columns only.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def parse(df: DataFrame, fmt: str | Column = "plaintext", raw: str = "raw") -> DataFrame:
@@ -88,43 +75,74 @@ def parse(df: DataFrame, fmt: str | Column = "plaintext", raw: str = "raw") -> D
     nothing: they are ordinary expressions and get pruned.
     """
     prepare(df.sparkSession)
-    line = F.col(raw)
     if isinstance(fmt, str):
-        name = fmt if fmt in FORMATS else "plaintext"
-        uses = {f: F.lit(f == name) for f in FORMATS}
-        fields = {name}
-    else:
-        uses = {f: fmt == f for f in FORMATS}
-        fields = set(FORMATS)
-    work = df
-    made: dict[str, dict[str, Column]] = {}
-    if "json" in fields:
-        work = work.withColumn("_doc", F.when(uses["json"], jsonlines.document(line)))
-        made["json"] = _json(F.col("_doc"))
-    if "logfmt" in fields:
-        work = work.withColumn("_pairs", F.when(uses["logfmt"], logfmt.pairs(line)))
-        made["logfmt"] = _logfmt(F.col("_pairs"))
-    if "plaintext" in fields:
-        made["plaintext"] = _plain(line)
-
-    def choose(column: str, default: Column) -> Column:
-        options = {f: made[f].get(column, default) for f in made}
-        if len(options) == 1:
-            return next(iter(options.values()))
-        chosen = F.when(uses["json"], options["json"]).when(uses["logfmt"], options["logfmt"])
-        return chosen.otherwise(options["plaintext"])
+        return _parse_as(df, fmt if fmt in FORMATS else "plaintext", raw)
+    work = _once(df, "_fmt", F.when(fmt.isin("json", "logfmt"), fmt).otherwise(F.lit("plaintext")))
+    is_json, is_logfmt = F.col("_fmt") == "json", F.col("_fmt") == "logfmt"
+    work = _once(work, "_doc", F.when(is_json, jsonlines.document(raw)))
+    work = _once(work, "_pairs", F.when(is_logfmt, logfmt.pairs(raw)))
 
+    def choose(of_json: Column, of_logfmt: Column, of_plain: Column) -> Column:
+        return F.when(is_json, of_json).when(is_logfmt, of_logfmt).otherwise(of_plain)
+
+    line = F.col(raw)
+    work = work.withColumns(
+        {
+            "_stamp": choose(jsonlines.stamp("_doc"), logfmt.stamp("_pairs"), plaintext.stamp(line)),
+            "_others": logfmt.other_pairs("_pairs"),
+        }
+    )
+    return _record(
+        work,
+        df.columns,
+        level=choose(jsonlines.level("_doc"), logfmt.level("_pairs"), plaintext.level(line)),
+        ts=wall_clock(F.col("_stamp")),
+        message=choose(jsonlines.message("_doc"), logfmt.message("_pairs"), plaintext.message(line)),
+        extras=choose(jsonlines.extras("_doc"), logfmt.extras("_others"), F.lit(None)),
+    )
+
+
+def _parse_as(df: DataFrame, fmt: str, raw: str) -> DataFrame:
+    line, stamp = F.col(raw), F.col("_stamp")
+    if fmt == "json":
+        work = _once(df, "_doc", jsonlines.document(raw)).withColumn("_stamp", jsonlines.stamp("_doc"))
+        fields = {
+            "level": jsonlines.level("_doc"),
+            "ts": wall_clock(stamp),
+            "message": jsonlines.message("_doc"),
+            "extras": jsonlines.extras("_doc"),
+        }
+    elif fmt == "logfmt":
+        work = _once(df, "_pairs", logfmt.pairs(raw))
+        work = work.withColumns({"_stamp": logfmt.stamp("_pairs"), "_others": logfmt.other_pairs("_pairs")})
+        fields = {
+            "level": logfmt.level("_pairs"),
+            "ts": wall_clock(stamp),
+            "message": logfmt.message("_pairs"),
+            "extras": logfmt.extras("_others"),
+        }
+    else:
+        work = df.withColumn("_stamp", plaintext.stamp(line))
+        fields = {
+            "level": plaintext.level(line),
+            "ts": plaintext.clock(stamp),
+            "message": plaintext.message(line),
+            "extras": F.lit(None),
+        }
+    return _record(work, df.columns, **fields)
+
+
+def _record(work: DataFrame, columns: Sequence[str], level: Column, ts: Column, message: Column, extras: Column) -> DataFrame:
+    """The input columns followed by the record columns."""
     kinds = {f.name: f.dataType for f in RECORD.fields}
-    stamp = choose("stamp", F.lit(None).cast("string"))
-    clock = wall_clock(stamp)
-    columns = {
-        "level": choose("level", F.lit(None)),
-        "ts": clock,
-        "ts_offset": F.when(clock.isNotNull(), utc_offset(stamp)),
-        "message": choose("message", F.lit(None)),
-        "extras": choose("extras", F.create_map().cast("map<string,string>")),
-        "cluster_id": F.lit(-1).cast("bigint"),
-        "template": F.lit(None).cast("string"),
+    values = {
+        "level": level,
+        "ts": ts,
+        "ts_offset": F.when(ts.isNotNull(), utc_offset(F.col("_stamp"))),
+        "message": message,
+        "extras": F.coalesce(extras.cast(kinds["extras"]), F.expr("CAST(map() AS MAP<STRING, STRING>)")),
+        "cluster_id": F.lit(-1),
+        "template": F.lit(None),
     }
-    kept = [c for c in df.columns if c not in columns]
-    return work.select(*kept, *[value.cast(kinds[n]).alias(n) for n, value in columns.items()])
+    kept = [c for c in columns if c not in values]
+    return work.select(*kept, *[value.cast(kinds[name]).alias(name) for name, value in values.items()])

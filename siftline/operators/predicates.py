@@ -1,4 +1,9 @@
-"""Row predicates over parsed lines. Every predicate is true or false, never NULL."""
+"""Row predicates over parsed lines.
+
+Predicates are plain comparisons, so they reach the scan of a stored table. On
+rows without level or timestamp they may be NULL, which ``where`` drops; use
+``definite`` or ``inverted`` wherever the value itself counts.
+"""
 
 from __future__ import annotations
 
@@ -20,28 +25,40 @@ def definite(test: Column) -> Column:
 
 
 def level_in(levels: Sequence[str], column: str = "level") -> Column:
-    """Level is one of ``levels``, ignoring case. No levels: everything passes."""
+    """Level is one of ``levels``, ignoring case (records hold levels in upper case).
+
+    No levels: everything passes.
+    """
     if not levels:
         return F.lit(True)
-    return definite(F.upper(F.col(column)).isin(sorted({lv.upper() for lv in levels})))
+    return F.col(column).isin(sorted({lv.upper() for lv in levels}))
 
 
 def matches(patterns: str | Sequence[str] | None, regex_mode: bool = False, column: str = "raw") -> Column:
     """The raw line contains one of ``patterns``. No patterns: everything passes."""
-    return definite(any_pattern(F.col(column), patterns, regex_mode))
+    return any_pattern(F.col(column), patterns, regex_mode)
 
 
 def in_range(
-    from_: str | datetime | None = None, to: str | datetime | None = None, column: str = "ts"
+    from_: str | datetime | None = None,
+    to: str | datetime | None = None,
+    column: str = "ts",
+    once: bool = False,
 ) -> Column:
-    """Wall clock within both bounds, ends included. A row without timestamp fails a set bound."""
-    low, high = parse_bound(from_), parse_bound(to)
-    test = F.lit(True)
+    """Wall clock within both bounds, ends included. A row without timestamp fails a set bound.
+
+    ``once`` evaluates the column a single time, for clocks that are still to be
+    parsed; the plain form is the one a stored table can push down.
+    """
+    low, high = (None if b is None else F.lit(b).cast("timestamp_ntz") for b in (parse_bound(from_), parse_bound(to)))
+    ts = F.col(column)
+    if low is not None and high is not None:
+        if once:
+            return F.exists(F.array(ts), lambda t: (t >= low) & (t <= high))
+        return (ts >= low) & (ts <= high)
     if low is not None:
-        test = test & (F.col(column) >= F.lit(low).cast("timestamp_ntz"))
-    if high is not None:
-        test = test & (F.col(column) <= F.lit(high).cast("timestamp_ntz"))
-    return definite(test)
+        return ts >= low
+    return ts <= high if high is not None else F.lit(True)
 
 
 def python_predicate(test: Callable[[str], bool]) -> Callable[[Column], Column]:
@@ -51,7 +68,7 @@ def python_predicate(test: Callable[[str], bool]) -> Callable[[Column], Column]:
     def run(lines: pd.Series) -> pd.Series:
         return lines.map(lambda line: bool(test(line)), na_action="ignore").astype("boolean")
 
-    return lambda column: definite(run(column))
+    return run
 
 
 def all_of(tests: Sequence[Column]) -> Column:
@@ -66,9 +83,11 @@ def build(
     regex_mode: bool = False,
     extra: Sequence[Column] = (),
     plain: bool = False,
+    lazy: bool = False,
 ) -> Column:
     """The AND of all given filters, cheapest test first.
 
+    ``lazy`` says that the record columns are expressions over ``raw``, not stored.
     With ``plain`` (plain text lines) a substring test in front of the level
     test skips the level expression for lines that cannot have the level.
     """
@@ -82,8 +101,8 @@ def build(
             cheap.append(plaintext.may_have_level(F.col("raw"), list(levels)))
         cheap.append(level_in(levels))
     if from_ or to:
-        cheap.append(in_range(from_, to))
-    return all_of([*cheap, *dear, *[definite(e) for e in extra]])
+        cheap.append(in_range(from_, to, once=lazy))
+    return all_of([*cheap, *dear, *extra])
 
 
 def inverted(test: Column) -> Column:

@@ -32,7 +32,7 @@ def search(
     if fmt is None:
         fmt = detect_format(lines)
     plain = isinstance(fmt, str) and fmt not in ("json", "logfmt")
-    test = predicates.build(levels, patterns, from_, to, regex_mode, extra, plain)
+    test = predicates.build(levels, patterns, from_, to, regex_mode, extra, plain, lazy=True)
     return parse(lines, fmt).where(predicates.inverted(test) if invert else test)
 
 

@@ -13,6 +13,8 @@ are mined again together until the leaf fits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,7 +65,8 @@ def _mine(rows: pd.DataFrame) -> pd.DataFrame:
     Tokens are numbered (0 is the wildcard), so a message is compared with all
     templates of the leaf in one array operation.
     """
-    rows = rows.sort_values(["first_seq", "shape"], kind="stable")
+    if len(rows) == 1:
+        return rows.assign(template=rows["shape"])
     numbers = {WILDCARD: 0}
     messages = [[numbers.setdefault(t, len(numbers)) for t in s.split(" ")] for s in rows["shape"]]
     width = len(messages[0])
@@ -88,12 +91,40 @@ def _mine(rows: pd.DataFrame) -> pd.DataFrame:
         chosen.append(best)
     words = list(numbers)
     names = [" ".join(words[t] for t in row) for row in templates[:used]]
-    return rows.assign(template=[names[i] for i in chosen])[[c.split()[0] for c in _MINED.split(", ")]]
+    return rows.assign(template=[names[i] for i in chosen])
+
+
+def _mine_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mine a partition sorted by leaf part: one part at a time is held in memory."""
+    columns = [c.split()[0] for c in _MINED.split(", ")]
+    held: list[pd.DataFrame] = []
+
+    def mined(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        whole = pd.concat(parts, ignore_index=True)
+        leaves = whole.groupby([*_LEAF, "part"], sort=False)
+        return pd.concat([_mine(leaf) for _, leaf in leaves])[columns]
+
+    for batch in batches:
+        if len(batch) == 0:
+            continue
+        key = batch[[*_LEAF, "part"]]
+        open_part = (key == key.iloc[-1]).all(axis=1).to_numpy()
+        closed = int(np.argmax(open_part))  # rows before the last, maybe unfinished part
+        if closed or (held and not (held[-1][[*_LEAF, "part"]].iloc[-1] == key.iloc[0]).all()):
+            yield mined([*held, batch.iloc[:closed]])
+            held = []
+        held.append(batch.iloc[closed:])
+    if held:
+        yield mined(held)
 
 
 def _mine_parts(shapes: DataFrame) -> DataFrame:
-    """The template of each shape, mined per part of a leaf."""
-    return shapes.groupBy(*_LEAF, "part").applyInPandas(_mine, _MINED)
+    """The template of each shape, mined per part of a leaf in order of first appearance."""
+    return (
+        shapes.repartition(*_LEAF, "part")
+        .sortWithinPartitions(*_LEAF, "part", "first_seq", "shape")
+        .mapInPandas(_mine_sorted, _MINED)
+    )
 
 
 def distinct_shapes(texts: DataFrame, text: str, order: str) -> DataFrame:

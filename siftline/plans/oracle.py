@@ -22,7 +22,7 @@ src AS (
     row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS lineno,
     row_number() OVER (ORDER BY user_id % 4, event_id) AS seq,
     {_LEVEL} AS lvl,
-    {_PHRASE} || ' user=' || CAST(user_id AS VARCHAR) || ' value=' || {_MONEY} AS msg,
+    {_PHRASE} || ' user=' || CAST(user_id AS VARCHAR) || ' value ' || {_MONEY} AS msg,
     date_trunc('second', ts) AS ts_s,
     date_trunc('millisecond', ts) AS ts_ms
   FROM events)"""
@@ -122,9 +122,9 @@ _SEEN = "SELECT CAST(count(*) AS BIGINT) AS scanned, CAST(count(*) FILTER (WHERE
 _TEMPLATES = f"""{_PLAIN},
 shaped AS (
   SELECT event_id, CASE event_type
-      WHEN 'click' THEN 'button clicked <*> <*>' WHEN 'error' THEN 'request failed <*> <*>'
-      WHEN 'purchase' THEN 'order placed <*> <*>' WHEN 'signup' THEN 'account created <*> <*>'
-      ELSE CASE WHEN event_id % 6 IN (2, 3) THEN '' ELSE '<*> ' END || '<*> page viewed <*> <*>' END AS template
+      WHEN 'click' THEN 'button clicked <*> value <*>' WHEN 'error' THEN 'request failed <*> value <*>'
+      WHEN 'purchase' THEN 'order placed <*> value <*>' WHEN 'signup' THEN 'account created <*> value <*>'
+      ELSE CASE WHEN event_id % 6 IN (2, 3) THEN '' ELSE '<*> ' END || '<*> page viewed <*> value <*>' END AS template
   FROM ev),
 counts AS (
   SELECT template, CAST(count(*) AS BIGINT) AS n, min(event_id) AS first_seq FROM shaped GROUP BY template)"""
@@ -199,7 +199,7 @@ SQL: dict[str, str] = {
         f"""
 SELECT js.file, {_MIXED_FORMAT.replace("file", "js.file")} AS fmt,
   avg(CASE WHEN js.file = 'app-0.log' AND sound THEN 1.0 ELSE 0.0 END) AS json_share,
-  avg(CASE WHEN js.file = 'app-1.log' THEN 1.0 WHEN js.file <> 'app-0.log' THEN 1.0 ELSE 0.0 END) AS logfmt_share
+  avg(CASE WHEN js.file = 'app-1.log' THEN 1.0 ELSE 0.0 END) AS logfmt_share
 FROM js WHERE lineno <= 20 GROUP BY js.file""",
     ),
     "parse_mixed": _with(

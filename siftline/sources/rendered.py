@@ -7,136 +7,77 @@ rules are met. Long texts (documents, pages, conversations) are cut into lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators.numbering import number_rows
 from siftline.session import prepare
 from siftline.sources.tables import lines_from_table
 
-# event_type -> (words of the message, level text of the plain line, level text of the JSON and logfmt line)
-KINDS = {
-    "click": ("button clicked", "DEBUG  ", "debug"),
-    "error": ("request failed", "ERROR - ", "error"),
-    "purchase": ("order placed", "INFO  ", "info"),
-    "signup": ("account created", "Warning: ", "warning"),
-    "view": ("page viewed", "", None),
+_MESSAGE = """CASE event_type WHEN 'click' THEN 'button clicked' WHEN 'error' THEN 'request failed'
+    WHEN 'purchase' THEN 'order placed' WHEN 'signup' THEN 'account created' ELSE 'page viewed' END
+  || ' user=' || user_id || ' value ' || CAST(value AS DECIMAL(12,2))"""
+
+_LEVEL = """CASE event_type WHEN 'click' THEN 'debug' WHEN 'error' THEN 'error'
+    WHEN 'purchase' THEN 'info' WHEN 'signup' THEN 'warning' END"""
+
+# Plain text: six timestamp shapes (the last one is not accepted), four level spellings and none.
+_PLAIN = f"""
+  CASE event_id % 6
+    WHEN 0 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS ')
+    WHEN 1 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS ')
+    WHEN 2 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z '")
+    WHEN 3 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+02:00 '")
+    WHEN 4 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss ')
+    ELSE date_format(ts, "yyyy-MM-dd HH:mm:ss'Z '") END
+  || CASE event_type WHEN 'click' THEN 'DEBUG  ' WHEN 'error' THEN 'ERROR - '
+    WHEN 'purchase' THEN 'INFO  ' WHEN 'signup' THEN 'Warning: ' ELSE '' END
+  || {_MESSAGE}"""
+
+# JSON: four key spellings, four time values (one is an epoch number), some damaged lines.
+_JSON = f"""
+  '{{"' || CASE event_id % 4 WHEN 0 THEN 'time' WHEN 1 THEN 'timestamp' WHEN 2 THEN 'ts' ELSE '@timestamp' END
+  || '":' || CASE event_id % 4
+    WHEN 0 THEN date_format(ts, "'\\"'yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z\\"'")
+    WHEN 1 THEN date_format(ts, "'\\"'yyyy-MM-dd'T'HH:mm:ss'+02:00\\"'")
+    WHEN 2 THEN CAST(unix_micros(CAST(ts AS TIMESTAMP)) AS STRING)
+    ELSE date_format(ts, "'\\"'dd/MMM/yyyy:HH:mm:ss '-0130\\"'") END
+  || ',"' || CASE event_id % 4 WHEN 0 THEN 'level' WHEN 1 THEN 'severity' WHEN 2 THEN 'lvl' ELSE 'LEVEL' END
+  || '":' || coalesce('"' || {_LEVEL} || '"', '0')
+  || ',"' || CASE event_id % 3 WHEN 0 THEN 'msg' WHEN 1 THEN 'message' ELSE 'MESSAGE' END
+  || '":"' || {_MESSAGE} || '","user":' || user_id || ',"value":' || value || ', "props":' || props || ',"ok":true'
+  || CASE WHEN event_id % 11 = 5 THEN '' WHEN event_id % 13 = 7 THEN '}} trailing' ELSE '}}' END"""
+
+# logfmt: three key spellings, bare and quoted values, repeated and glued keys.
+_LOGFMT = f"""
+  CASE WHEN event_id % 9 = 4 THEN 'stray ' ELSE '' END
+  || CASE event_id % 3
+    WHEN 0 THEN date_format(ts, "'time='yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    WHEN 1 THEN date_format(ts, "'ts=\\"'yyyy-MM-dd HH:mm:ss.SSSSSS'\\"'")
+    ELSE date_format(ts, "'timestamp='yyyy-MM-dd'T'HH:mm:ss,SSS") END
+  || coalesce(CASE event_id % 3 WHEN 0 THEN ' level=' WHEN 1 THEN ' lvl=' ELSE ' severity=' END || {_LEVEL}, '')
+  || CASE event_id % 2 WHEN 0 THEN ' msg="' ELSE ' message="' END || {_MESSAGE}
+  || '" user=' || user_id || ' value="' || CAST(value AS DECIMAL(12,2)) || '" note='
+  || CASE WHEN event_id % 7 = 3 THEN ' user=again' ELSE '' END"""
+
+LAYOUTS = {
+    "plaintext": _PLAIN,
+    "json": _JSON,
+    "logfmt": _LOGFMT,
+    # one format per log file
+    "mixed": f"CASE user_id % 4 WHEN 0 THEN {_JSON} WHEN 1 THEN {_LOGFMT} ELSE {_PLAIN} END",
 }
 
 
-def _by_kind(field: int) -> Column:
-    chosen = F.lit(None).cast("string")
-    for kind, parts in KINDS.items():
-        chosen = F.when(F.col("event_type") == kind, F.lit(parts[field])).otherwise(chosen)
-    return chosen
-
-
-def _rotate(divisor: int, options: list[Column]) -> Column:
-    turn = F.col("event_id") % divisor
-    chosen = options[-1]
-    for i, option in enumerate(options[:-1]):
-        chosen = F.when(turn == i, option).otherwise(chosen)
-    return chosen
-
-
-def _stamp(pattern: str) -> Column:
-    return F.date_format("ts", pattern)
-
-
-def _message() -> Column:
-    return F.concat(
-        _by_kind(0),
-        F.lit(" user="),
-        F.col("user_id").cast("string"),
-        F.lit(" value="),
-        F.col("value").cast("decimal(12,2)").cast("string"),
-    )
-
-
-def _plain() -> Column:
-    stamp = _rotate(
-        6,
-        [
-            _stamp("yyyy-MM-dd HH:mm:ss.SSSSSS"),
-            _stamp("yyyy-MM-dd HH:mm:ss,SSS"),
-            _stamp("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
-            _stamp("yyyy-MM-dd'T'HH:mm:ss'+02:00'"),
-            _stamp("yyyy-MM-dd HH:mm:ss"),
-            _stamp("yyyy-MM-dd HH:mm:ss'Z'"),
-        ],
-    )
-    return F.concat(stamp, F.lit(" "), _by_kind(1), _message())
-
-
-def _json() -> Column:
-    def quoted(text: Column) -> Column:
-        return F.concat(F.lit('"'), text, F.lit('"'))
-
-    clock = _rotate(
-        4,
-        [
-            quoted(_stamp("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")),
-            quoted(_stamp("yyyy-MM-dd'T'HH:mm:ss'+02:00'")),
-            F.unix_micros(F.col("ts").cast("timestamp")).cast("string"),
-            quoted(_stamp("dd/MMM/yyyy:HH:mm:ss '-0130'")),
-        ],
-    )
-    names = {
-        "time": _rotate(4, [F.lit(k) for k in ("time", "timestamp", "ts", "@timestamp")]),
-        "level": _rotate(4, [F.lit(k) for k in ("level", "severity", "lvl", "LEVEL")]),
-        "msg": _rotate(3, [F.lit(k) for k in ("msg", "message", "MESSAGE")]),
-    }
-    level = F.coalesce(quoted(_by_kind(2)), F.lit("0"))
-    body = F.concat(
-        F.lit('{"'), names["time"], F.lit('":'), clock,
-        F.lit(',"'), names["level"], F.lit('":'), level,
-        F.lit(',"'), names["msg"], F.lit('":'), quoted(_message()),
-        F.lit(',"user":'), F.col("user_id").cast("string"),
-        F.lit(',"value":'), F.col("value").cast("string"),
-        F.lit(', "props":'), F.col("props"), F.lit(',"ok":true'),
-    )
-    end = F.when(F.col("event_id") % 11 == 5, F.lit("")).when(F.col("event_id") % 13 == 7, F.lit("} trailing"))
-    return F.concat(body, end.otherwise(F.lit("}")))
-
-
-def _logfmt() -> Column:
-    clock = _rotate(
-        3,
-        [
-            F.concat(F.lit("time="), _stamp("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")),
-            F.concat(F.lit('ts="'), _stamp("yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit('"')),
-            F.concat(F.lit("timestamp="), _stamp("yyyy-MM-dd'T'HH:mm:ss,SSS")),
-        ],
-    )
-    level = F.concat(_rotate(3, [F.lit(k) for k in (" level=", " lvl=", " severity=")]), _by_kind(2))
-    message = F.concat(_rotate(2, [F.lit(' msg="'), F.lit(' message="')]), _message(), F.lit('"'))
-    return F.concat(
-        F.when(F.col("event_id") % 9 == 4, F.lit("stray ")).otherwise(F.lit("")),
-        clock,
-        F.coalesce(level, F.lit("")),
-        message,
-        F.lit(" user="), F.col("user_id").cast("string"),
-        F.lit(' value="'), F.col("value").cast("decimal(12,2)").cast("string"), F.lit('" note='),
-        F.when(F.col("event_id") % 7 == 3, F.lit(" user=again")).otherwise(F.lit("")),
-    )
-
-
-LAYOUTS = {"plaintext": _plain, "json": _json, "logfmt": _logfmt}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def event_lines(spark: SparkSession, folder: str, fmt: str = "plaintext") -> DataFrame:
     """``event_id, file, raw``: events as lines of four log files. ``mixed`` gives the files different formats."""
-    source = F.col("user_id") % 4
-    if fmt == "mixed":
-        raw = F.when(source == 0, _json()).when(source == 1, _logfmt()).otherwise(_plain())
-    else:
-        raw = LAYOUTS[fmt]()
-    file = F.concat(F.lit("app-"), source.cast("string"), F.lit(".log"))
-    return table(spark, folder, "events").select("event_id", file.alias("file"), raw.alias("raw"))
+    return table(spark, folder, "events").selectExpr(
+        "event_id", "'app-' || (user_id % 4) || '.log' AS file", f"{LAYOUTS[fmt]} AS raw"
+    )
 
 
 def numbered_event_lines(spark: SparkSession, folder: str, fmt: str = "plaintext") -> DataFrame:
