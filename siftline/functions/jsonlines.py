@@ -1,13 +1,15 @@
 """JSON lines: strict object check and first-usable-key lookups on a variant.
 
-Functions take the name of a column and return an expression over it.
+Lookups take the name of the document column and return an expression over it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.staging import once
+
 # Key spellings, in lookup order.
 LEVEL_KEYS = ["level", "severity", "lvl", "LEVEL"]
 TIME_KEYS = ["time", "timestamp", "ts", "@timestamp"]
@@ -18,22 +20,19 @@ RESERVED = LEVEL_KEYS + TIME_KEYS + MESSAGE_KEYS
 ABSENT = r'^(?:null|false|""|\[\]|\{\}|-?0(?:[.]0+)?(?:[eE][+-]?[0-9]+)?)$'
 
 
-def document(raw: str) -> Column:
-    """The line as the first element of a variant array, NULL unless it is exactly one JSON object.
+def with_document(df: DataFrame, raw: str, into: str, where: str = "true") -> DataFrame:
+    """Add the line as a variant array whose first element is the object.
 
-    The parser accepts text after a complete value. A hash of the line is
-    therefore appended as a second element: it can only come out at position 1
-    when everything before it was a single value.
+    NULL unless the line is exactly one JSON object. The parser accepts text
+    after a complete value. A hash of the line is therefore appended as a second
+    element: it can only come out at position 1 when everything before it was a
+    single value.
     """
-    return F.expr(
-        f"""
-        CASE WHEN startswith(trim(LEADING ' \\t\\r\\n' FROM {raw}), '{{') THEN
-          try_element_at(filter(
-            array(try_parse_json('[' || {raw} || ',' || xxhash64({raw}) || ']')),
-            v -> try_variant_get(v, '$[1]', 'bigint') = xxhash64({raw})
-          ), 1)
-        END"""
-    )
+    text = f"'[' || {raw} || ',' || xxhash64({raw}) || ']'"
+    opens = f"startswith(trim(LEADING ' \\t\\r\\n' FROM {raw}), '{{')"
+    closed = "try_variant_get(_parsed, '$[1]', 'bigint')"
+    parsed = once(df, "_parsed", F.expr(f"CASE WHEN {where} AND {opens} THEN try_parse_json({text}) END"))
+    return once(parsed, into, F.expr(f"CASE WHEN {closed} = xxhash64({raw}) THEN _parsed END")).drop("_parsed")
 
 
 def _field(doc: str, key: str, kind: str = "variant") -> str:
@@ -42,8 +41,10 @@ def _field(doc: str, key: str, kind: str = "variant") -> str:
 
 def _first_usable(doc: str, keys: list[str]) -> str:
     """Text of the first key that is present and neither null, false, zero nor empty."""
-    fields = ", ".join(_field(doc, k) for k in keys)
-    return f"CAST(try_element_at(filter(array({fields}), v -> NOT to_json(v) RLIKE r'{ABSENT}'), 1) AS STRING)"
+    texts = (
+        f"CASE WHEN NOT to_json({_field(doc, k)}) RLIKE r'{ABSENT}' THEN {_field(doc, k, 'string')} END" for k in keys
+    )
+    return f"coalesce({', '.join(texts)})"
 
 
 def level(doc: str) -> Column:

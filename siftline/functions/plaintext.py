@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftline.functions.timestamps import iso_clock
-
 # Level words (WARNING is reported as WARN), the timestamp shape looked for inside a line, and
 # the characters dropped between a level word and the message.
 LEVEL_WORDS = r"CRITICAL|FATAL|ERROR|WARN|INFO|DEBUG|TRACE"
@@ -41,11 +39,6 @@ def stamp(raw: Column) -> Column:
     return F.regexp_extract(raw, TIMESTAMP_SHAPE, 1)
 
 
-def clock(stamp_text: Column) -> Column:
-    """Wall clock of a ``stamp``. It already has one of two exact shapes, so nothing else is tried."""
-    return iso_clock(F.translate(stamp_text, ",", "."))
-
-
 def may_have_level(raw: Column, levels: list[str]) -> Column:
     """False only for lines that cannot carry one of ``levels``; spares them the regex."""
     pieces = sorted({_PIECES[lv.upper()] for lv in levels if lv.upper() in _PIECES})

@@ -1,4 +1,4 @@
-"""Timestamp text to wall clock and UTC offset, as column expressions.
+"""Timestamp text to wall clock and UTC offset.
 
 Accepted shapes, tried on trimmed text with commas read as dots:
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # English month abbreviations, in calendar order.
@@ -37,55 +37,51 @@ _ISO = (
 )
 _ACCESS = (
     rf"^([0-9]{{1,2}})/((?i:{'|'.join(MONTHS)}))/((?!0000)[0-9]{{4}})"
-    rf":([0-9]{{1,2}}):([0-9]{{1,2}}):([0-5]?[0-9])\s+{_OFFSET}{_END}"
+    rf":([0-9]{{1,2}}):([0-9]{{1,2}}):([0-5]?[0-9])\s+({_OFFSET}){_END}"
 )
 
 
-def _tidy(text: Column) -> Column:
-    return F.translate(F.btrim(text, F.lit(_BLANKS)), ",", ".")
+def _loose(clock: str) -> str:
+    return f"try_cast(regexp_replace({clock}, r'[Tt]|\\s+', 'T') AS TIMESTAMP_NTZ)"
 
 
-def iso_clock(t: Column) -> Column:
-    """Wall clock of a tidy text with one ``T`` or blank between date and time."""
-    return F.regexp_extract(t, _ISO, 1).try_cast("timestamp_ntz")
+def _access(text: str) -> str:
+    day, name, year, hour, minute, second = (f"regexp_extract({text}, r'{_ACCESS}', {g})" for g in range(1, 7))
+    months = ", ".join(f"'{m.lower()}'" for m in MONTHS)
+    date = f"{year} || '-' || array_position(array({months}), lower({name})) || '-' || {day}"
+    return f"try_cast({date} || 'T' || {hour} || ':' || {minute} || ':' || {second} AS TIMESTAMP_NTZ)"
 
 
-def _loose_clock(t: Column) -> Column:
-    """The same with a lower-case ``t`` or several blanks."""
-    return F.regexp_replace(F.regexp_extract(t, _ISO, 1), r"[Tt]|\s+", "T").try_cast("timestamp_ntz")
+_ZONE_SECONDS = """
+    (CASE WHEN startswith(_zone, '-') THEN -1 ELSE 1 END) * (
+      3600 * int(substr(_zone, 2, 2)) + 60 * int(substr(_zone, 4, 2))
+      + CASE WHEN length(_zone) > 5 THEN int(substr(_zone, 6, 2)) ELSE 0 END)"""
 
 
-def _access_clock(t: Column) -> Column:
-    def part(group: int) -> Column:
-        return F.regexp_extract(t, _ACCESS, group)
+def with_clock(df: DataFrame, text: str, ts: str = "ts", offset: str = "ts_offset", exact: bool = False) -> DataFrame:
+    """Add the wall clock and the UTC offset in seconds of a timestamp text.
 
-    month = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(part(2)))
-    text = F.concat_ws(
-        "-", part(3), month.cast("string"), F.concat(part(1), F.lit("T"), F.concat_ws(":", part(4), part(5), part(6)))
-    )
-    return text.try_cast("timestamp_ntz")
-
-
-def wall_clock(text: Column) -> Column:
-    """Wall clock (TIMESTAMP_NTZ) of a timestamp text, NULL when it has no accepted shape."""
-    t = _tidy(text)
-    return F.coalesce(iso_clock(t), F.when(t.rlike(_ACCESS), _access_clock(t)).otherwise(_loose_clock(t)))
-
-
-def utc_offset(text: Column) -> Column:
-    """Offset in seconds of a timestamp text, NULL when it carries none."""
-    t = _tidy(text)
-    zone = F.translate(F.regexp_extract(t, rf"[0-9]\s*({_OFFSET}){_END}", 1), ":", "")
-
-    def two(start: int) -> Column:
-        return F.coalesce(F.nullif(F.substring(zone, start, 2), F.lit("")).try_cast("int"), F.lit(0))
+    Both are NULL for text without an accepted shape; the offset is NULL as well
+    when the text has none. ``exact`` is for texts known to have one of the first
+    two shapes with a capital ``T`` or one blank.
 
-    seconds = two(2) * 3600 + two(4) * 60 + two(6)
+    The shape is matched once, in a column of its own that both results read.
+    """
+    blanks = "".join(f"\\u{ord(c):04x}" for c in _BLANKS)
+    tidy = f"translate({text}, ',', '.')" if exact else f"translate(trim(BOTH '{blanks}' FROM {text}), ',', '.')"
+    clock = "try_cast(_clock AS TIMESTAMP_NTZ)"
+    zone = "CASE WHEN _clock <> '' THEN substr(_text, length(_clock) + 1) ELSE '' END"
+    if not exact:
+        other = f"CASE WHEN contains(_text, '/') THEN {_access('_text')} ELSE {_loose('_clock')} END"
+        clock = f"coalesce({clock}, {other})"
+        zone = f"CASE WHEN contains(_text, '/') THEN regexp_extract(_text, r'{_ACCESS}', 7) ELSE {zone} END"
+    seconds = f"CASE WHEN _zone = '' THEN NULL WHEN _zone = 'Z' THEN 0 ELSE {_ZONE_SECONDS} END"
     return (
-        F.when(zone == "", F.lit(None).cast("int"))
-        .when(zone == "Z", F.lit(0))
-        .when(F.startswith(zone, F.lit("-")), -seconds)
-        .otherwise(seconds)
+        df.withColumn("_text", F.expr(tidy))
+        .withColumn("_clock", F.expr(f"regexp_extract(_text, r'{_ISO}', 1)"))
+        .withColumns({ts: F.expr(clock), "_zone": F.expr(f"translate({zone}, ':', '')")})
+        .withColumn(offset, F.expr(f"CASE WHEN {ts} IS NOT NULL THEN {seconds} END"))
+        .drop("_text", "_clock", "_zone")
     )
 
 

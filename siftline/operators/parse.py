@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import jsonlines, logfmt, plaintext
-from siftline.functions.timestamps import utc_offset, wall_clock
+from siftline.functions.staging import once
+from siftline.functions.timestamps import with_clock
 from siftline.schema import FORMATS, RECORD
 from siftline.session import prepare
 from siftline.sources.files import SAMPLE_ROWS
@@ -27,13 +28,9 @@ def format_shares(sample: DataFrame, keys: Sequence[str] = (), raw: str = "raw")
     """
     prepare(sample.sparkSession)
     text = F.regexp_replace(F.col(raw), r"(?U)^\s+|\s+$", "")
-    is_json = jsonlines.document("_text").isNotNull()
-    is_logfmt = ~F.col("_json") & logfmt.looks_like("_text")
-    judged = (
-        _once(sample.select(*keys, raw), "_text", text)
-        .withColumn("_json", is_json)
-        .withColumn("_logfmt", is_logfmt)
-    )
+    judged = jsonlines.with_document(once(sample.select(*keys, raw), "_text", text), "_text", "_doc")
+    is_json = F.col("_doc").isNotNull()
+    judged = judged.withColumns({"_json": is_json, "_logfmt": ~is_json & logfmt.looks_like("_text")})
     counted = F.col("_text") != ""
     shares = judged.groupBy(*keys).agg(
         F.avg(F.when(counted, F.col("_json").cast("int"))).alias("json_share"),
@@ -57,16 +54,6 @@ def detect_per_key(lines: DataFrame, keys: Sequence[str], order: str = "lineno",
     return format_shares(lines.where(F.col(order) <= SAMPLE_ROWS), keys, raw)
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed exactly once per row.
-
-    A later filter on a plain column would be pushed below it, with the
-    expression copied to every place the filter mentions it. Filters do not pass
-    the one-element explode unless they use other columns only.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def parse(df: DataFrame, fmt: str | Column = "plaintext", raw: str = "raw") -> DataFrame:
     """Add the record columns to a frame of lines.
 
@@ -77,10 +64,10 @@ def parse(df: DataFrame, fmt: str | Column = "plaintext", raw: str = "raw") -> D
     prepare(df.sparkSession)
     if isinstance(fmt, str):
         return _parse_as(df, fmt if fmt in FORMATS else "plaintext", raw)
-    work = _once(df, "_fmt", F.when(fmt.isin("json", "logfmt"), fmt).otherwise(F.lit("plaintext")))
+    work = once(df, "_fmt", F.when(fmt.isin("json", "logfmt"), fmt).otherwise(F.lit("plaintext")))
     is_json, is_logfmt = F.col("_fmt") == "json", F.col("_fmt") == "logfmt"
-    work = _once(work, "_doc", F.when(is_json, jsonlines.document(raw)))
-    work = _once(work, "_pairs", F.when(is_logfmt, logfmt.pairs(raw)))
+    work = jsonlines.with_document(work, raw, "_doc", where="_fmt = 'json'")
+    work = once(work, "_pairs", F.when(is_logfmt, logfmt.pairs(raw)))
 
     def choose(of_json: Column, of_logfmt: Column, of_plain: Column) -> Column:
         return F.when(is_json, of_json).when(is_logfmt, of_logfmt).otherwise(of_plain)
@@ -93,52 +80,45 @@ def parse(df: DataFrame, fmt: str | Column = "plaintext", raw: str = "raw") -> D
         }
     )
     return _record(
-        work,
+        with_clock(work, "_stamp"),
         df.columns,
         level=choose(jsonlines.level("_doc"), logfmt.level("_pairs"), plaintext.level(line)),
-        ts=wall_clock(F.col("_stamp")),
         message=choose(jsonlines.message("_doc"), logfmt.message("_pairs"), plaintext.message(line)),
         extras=choose(jsonlines.extras("_doc"), logfmt.extras("_others"), F.lit(None)),
     )
 
 
 def _parse_as(df: DataFrame, fmt: str, raw: str) -> DataFrame:
-    line, stamp = F.col(raw), F.col("_stamp")
     if fmt == "json":
-        work = _once(df, "_doc", jsonlines.document(raw)).withColumn("_stamp", jsonlines.stamp("_doc"))
+        work = jsonlines.with_document(df, raw, "_doc").withColumn("_stamp", jsonlines.stamp("_doc"))
         fields = {
             "level": jsonlines.level("_doc"),
-            "ts": wall_clock(stamp),
             "message": jsonlines.message("_doc"),
             "extras": jsonlines.extras("_doc"),
         }
     elif fmt == "logfmt":
-        work = _once(df, "_pairs", logfmt.pairs(raw))
+        work = once(df, "_pairs", logfmt.pairs(raw))
         work = work.withColumns({"_stamp": logfmt.stamp("_pairs"), "_others": logfmt.other_pairs("_pairs")})
         fields = {
             "level": logfmt.level("_pairs"),
-            "ts": wall_clock(stamp),
             "message": logfmt.message("_pairs"),
             "extras": logfmt.extras("_others"),
         }
     else:
+        line = F.col(raw)
         work = df.withColumn("_stamp", plaintext.stamp(line))
-        fields = {
-            "level": plaintext.level(line),
-            "ts": plaintext.clock(stamp),
-            "message": plaintext.message(line),
-            "extras": F.lit(None),
-        }
+        fields = {"level": plaintext.level(line), "message": plaintext.message(line), "extras": F.lit(None)}
+    work = with_clock(work, "_stamp", exact=fmt == "plaintext")
     return _record(work, df.columns, **fields)
 
 
-def _record(work: DataFrame, columns: Sequence[str], level: Column, ts: Column, message: Column, extras: Column) -> DataFrame:
+def _record(work: DataFrame, columns: Sequence[str], level: Column, message: Column, extras: Column) -> DataFrame:
     """The input columns followed by the record columns."""
     kinds = {f.name: f.dataType for f in RECORD.fields}
     values = {
         "level": level,
-        "ts": ts,
-        "ts_offset": F.when(ts.isNotNull(), utc_offset(F.col("_stamp"))),
+        "ts": F.col("ts"),
+        "ts_offset": F.col("ts_offset"),
         "message": message,
         "extras": F.coalesce(extras.cast(kinds["extras"]), F.expr("CAST(map() AS MAP<STRING, STRING>)")),
         "cluster_id": F.lit(-1),

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions.timestamps import utc_offset, wall_clock
+from siftline.functions.timestamps import with_clock
 from siftline.operators import context as ctx
 from siftline.operators import predicates, render, summary, templates
 from siftline.operators.parse import detect_per_key, parse, sample_head
@@ -198,13 +198,7 @@ def normalize_ts(spark, folder):
         *[F.struct(F.lit(n).alias("shape"), F.date_format("ts", p).alias("text")) for n, p in STAMPS.items()]
     )
     rows = events.select("event_id", F.explode(shapes).alias("s")).select("event_id", "s.shape", "s.text")
-    ts = wall_clock(F.col("text"))
-    return rows.select(
-        "event_id",
-        "shape",
-        ts.alias("ts"),
-        F.when(ts.isNotNull(), utc_offset(F.col("text"))).alias("ts_offset"),
-    )
+    return with_clock(rows, "text").drop("text")
 
 
 # -- filters ---------------------------------------------------------------------------------
