@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Level words (WARNING is reported as WARN), the timestamp shape looked for inside a line, and
 # the characters dropped between a level word and the message.
 LEVEL_WORDS = r"CRITICAL|FATAL|ERROR|WARN|INFO|DEBUG|TRACE"
-LEVEL = rf"\b({LEVEL_WORDS})(?:(?<=WARN)ING)?\b"
+LEVEL = rf"\b(?=[CFEWIDT])({LEVEL_WORDS})(?:(?<=WARN)ING)?\b"
 TIMESTAMP_SHAPE = r"([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)"
 MESSAGE_LEAD = r"[ :|-]*"
 

@@ -51,8 +51,9 @@ def passthrough(parsed: DataFrame) -> DataFrame:
 
 def masked(text: Column) -> Column:
     """Tokens joined by one blank, tokens with a digit replaced by the wildcard."""
-    tokens = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
-    return F.regexp_replace(tokens, r"[^ ]*[0-9][^ ]*", WILDCARD)
+    tokens = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    # starts at token starts only and never backtracks: linear in the text
+    return F.regexp_replace(tokens, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILDCARD)
 
 
 _LEAF = ["n_tokens", "branch"]
@@ -120,8 +121,10 @@ def _mine_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _mine_parts(shapes: DataFrame) -> DataFrame:
     """The template of each shape, mined per part of a leaf in order of first appearance."""
+    # An explicit number keeps the Python work spread out however small the rows are.
+    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        shapes.repartition(*_LEAF, "part")
+        shapes.repartition(tasks, *_LEAF, "part")
         .sortWithinPartitions(*_LEAF, "part", "first_seq", "shape")
         .mapInPandas(_mine_sorted, _MINED)
     )
