@@ -136,7 +136,7 @@ def summary_report(parsed: DataFrame) -> DataFrame:
     single = F.array(
         line(
             "level",
-            F.coalesce(severity_rank(level), F.lit(99)),
+            F.when(level.isNull(), 99).otherwise(severity_rank(level)),
             F.coalesce(level, F.lit(NO_LEVEL)),
             count,
         )

@@ -14,75 +14,79 @@ def one(lines, text, fmt):
     return parse(lines([text]), fmt).first()
 
 
-@pytest.mark.parametrize(
-    "text, level, message",
-    [
-        ("2024-01-15 14:00:10 ERROR  Connection refused", "ERROR", "Connection refused"),
-        ("Warning: low", "WARN", "low"),
-        ("WARNINGS: low", None, "WARNINGS: low"),
-        ("[WARN] disk", "WARN", "] disk"),
-        ("ERROR", "ERROR", "ERROR"),
-        ("error :-| ", "ERROR", "error :-| "),
-        ("fatal|critical", "FATAL", "critical"),
-        ("no word here", None, "no word here"),
-        ("INFOING not a level, debug is", "DEBUG", "is"),
-        ("ERRORé éerror", None, "ERRORé éerror"),
-        ("\x00\x01 garbage �", None, "\x00\x01 garbage �"),
-        ("", None, ""),
-        ("x error y z", "ERROR", "y z"),
-    ],
-)
-def test_plain_level_and_message(lines, text, level, message):
-    row = one(lines, text, "plaintext")
-    assert (row.level, row.message, row.raw) == (level, message, text)
+def all_rows(lines, table, fmt):
+    """Parsed rows next to their expectation, in one job."""
+    rows = parse(lines([case[0] for case in table]), fmt).orderBy("seq").collect()
+    return list(zip(rows, table))
 
 
-@pytest.mark.parametrize(
-    "text, ts, offset",
-    [
-        ("2024-01-15 14:00:01Z ERROR x", None, None),
-        ("2024-01-15T14:00:01+02:00 ERROR x", AT, 7200),
-        ("2024-01-15 14:00:01,250 ERROR x", AT.replace(microsecond=250000), None),
-        ("2024-01-15T14:00:01.123456789Z ERROR", None, None),
-        ("at 2024-01-15T14:00:01, then 2025-01-01 00:00:00", AT, None),
-        ("2024-13-15 14:00:01 then 2024-01-15 14:00:01", None, None),
-        ("15/Jan/2024:14:00:01 +0000", None, None),
-    ],
-)
-def test_plain_time(lines, text, ts, offset):
-    row = one(lines, text, "plaintext")
-    assert (row.ts, row.ts_offset) == (ts, offset)
+PLAIN_LEVEL_AND_MESSAGE = [
+    ("2024-01-15 14:00:10 ERROR  Connection refused", "ERROR", "Connection refused"),
+    ("Warning: low", "WARN", "low"),
+    ("WARNINGS: low", None, "WARNINGS: low"),
+    ("[WARN] disk", "WARN", "] disk"),
+    ("ERROR", "ERROR", "ERROR"),
+    ("error :-| ", "ERROR", "error :-| "),
+    ("fatal|critical", "FATAL", "critical"),
+    ("no word here", None, "no word here"),
+    ("INFOING not a level, debug is", "DEBUG", "is"),
+    ("ERRORé éerror", None, "ERRORé éerror"),
+    ("\x00\x01 garbage �", None, "\x00\x01 garbage �"),
+    ("", None, ""),
+    ("x error y z", "ERROR", "y z"),
+]
 
 
-@pytest.mark.parametrize(
-    "text, level, message",
-    [
-        ('{"level":"warning"}', "WARNING", ""),
-        ('{"level":0,"lvl":"info"}', "INFO", ""),
-        ('{"level":"0"}', "0", ""),
-        ('{"level":"","severity":[],"lvl":{},"LEVEL":"trace"}', "TRACE", ""),
-        ('{"level":false,"severity":null,"lvl":-0.0}', None, ""),
-        ('{"severity":"error","message":"disk \\"full\\" \\u00e9"}', "ERROR", 'disk "full" é'),
-        ('{"level":"a","level":"b"}', "B", ""),
-        ('{"MESSAGE":0}', None, "0"),
-        ('{"msg":"","MESSAGE":""}', None, ""),
-        ('{"msg":12}', None, "12"),
-        ('  {"msg":"x"} ', None, "x"),
-    ],
-)
-def test_json_level_and_message(lines, text, level, message):
-    row = one(lines, text, "json")
-    assert (row.level, row.message) == (level, message)
+def test_plain_level_and_message(lines):
+    for row, case in all_rows(lines, PLAIN_LEVEL_AND_MESSAGE, "plaintext"):
+        assert (row.raw, row.level, row.message) == case
 
 
-@pytest.mark.parametrize(
-    "text",
-    ['{"a":1} trailing', '{"a":1}]', '{"a":1},0]', '{"a":1}],[0', '{"a":1},{"b":2}', "{bad", "", "123", "[1]",
-     '"x"', '{"level":NaN}', "{'level':'x'}", '{"a":1,}'],
-)
-def test_json_other_than_one_object_keeps_only_raw(lines, text):
-    row = one(lines, text, "json")
-    assert (row.level, row.ts, row.message, row.extras, row.raw) == (None, None, None, {}, text)
+PLAIN_TIME = [
+    ("2024-01-15 14:00:01Z ERROR x", None, None),
+    ("2024-01-15T14:00:01+02:00 ERROR x", AT, 7200),
+    ("2024-01-15 14:00:01,250 ERROR x", AT.replace(microsecond=250000), None),
+    ("2024-01-15T14:00:01.123456789Z ERROR", None, None),
+    ("at 2024-01-15T14:00:01, then 2025-01-01 00:00:00", AT, None),
+    ("2024-13-15 14:00:01 then 2024-01-15 14:00:01", None, None),
+    ("15/Jan/2024:14:00:01 +0000", None, None),
+]
+
+
+def test_plain_time(lines):
+    for row, case in all_rows(lines, PLAIN_TIME, "plaintext"):
+        assert (row.raw, row.ts, row.ts_offset) == case
+
+
+JSON_LEVEL_AND_MESSAGE = [
+    ('{"level":"warning"}', "WARNING", ""),
+    ('{"level":0,"lvl":"info"}', "INFO", ""),
+    ('{"level":"0"}', "0", ""),
+    ('{"level":"","severity":[],"lvl":{},"LEVEL":"trace"}', "TRACE", ""),
+    ('{"level":false,"severity":null,"lvl":-0.0}', None, ""),
+    ('{"severity":"error","message":"disk \\"full\\" \\u00e9"}', "ERROR", 'disk "full" é'),
+    ('{"level":"a","level":"b"}', "B", ""),
+    ('{"MESSAGE":0}', None, "0"),
+    ('{"msg":"","MESSAGE":""}', None, ""),
+    ('{"msg":12}', None, "12"),
+    ('  {"msg":"x"} ', None, "x"),
+]
+
+
+def test_json_level_and_message(lines):
+    for row, case in all_rows(lines, JSON_LEVEL_AND_MESSAGE, "json"):
+        assert (row.raw, row.level, row.message) == case
+
+
+NOT_ONE_OBJECT = [
+    '{"a":1} trailing', '{"a":1}]', '{"a":1},0]', '{"a":1}],[0', '{"a":1},{"b":2}', "{bad", "", "123", "[1]",
+    '"x"', '{"level":NaN}', "{'level':'x'}", '{"a":1,}',
+]
+
+
+def test_json_other_than_one_object_keeps_only_raw(lines):
+    for row, (text,) in all_rows(lines, [(t,) for t in NOT_ONE_OBJECT], "json"):
+        assert (row.level, row.ts, row.message, row.extras, row.raw) == (None, None, None, {}, text)
 
 
 def test_json_time_is_the_first_usable_key(lines):
@@ -100,26 +104,25 @@ def test_json_extras_keep_nested_values_as_text(lines):
     }
 
 
-@pytest.mark.parametrize(
-    "text, level, message, extras",
-    [
-        ("foo level=INFO", None, "", {"foo level": "INFO"}),
-        ("level=a level=b", "B", "", {}),
-        ('msg="open ended', None, "open ended", {}),
-        ('lvl=warn msg="a b" x= y="" z', "WARN", "a b", {"x": "", "y": ""}),
-        ("level= severity=err", "ERR", "", {}),
-        ("a=1 a=2 a=3", None, "", {"a": "3"}),
-        ('a="q"b=2', None, "", {"a": "q", "b": "2"}),
-        ("a=\tb c=d", None, "", {"a": "\tb", "c": "d"}),
-        ("a=b=c", None, "", {"a": "b=c"}),
-        ("no pairs", None, "", {}),
-        ("message=x msg=", None, "x", {}),
-        ("", None, "", {}),
-    ],
-)
-def test_logfmt(lines, text, level, message, extras):
-    row = one(lines, text, "logfmt")
-    assert (row.level, row.message, row.extras) == (level, message, extras)
+LOGFMT = [
+    ("foo level=INFO", None, "", {"foo level": "INFO"}),
+    ("level=a level=b", "B", "", {}),
+    ('msg="open ended', None, "open ended", {}),
+    ('lvl=warn msg="a b" x= y="" z', "WARN", "a b", {"x": "", "y": ""}),
+    ("level= severity=err", "ERR", "", {}),
+    ("a=1 a=2 a=3", None, "", {"a": "3"}),
+    ('a="q"b=2', None, "", {"a": "q", "b": "2"}),
+    ("a=\tb c=d", None, "", {"a": "\tb", "c": "d"}),
+    ("a=b=c", None, "", {"a": "b=c"}),
+    ("no pairs", None, "", {}),
+    ("message=x msg=", None, "x", {}),
+    ("", None, "", {}),
+]
+
+
+def test_logfmt(lines):
+    for row, case in all_rows(lines, LOGFMT, "logfmt"):
+        assert (row.raw, row.level, row.message, row.extras) == case
 
 
 def test_logfmt_time(lines):
