@@ -26,13 +26,45 @@ def _bytes_of(positions: DataFrame, keys: Sequence[str], per_hit: int) -> int:
 
 
 def _near(hits: DataFrame, n: int, order: str, keys: list[str]) -> DataFrame:
-    """Positions within ``n`` of a hit with their group. Only used below the broadcast bound."""
-    first = F.greatest(F.col(order) - n, F.lit(1))
-    near = hits.select(*keys, F.explode(F.sequence(first, F.col(order) + n)).alias(order)).distinct()
+    """Positions within ``n`` of a hit with their group. Only used below the broadcast bound.
+
+    Each hit gives the positions its predecessor did not reach, so no position
+    comes twice.
+    """
     line = W.partitionBy(*keys).orderBy(order)
-    start = F.coalesce(F.col(order) - F.lag(order).over(line) > 1, F.lit(False))
-    near = near.withColumn("new_group", start)
-    return near.withColumn("group_id", F.sum(F.col("new_group").cast("bigint")).over(line))
+    before = F.lag(order).over(line)
+    apart = F.coalesce(F.col(order) - before > 2 * n + 1, F.lit(False))
+    first = F.greatest(F.col(order) - n, before + n + 1, F.lit(1))
+    spans = hits.select(*keys, order, apart.alias("_apart"), first.alias("_from"))
+    spans = spans.withColumn("group_id", F.sum(F.col("_apart").cast("bigint")).over(line))
+    near = spans.withColumn("_at", F.explode(F.sequence("_from", F.col(order) + n)))
+    opens = F.col("_apart") & (F.col("_at") == F.col("_from"))
+    return near.select(*keys, F.col("_at").alias(order), opens.alias("new_group"), "group_id")
+
+
+def _groups_before(hits: DataFrame, n: int, order: str, keys: list[str], size: int) -> DataFrame:
+    """Per chunk with kept rows: how many groups start in earlier chunks of the key.
+
+    Works on the positions of the hits alone. A group starts where a hit is more
+    than ``2 n + 1`` rows after the hit before it, which may lie in an earlier
+    chunk: its position comes from the last hit of each chunk.
+    """
+    own = hits.withColumn("_own", chunk_of(F.col(order) - 1, size))
+    earlier = W.partitionBy(*keys).orderBy("_own").rowsBetween(W.unboundedPreceding, -1)
+    last = own.groupBy(*keys, "_own").agg(F.max(order).alias("_last"))
+    last = last.withColumn("_carried", F.max("_last").over(earlier)).drop("_last")
+    line = W.partitionBy(*keys, "_own").orderBy(order)
+    linked = own.withColumn("_lag", F.lag(order).over(line)).join(last, [*keys, "_own"])
+    gap = F.col(order) - F.coalesce("_lag", "_carried")
+    starts = F.when(F.coalesce(gap > 2 * n + 1, F.lit(True)), 1).otherwise(0)
+    first = chunk_of(F.greatest(F.col(order) - 1 - n, F.lit(0)), size)
+    touched = F.array(
+        F.struct(first.alias("_chunk"), starts.alias("_starts")),
+        F.struct(F.col("_own").alias("_chunk"), F.lit(0).alias("_starts")),
+        F.struct(chunk_of(F.col(order) - 1 + n, size).alias("_chunk"), F.lit(0).alias("_starts")),
+    )
+    counts = linked.select(*keys, F.inline(touched)).groupBy(*keys, "_chunk").agg(F.sum("_starts").alias("_starts"))
+    return offsets(counts, keys, "_chunk", "_starts", "_before").drop("_starts")
 
 
 def _sparse(df: DataFrame, hits: DataFrame, n: int, order: str, keys: list[str]) -> DataFrame:
@@ -40,7 +72,7 @@ def _sparse(df: DataFrame, hits: DataFrame, n: int, order: str, keys: list[str])
     return df.join(F.broadcast(_near(hits, n, order, keys)), [*keys, order])
 
 
-def _dense(df: DataFrame, n: int, order: str, keys: list[str], chunk_rows: int) -> DataFrame:
+def _dense(df: DataFrame, hits: DataFrame, n: int, order: str, keys: list[str], chunk_rows: int) -> DataFrame:
     """Many hits: one shuffle of the lines by chunk of consecutive positions.
 
     Rows close to a chunk border are copied to the neighbouring chunk, so each
@@ -62,13 +94,11 @@ def _dense(df: DataFrame, n: int, order: str, keys: list[str], chunk_rows: int)
     )
     # The number of a group is the number of group starts up to the row: a
     # running sum inside the chunk plus the starts of earlier chunks.
-    starts = kept.groupBy(*keys, "_chunk").agg(F.sum("_start").alias("_starts"))
-    before = offsets(starts, keys, "_chunk", "_starts", "_before").drop("_starts")
     inside = F.sum("_start").over(line.rowsBetween(W.unboundedPreceding, W.currentRow))
     group = F.col("_before") + F.col("_inside") - 1
     return (
         kept.withColumn("_inside", inside)
-        .join(before, [*keys, "_chunk"])
+        .join(_groups_before(hits, n, order, keys, size), [*keys, "_chunk"])
         .withColumn("group_id", group)
         .withColumn("new_group", (F.col("_start") == 1) & (group > 0))
         .drop("_own", "_chunk", "_kept", "_start", "_inside", "_before")
@@ -108,4 +138,4 @@ def context(
     marked = df.withColumn("hit", hit)
     if _bytes_of(hits, keys, 2 * n + 1) <= max_broadcast_bytes:
         return _sparse(marked, hits, n, order, keys)
-    return _dense(marked, n, order, keys, chunk_rows)
+    return _dense(marked, hits, n, order, keys, chunk_rows)

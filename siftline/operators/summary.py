@@ -20,43 +20,48 @@ def _has_level(column: str = "level") -> Column:
     return F.coalesce(F.col(column) != "", F.lit(False))
 
 
-def _span(table: DataFrame, *keys: str) -> DataFrame:
-    """Rows and first/last wall clock by instant, per ``keys``.
+def _by_offset(table: DataFrame, *keys: str) -> DataFrame:
+    """Rows, first and last wall clock per key and UTC offset.
 
     Clocks with the same offset compare directly, so the pass over the data
-    groups by offset and keeps fixed-width minima and maxima (a hash aggregate
-    combined before the shuffle); instants are compared on its few result rows.
+    keeps fixed-width minima and maxima (a hash aggregate combined before the
+    shuffle); instants are compared on its few result rows.
     """
-    moment = {c: instant(F.col(c), F.col("ts_offset")) for c in ("_min", "_max")}
-    by_offset = table.groupBy(*keys, "ts_offset").agg(
+    return table.groupBy(*keys, "ts_offset").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("_min"), F.max("ts").alias("_max")
     )
 
+
+def _merged() -> list[Column]:
+    """Aggregates that merge rows of ``_by_offset``: rows, first and last clock by instant."""
+
     def point(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(moment[c].alias("m"), F.col(c).alias("t")))
+        moment = instant(F.col(c), F.col("ts_offset"))
+        return F.when(F.col(c).isNotNull(), F.struct(moment.alias("m"), F.col(c).alias("t")))
 
-    return by_offset.groupBy(*keys).agg(
+    return [
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.min(point("_min")).alias("_first"),
-        F.max(point("_max")).alias("_last"),
-    )
+        F.min(point("_min")).getField("t").alias("first_ts"),
+        F.max(point("_max")).getField("t").alias("last_ts"),
+    ]
 
 
-def level_table(parsed: DataFrame) -> DataFrame:
-    """One row per level (NULL for none): rows and time span. The only pass over the data."""
+def _level_parts(parsed: DataFrame) -> DataFrame:
+    """The only pass over the data: rows and clocks per level (NULL for none) and offset."""
     level = F.when(_has_level(), F.col("level"))
-    return _span(parsed.select(level.alias("level"), "ts", "ts_offset"), "level")
+    return _by_offset(parsed.select(level.alias("level"), "ts", "ts_offset"), "level")
 
 
 def summary(parsed: DataFrame) -> DataFrame:
     """One row: ``total, unparsed, n_levels, first_ts, last_ts``."""
+    rows, first, last = _merged()
     none = F.col("level").isNull()
-    return level_table(parsed).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+    return _level_parts(parsed).agg(
+        rows.alias("total"),
         F.coalesce(F.sum(F.when(none, F.col("n"))), F.lit(0)).alias("unparsed"),
-        F.count("level").alias("n_levels"),
-        F.min("_first").getField("t").alias("first_ts"),
-        F.max("_last").getField("t").alias("last_ts"),
+        F.count_distinct("level").alias("n_levels"),
+        first,
+        last,
     )
 
 
@@ -75,9 +80,7 @@ def unparsed_rows(parsed: DataFrame) -> DataFrame:
 
 def time_span(parsed: DataFrame) -> DataFrame:
     """``first_ts, last_ts``: wall clocks of the earliest and latest instant."""
-    return _span(parsed.select("ts", "ts_offset")).select(
-        F.col("_first.t").alias("first_ts"), F.col("_last.t").alias("last_ts")
-    )
+    return _by_offset(parsed.select("ts", "ts_offset")).agg(*_merged()[1:])
 
 
 def severity_rollup(parsed: DataFrame) -> DataFrame:
@@ -99,22 +102,17 @@ def summary_report(parsed: DataFrame) -> DataFrame:
 
     Total, known levels by severity, other levels by name, rows without level,
     then first and last time. One pass over the data: the grand total is rolled
-    up from the level table.
+    up from the counts per level.
     """
-    levels = level_table(parsed)
+    parts = _level_parts(parsed)
     # One row of zero lines, so that empty input still reports its total.
-    nothing = parsed.sparkSession.range(1).select(
-        *[F.lit(0 if f.name == "n" else None).cast(f.dataType).alias(f.name) for f in levels.schema.fields]
+    nothing = parsed.sparkSession.range(0, 1, 1, 1).select(
+        *[F.lit(0 if f.name == "n" else None).cast(f.dataType).alias(f.name) for f in parts.schema.fields]
     )
     rolled = (
-        levels.unionByName(nothing)
+        parts.unionByName(nothing)
         .rollup("level")
-        .agg(
-            F.sum("n").alias("n"),
-            F.min("_first").alias("_first"),
-            F.max("_last").alias("_last"),
-            F.grouping_id().alias("_all"),
-        )
+        .agg(*_merged(), F.grouping_id().alias("_all"))
         .where((F.col("_all") == 1) | (F.col("n") > 0))
     )
 
@@ -130,8 +128,8 @@ def summary_report(parsed: DataFrame) -> DataFrame:
     level = F.col("level")
     whole = F.array(
         line("total", F.lit(0), F.lit("Total lines"), count),
-        line("span", F.lit(1), F.lit("From"), clock("_first.t")),
-        line("span", F.lit(2), F.lit("To"), clock("_last.t")),
+        line("span", F.lit(1), F.lit("From"), clock("first_ts")),
+        line("span", F.lit(2), F.lit("To"), clock("last_ts")),
     )
     single = F.array(
         line(
