@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from siftline.functions.staging import once
 from siftline.session import pin_split_layout, prepare, stage
 
 SAMPLE_ROWS = 20
@@ -76,17 +76,29 @@ def _same_scheme(uri: Column) -> Column:
     return F.regexp_replace(uri, "^file:/+", "file:/")
 
 
-def _scan(spark: SparkSession, files: list[InputFile]) -> DataFrame:
-    """Distinct files as lines with split identity; invalid UTF-8 becomes U+FFFD."""
-    locations = list(dict.fromkeys(f.location for f in files))
+def _scan(spark: SparkSession, locations: list[str]) -> DataFrame:
+    """Lines with the URI of their file; invalid UTF-8 becomes U+FFFD."""
     return spark.read.text(locations).select(
-        F.make_valid_utf8("value").alias("raw"),
-        _same_scheme(F.col("_metadata.file_path")).alias("_uri"),
+        F.make_valid_utf8("value").alias("raw"), F.col("_metadata.file_path").alias("_uri"), "_metadata"
+    )
+
+
+def _scan_splits(spark: SparkSession, files: list[InputFile]) -> DataFrame:
+    """Each file once, with split and row identity."""
+    return _scan(spark, list(dict.fromkeys(f.location for f in files))).select(
+        "raw",
+        _same_scheme(F.col("_uri")).alias("_uri"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
 
 
+def _path(uri: Column) -> Column:
+    """The path of a file URI, without scheme and host, decoded."""
+    path = F.regexp_replace(uri, "^[A-Za-z0-9+.-]+:(?://[^/]*)?", "")
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def _split_bound(spark: SparkSession, files: list[InputFile]) -> int:
     """An upper bound on the number of scan splits, from the listing alone."""
     size = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
@@ -118,39 +130,40 @@ def split_positions(lines: DataFrame, files: list[InputFile]) -> DataFrame:
 def read_lines(spark: SparkSession, paths: str | list[str], numbered: bool = True) -> DataFrame:
     """Lines of plain, ``.gz`` or ``.bz2`` text files: ``file, lineno, seq, raw``.
 
+    ``file`` is the path; a single file keeps the name it was given by.
+
     ``lineno`` counts from 1 in each file, ``seq`` over the whole input in
     argument order. Numbering counts the rows of every split in one narrow pass,
     run here; its table (one row per split) is kept in the shared folder, so that
     later jobs over the lines read the files once each. Without ``numbered`` only
-    ``file, raw`` are produced, without that pass.
+    ``file, raw`` are produced, without that pass or any join.
     """
     prepare(spark)
     files = expand(spark, paths)
     if not files:
         empty = "file STRING, lineno BIGINT, seq BIGINT, raw STRING" if numbered else "file STRING, raw STRING"
         return spark.createDataFrame([], empty)
-    bound = _split_bound(spark, files)
-    lines = _scan(spark, files)
-    if numbered:
+    if not numbered:
+        # Reading a path twice gives its lines twice.
+        result = _scan(spark, [f.location for f in files]).select(_path(F.col("_uri")).alias("file"), "raw")
+    else:
+        lines = _scan_splits(spark, files)
         places = stage(split_positions(lines, files), "splits")
-        if bound <= MAX_BROADCAST_SPLITS:
+        if _split_bound(spark, files) <= MAX_BROADCAST_SPLITS:
             places = F.broadcast(places)
         # Left join plus the check below: a line outside its counted split stops
-        # the job instead of getting a wrong number.
+        # the job instead of getting a wrong number. The check is computed in a
+        # step of its own, which later filters cannot turn into an inner join.
         joined = lines.join(places, ["_uri", "_block"], "left")
         row = F.col("_id") - F.col("_first")
-        sound = F.col("_rows").isNotNull() & (row >= 0) & (row < F.col("_rows"))
-        row = F.when(sound, row).otherwise(
-            F.raise_error(F.lit("input files changed or were split differently between two passes")).cast("bigint")
-        )
         lineno = F.col("_offset") + row + 1
-        result = joined.select("file", lineno.alias("lineno"), (F.col("_file_offset") + lineno).alias("seq"), "raw")
-    else:
-        order = spark.createDataFrame([(f.name, f.uri) for f in files], T.StructType.fromDDL("file STRING, _uri STRING"))
-        order = order.withColumn("_uri", _same_scheme(F.col("_uri")))
-        if bound <= MAX_BROADCAST_SPLITS:
-            order = F.broadcast(order)
-        result = lines.join(order, "_uri").select("file", "raw")
+        place = F.struct(
+            F.col("file"), lineno.alias("lineno"), (F.col("_file_offset") + lineno).alias("seq")
+        )
+        sound = F.col("_rows").isNotNull() & (row >= 0) & (row < F.col("_rows"))
+        wrong = F.raise_error(F.lit("input files changed or were split differently between two passes"))
+        checked = F.when(sound, place).otherwise(wrong)
+        result = once(joined, "_place", checked).select("_place.file", "_place.lineno", "_place.seq", "raw")
     if any(f.uri.endswith(".gz") and f.size > SPREAD_BYTES for f in files):
         result = result.hint("rebalance")
     return result
@@ -165,6 +178,6 @@ def head(spark: SparkSession, paths: str | list[str], rows: int = SAMPLE_ROWS) -
             break
         if f.size:
             # take() reads the first split first, and stops there when it is enough
-            part = _scan(spark, [f]).select("raw").take(rows - len(taken))
+            part = _scan(spark, [f.location]).select("raw").take(rows - len(taken))
             taken += [(len(taken) + i + 1, line.raw) for i, line in enumerate(part)]
     return spark.createDataFrame(taken, "seq BIGINT, raw STRING")

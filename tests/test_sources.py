@@ -30,6 +30,8 @@ def test_line_ends_blank_lines_and_bad_bytes(spark, tmp_path):
     got = read_lines(spark, str(p))
     assert rows(got) == brute([["one", "two", "three", "", "bad �� end", "last é"]])
     assert {r.file for r in got.select("file").collect()} == {str(p)}
+    twice = read_lines(spark, [str(p), str(p)], numbered=False)
+    assert {r.file for r in twice.select("file").collect()} == {str(p)} and twice.count() == 12
 
 
 def test_compressed_files(spark, tmp_path):
@@ -78,10 +80,19 @@ def test_numbers_over_many_splits(spark, tmp_path, monkeypatch, broadcast):
 
 
 def test_changed_split_layout_stops_the_job(spark, tmp_path):
-    (tmp_path / "big.log").write_text("\n".join(f"line {i}" for i in range(5000)))
-    got = files._scan(spark, expand(spark, str(tmp_path / "big.log")))
-    places = files.split_positions(got, expand(spark, str(tmp_path / "big.log")))
-    assert [(r._block, r._rows, r._offset) for r in places.collect()] == [(0, 5000, 0)]
+    path = tmp_path / "big.log"
+    path.write_text("\n".join(f"line {i}" for i in range(5000)))
+    numbered = read_lines(spark, str(path))
+    with open(path, "a") as f:
+        f.write("\nmore\nlines")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000b")
+    try:
+        for frame in (numbered, numbered.where("seq > 10"), numbered.where("seq is not null").select("raw")):
+            with pytest.raises(Exception, match="split differently"):
+                frame.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_head_reads_on_until_it_has_enough(spark, tmp_path):
