@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from siftline.functions.staging import once
 from siftline.operators.numbering import number_rows
 from siftline.session import stage
 
@@ -176,7 +177,8 @@ def mine(
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """``shape, template, n, first_seq``: the template of every distinct masked text."""
-    routed = stage(_route(distinct_shapes(texts, text, order), max_children), "shapes")
+    # Everything after this line works on distinct messages only.
+    routed = _route(stage(distinct_shapes(texts, text, order), "shapes"), max_children)
     big = _big_leaves(routed, leaf_rows)
     if big.isEmpty():
         mined = _mine_parts(routed.withColumn("part", F.lit(0)))
@@ -243,5 +245,5 @@ def assign(
     measured = mined.agg(F.sum(width.cast("bigint")).alias("b")).first().b or 0
     if measured <= max_broadcast_bytes:
         table = F.broadcast(table)
-    bare = lines.drop("cluster_id", "template").withColumn("shape", masked(F.col(text)))
+    bare = once(lines.drop("cluster_id", "template"), "shape", masked(F.col(text)))
     return bare.join(table, "shape").drop("shape")

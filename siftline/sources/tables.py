@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.staging import once
+
 # The same terminators as in text files.
 _TERMINATORS = r"\r\n|\r|\n"
 
@@ -17,6 +19,7 @@ def split_lines(text: Column) -> Column:
 
 def lines_from_table(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """``keys, lineno, raw``: one row per line of ``text``, numbered from 1 in each row. No shuffle."""
-    return df.select(*keys, F.posexplode(split_lines(F.col(text))).alias("_pos", "raw")).select(
+    cut = once(df.select(*keys, text), "_lines", split_lines(F.col(text)))
+    return cut.select(*keys, F.posexplode("_lines").alias("_pos", "raw")).select(
         *keys, (F.col("_pos") + 1).cast("bigint").alias("lineno"), "raw"
     )
