@@ -15,6 +15,15 @@ from siftline.schema import OUTPUT_COLUMNS, SEVERITY_ORDER
 SEPARATOR = "--"
 FORMATS = ("text", "json", "csv")
 
+# Doubled quotes, bare empty cells, blanks kept.
+CSV_OPTIONS = {
+    "header": True,
+    "emptyValue": "",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 
 def prefix(file: Column | None = None, lineno: Column | None = None) -> Column:
     """``file:lineno:`` from the parts given; '' when there is none."""
@@ -114,10 +123,4 @@ def write_matches(
     if kind == "json":
         record.write.mode(mode).option("ignoreNullFields", "false").json(path)
         return
-    record.write.mode(mode).options(
-        header=True,
-        emptyValue="",
-        escape='"',
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    ).csv(path)
+    record.write.mode(mode).options(**CSV_OPTIONS).csv(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftline.operators.predicates import definite
-from siftline.operators.render import json_line, output_record, text_lines
+from siftline.operators.render import CSV_OPTIONS, json_line, output_record, text_lines
 from siftline.operators.search import search
 from siftline.session import prepare
 
@@ -91,7 +91,7 @@ def start_sink(
         raise ValueError(f"unknown output format {fmt!r}; one of text, json, csv, parquet")
     writer = rows.writeStream.format(kind).outputMode("append")
     if kind == "csv":
-        writer = writer.options(header=True, emptyValue="", escape='"')
+        writer = writer.options(**CSV_OPTIONS)
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
