@@ -9,7 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import minhash
+from pyspark.sql import functions as F
+
+from siftline.llm import decontaminate, minhash, packing, ppm
+from siftline.llm.tokens import crc_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +29,41 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    docs = docs.select("doc_id", "text", "lang", (crc_remainder("doc_id", 5) == 0).alias("held_out"))
+    tree = ppm.fit(docs.where("not held_out").select("text", "lang"))
+    return ppm.identify(docs, tree, ["doc_id", "held_out"])
+
+
 @query
 def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), minhash.MinHash(shingle=2))
+
+
+def byte_vocabulary() -> str:
+    """Path of the public byte-level vocabulary that op5 asks for."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    cut = packing.pieces(docs, byte_vocabulary(), with_ids=False).drop("ids")
+    return packing.pack(cut, n_docs=docs.count())
+
+
+@query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.find(docs.select("doc_id", "text"), benchmark, ["doc_id"]).select(
+        "doc_id",
+        F.col("__n_words").alias("n_words"),
+        F.col("__n_hit").alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
+        (F.col("__n_hit") > 0).alias("contaminated"),
+    )

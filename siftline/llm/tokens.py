@@ -27,8 +27,10 @@ def crc_remainder(id_column: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.encode(text, "utf-8")), F.lit(divisor))
 
 
-def slices(batches: Iterator[pa.RecordBatch], *text_columns: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the texts of a slice stay below ``SLICE_BYTES``."""
+def slices(
+    batches: Iterator[pa.RecordBatch], *text_columns: str, size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the texts of a slice stay below ``size`` bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -37,11 +39,11 @@ def slices(batches: Iterator[pa.RecordBatch], *text_columns: str) -> Iterator[pa
             length = pc.fill_null(pc.binary_length(batch.column(name)), 0)
             sizes += length.to_numpy(zero_copy_only=False).astype(np.int64)
         start, total = 0, 0
-        for i, size in enumerate(sizes.tolist()):
-            if total + size > SLICE_BYTES and i > start:
+        for i, here in enumerate(sizes.tolist()):
+            if total + here > size and i > start:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
-            total += size
+            total += here
         yield batch.slice(start)
 
 
