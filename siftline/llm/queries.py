@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from siftline.llm import decontaminate, minhash, packing, ppm
+from siftline.llm import decontaminate, minhash, packing, paragraphs, ppm
 from siftline.llm.tokens import crc_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,15 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
         (F.col("__n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op7_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
