@@ -25,35 +25,37 @@ from siftline.session import stage
 
 @dataclass(frozen=True)
 class MinHash:
-    """``bands`` bands of ``rows`` minima; ``bits`` bits of each minimum are kept.
+    """``bands`` bands of ``rows`` minima; ``bits`` bits of ``kept`` minima are kept for estimates.
 
     A pair at exactly ``percent`` = 80 shares no band with probability
     (1 - 0.8^6)^40 = 5e-6. ``sigmas`` is the distance, in standard errors of the
-    estimate, below the threshold up to which candidates are still confirmed.
+    estimate, below the threshold up to which candidates are still confirmed: with five, a pair at the threshold
+    is overlooked with probability 3e-7.
     """
 
     shingle: int = 5
     percent: int = 80
     bands: int = 40
     rows: int = 6
-    bits: int = 2
-    sigmas: float = 6.0
+    bits: int = 4
+    kept: int = 480
+    sigmas: float = 5.0
 
-    @property
-    def size(self) -> int:
-        return self.bands * self.rows
+    def __post_init__(self):
+        if self.kept < self.bands * self.rows:
+            raise ValueError("kept minima must cover the bands")
 
     @property
     def longs(self) -> int:
-        return -(-self.size // 64)
+        return -(-self.kept // 64)
 
     def most_mismatches(self) -> int:
         """Unequal kept values up to which a pair may still reach the threshold."""
         chance = 2.0**-self.bits
         j = self.percent / 100
         agree = chance + (1 - chance) * j
-        error = math.sqrt(agree * (1 - agree) / self.size)
-        return math.floor((1 - agree + self.sigmas * error) * self.size)
+        error = math.sqrt(agree * (1 - agree) / self.kept)
+        return math.floor((1 - agree + self.sigmas * error) * self.kept)
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +117,7 @@ def _signatures(params: MinHash):
         for batch in slices(batches, "text"):
             sets, begin = shingle_sets(batch.column("text"), params.shingle)
             one, two = set_keys(sets, begin)
-            found = minima(sets, begin, params.size)
+            found = minima(sets, begin, params.kept)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -177,7 +179,7 @@ def mismatches(left: Column, right: Column, params: MinHash) -> Column:
 def estimate(unequal: Column, params: MinHash) -> Column:
     """Similarity from the number of unequal kept values, corrected for chance agreement."""
     chance = 2.0**-params.bits
-    return F.greatest(F.lit(0.0), ((1 - unequal / params.size) - chance) / (1 - chance))
+    return F.greatest(F.lit(0.0), ((1 - unequal / params.kept) - chance) / (1 - chance))
 
 
 def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
@@ -194,8 +196,8 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
     no row with an id has that set. Other columns are ignored.
 
     Equal sets become one class before anything is compared, so groups of copies
-    cost one member. Bands give each class the smallest member of its
-    bucket as partner; a chain of three steps (nearest partner, all such partners,
+    cost one member. Bands give each class as partner the member of its bucket that meets most
+    others in all buckets; a chain of three steps (most central partner, all such partners,
     all other members of a bucket) confirms only pairs that earlier steps left in
     different components. The last step compares in the join condition and returns only
     pairs whose estimate is near the threshold; no bucket is collected or cut.
@@ -212,8 +214,12 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
         "classes",
     )
     by_band = classes.select("id", F.explode("band_keys").alias("band_key"))
-    shared = by_band.groupBy("band_key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub != far")
-    members = stage(by_band.join(shared.select("band_key", "hub"), "band_key"), "members")
+    shared = by_band.groupBy("band_key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stage(by_band.join(shared, "band_key"), "members")
+    # the member that meets most others is likely the text that they were made from
+    central = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    weighed = members.join(central, "id").select("band_key", "id", F.struct(-F.col("weight"), "id").alias("rank"))
+    hubs = weighed.groupBy("band_key").agg(F.min("rank").alias("hub"))
     involved = members.select("id").distinct()
     texts = stage(docs.join(involved, docs.doc_id == involved.id, "left_semi"), "texts")
     planes = stage(classes.join(involved, "id", "left_semi").select("id", "planes"), "planes")
@@ -221,13 +227,14 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
     planes_b = planes.select(F.col("id").alias("b"), F.col("planes").alias("planes_b"))
     likely = mismatches(F.col("planes_a"), F.col("planes_b"), params) <= params.most_mismatches()
     partners = stage(
-        members.where("id != hub")
-        .select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        members.join(hubs, "band_key")
+        .select(F.col("hub.id").alias("a"), F.col("id").alias("b"), "hub")
+        .where("a != b")
         .distinct()
         .join(planes_a, "a")
         .join(planes_b, "b")
         .where(likely)
-        .select("a", "b"),
+        .select("a", "b", "hub"),
         "partners",
     )
     labels = None  # class id -> component, for classes in a link
@@ -264,7 +271,7 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
         joined = pairs.join(a, "a", "left").join(b, "b", "left")
         return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    nearest = partners.groupBy("b").agg(F.min("a").alias("a"))
+    nearest = partners.groupBy("b").agg(F.min("hub").alias("hub")).select(F.col("hub.id").alias("a"), "b")
     settle(nearest.select("a", "b"))
     settle(apart(partners.join(nearest, ["a", "b"], "left_anti")))
     named = labels.select(F.col("node").alias("id"), "component")

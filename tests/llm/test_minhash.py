@@ -90,7 +90,7 @@ def test_large_group_of_copies_keeps_one(spark):
 
 
 def test_estimate_is_corrected_for_chance(spark):
-    params = MinHash(bands=16, rows=4, bits=2)
+    params = MinHash(bands=16, rows=4, bits=2, kept=64)
     row = spark.range(1).select(
         F.array(F.lit(0), F.lit(0)).alias("x"), F.array(F.lit(0b1100), F.lit(0b0110)).alias("y")
     )
