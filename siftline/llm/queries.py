@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, decontaminate, minhash, packing, paragraphs, ppm, topk, warc
+from siftline.llm import chat, decontaminate, kneser_ney, minhash, packing, paragraphs, ppm, topk, warc
 from siftline.llm.tokens import crc_remainder
 from siftline.session import work_folder
 
@@ -49,6 +49,14 @@ def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), minhash.MinHash(shingle=2))
 
 
+@query
+def op4_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    docs = docs.select("doc_id", "text", (crc_remainder("doc_id", 10) == 0).alias("held_out"))
+    model = kneser_ney.train(docs.where("not held_out").select("text"))
+    return kneser_ney.score(docs, model, ["doc_id", "held_out"])
+
+
 def byte_vocabulary() -> str:
     """Path of the public byte-level vocabulary that op5 asks for."""
     import public_tokenizers
