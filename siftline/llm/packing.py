@@ -33,8 +33,8 @@ class Packing:
     """Capacities of a sequence and how sequences are chosen.
 
     ``rule`` is ``"norm"`` or ``"dot"``; ``weights`` weigh tokens, pieces and attention cost, each as a share of its
-    capacity. ``group_pieces`` is the expected number of pieces packed together by one task; every group may leave
-    one sequence partly empty, 1 in some 60,000.
+    capacity. ``group_docs`` is the number of documents whose pieces one task packs together; every group may leave
+    one sequence partly empty, 1 in some 30,000.
     """
 
     tokens: int = 1024
@@ -43,7 +43,7 @@ class Packing:
     rule: str = "norm"
     weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
     end: int = 2
-    group_pieces: int = 65_536
+    group_docs: int = 32_768
 
     def __post_init__(self):
         if self.rule not in ("norm", "dot"):
@@ -197,24 +197,15 @@ def _pack(params: Packing):
 def pack(cut: DataFrame, params: Packing = Packing(), n_docs: int | None = None) -> DataFrame:
     """``sequence_id`` and ``offset`` for every piece, by groups of pieces dealt out by hash.
 
-    ``n_docs`` is the number of documents (counted if not given); it sets the number of groups. Full pieces
-    fill a sequence alone and stay out of the grouping: their number comes from document and piece, beyond
-    those of the groups. Equal rows are placed separately. Lengths must be between 1 and ``params.longest``.
+    ``n_docs`` is the number of documents (counted if not given); it sets the number of groups, to some
+    ``group_docs`` documents each. Equal rows are placed separately. Lengths must be between 1 and ``params.longest``.
     """
     if n_docs is None:
         n_docs = cut.where("piece = 0").count()
-    groups = max(1, math.ceil(n_docs / params.group_pieces))
-    alone = cut.where(F.col("length") == params.tokens)
-    others = cut.where(F.col("length") != params.tokens)
-    others = others.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    groups = max(1, math.ceil(n_docs / params.group_docs))
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
     schema = cut.schema.add("sequence_id", "long").add("offset", "long")
-    packed = others.groupBy("pack_group").applyInArrow(_pack(params), schema)
-    single = alone.select(
-        "*",
-        (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"),
-        F.lit(0).cast("long").alias("offset"),
-    )
-    return packed.unionByName(single)
+    return dealt.groupBy("pack_group").applyInArrow(_pack(params), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def check(cut, packed, params):
     return len(by_sequence)
 
 
-@pytest.mark.parametrize("params", [Packing(tokens=16, group_pieces=30), Packing(tokens=16, pieces=3, rule="dot", weights=(1, 1, 1)), Packing(tokens=16, attention=150, weights=(1, 0.5, 1))])
+@pytest.mark.parametrize("params", [Packing(tokens=16, group_docs=30), Packing(tokens=16, pieces=3, rule="dot", weights=(1, 1, 1)), Packing(tokens=16, attention=150, weights=(1, 0.5, 1))])
 def test_round_trip_and_capacities(spark, params):
     rnd = random.Random(2)
     texts = ODD + [" ".join(rnd.choice(["a", "of", "the", "zebra", "é"]) for _ in range(rnd.randint(0, 60))) for _ in range(150)]
