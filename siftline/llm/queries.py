@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, decontaminate, kneser_ney, minhash, packing, paragraphs, ppm, topk, warc
+from siftline.llm import chat, decontaminate, kneser_ney, minhash, packing, paragraphs, ppm, rules, topk, warc
 from siftline.llm.tokens import crc_remainder
-from siftline.session import work_folder
+from siftline.session import stage, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +97,17 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    docs = docs.select("doc_id", "text", (crc_remainder("doc_id", 4) == 2).alias("held_out"))
+    seen = stage(rules.statistics(docs, ["doc_id", "held_out"]), "statistics")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    ensemble = rules.fit(seen.where("not held_out").join(labels, "doc_id"))
+    scored = seen.select("doc_id", "held_out", ensemble.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query
 def op7_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return paragraphs.repeated_passages(table(spark, folder, "documents"))
