@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import chat, decontaminate, kneser_ney, minhash, packing, paragraphs, ppm, rules, topk, warc
+from siftline.llm.oracle import SQL as ORACLE
 from siftline.llm.tokens import crc_remainder
 from siftline.session import stage, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(ORACLE)
 
 
 def query(fn: Query) -> Query:
