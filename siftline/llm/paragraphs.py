@@ -19,7 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm.components import connected_components
-from siftline.llm.tokens import BLANK, mix, slices, text_bytes, unique_per_text, windows, words
+from siftline.llm.tokens import (
+    BLANK,
+    mix,
+    place,
+    renamed,
+    restored,
+    slices,
+    text_bytes,
+    unique_per_text,
+    windows,
+    words,
+)
 from siftline.session import stage
 
 U64 = np.uint64
@@ -44,17 +55,17 @@ class Paragraphs:
 def cuts(hashes: np.ndarray, first: np.ndarray, radius: int) -> np.ndarray:
     """First words of all paragraphs, in order; every text with words starts one."""
     texts = len(first) - 1
-    place = np.arange(len(hashes)) + np.repeat(np.arange(1, texts + 1), np.diff(first)) * radius
+    spot = np.arange(len(hashes)) + np.repeat(np.arange(1, texts + 1), np.diff(first)) * radius
     pair = np.full(len(hashes) + (texts + 1) * radius, ~U64(0))
     if len(hashes) > 1:
-        pair[place[:-1]] = mix(hashes[:-1] * U64(0x9E3779B97F4A7C15) + hashes[1:])
+        pair[spot[:-1]] = mix(hashes[:-1] * U64(0x9E3779B97F4A7C15) + hashes[1:])
         last = first[1:][np.diff(first) > 0] - 1
-        pair[place[last]] = ~U64(0)  # the last word of a text has no next one
+        pair[spot[last]] = ~U64(0)  # the last word of a text has no next one
     smaller = np.ones(len(pair), bool)
     for k in range(1, radius + 1):
         smaller[k:] &= pair[k:] < pair[:-k]
         smaller[:-k] &= pair[:-k] <= pair[k:]
-    begins = smaller[place] & (pair[place] != ~U64(0)) if len(hashes) else np.zeros(0, bool)
+    begins = smaller[spot] & (pair[spot] != ~U64(0)) if len(hashes) else np.zeros(0, bool)
     begins[first[:-1][np.diff(first) > 0]] = True
     return np.flatnonzero(begins)
 
@@ -71,7 +82,11 @@ def _paragraphs(params: Paragraphs):
             runs, at = windows(hashes, begin, params.shingle)
             if not keep.any():
                 continue
-            sequence = np.add.reduceat(mix(runs + (np.arange(len(runs)) - np.repeat(at[:-1], np.diff(at))).astype(U64)), at[:-1])
+            # equal shingles of a paragraph count once, so equal sets are one class
+            own = np.repeat(np.arange(len(length)), np.diff(at)).astype(U64)
+            once = np.zeros(len(runs), U64)
+            once[np.unique(mix(runs + own * U64(0x9E3779B97F4A7C15)), return_index=True)[1]] = U64(1)
+            sets = np.add.reduceat(mix(runs) * once, at[:-1])
             keys = [
                 (np.minimum.reduceat(mix(runs ^ U64(0x51ED27 * (k + 1))), at[:-1]) << U64(3)) | U64(k)
                 for k in range(params.bands)
@@ -82,7 +97,7 @@ def _paragraphs(params: Paragraphs):
                     batch.column("doc_id").take(pa.array(doc[keep])),
                     pa.array((begin[:-1] - first[doc])[keep], pa.int32()),
                     pa.array(length[keep], pa.int32()),
-                    pa.array(sequence[keep].view(np.int64)),
+                    pa.array(sets[keep].view(np.int64)),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(count + 1) * params.bands, pa.int32()),
                         pa.array(np.stack([k[keep] for k in keys], axis=1).reshape(-1).view(np.int64)),
@@ -95,24 +110,29 @@ def _paragraphs(params: Paragraphs):
 
 
 _OCCURRENCE = ["doc", "word", "size"]
-_MET = T.StructType().add("key", "long")
-for _side in "ab":
-    _MET = _MET.add(f"class_{_side}", "long").add(f"doc_{_side}", "long").add(f"word_{_side}", "integer").add(f"size_{_side}", "integer")
+_MET = T.StructType().add("key", "long").add("class", "long").add("doc", "long").add("word", "integer").add("size", "integer")
 
 
 def _meet(batches):
-    """Rows come sorted by bucket, class, document and word.
+    """Rows come sorted by bucket, class, document and word; a bucket may begin and end in other partitions.
 
-    A repeated class is reported with its first occurrence, once (band 0), without key; the first occurrence of each
-    further class of a bucket with the first row of the bucket. Only these two rows are carried along.
+    Reported without key: all occurrences of a class that has several (band 0). With key: an occurrence of each class of a
+    bucket that has several. What lies at either end of the partition is reported as well, as
+    it may go on in the next. Only the first rows of the bucket and of the class are carried along.
     """
     names = ["class", *_OCCURRENCE]
     carried: list[np.ndarray] = []
+
+    def report(rows, chosen, key=None):
+        bucket = pa.nulls(len(chosen), pa.int64()) if key is None else pa.array(key[chosen])
+        return pa.RecordBatch.from_arrays([bucket, *(pa.array(r[chosen]) for r in rows)], _MET.names)
+
     for batch in batches:
         if not batch.num_rows:
             continue
         key = batch.column("key").to_numpy()
         rows = [batch.column(n).to_numpy() for n in names]
+        begins = not carried
         if carried:
             key = np.concatenate([carried[0], key])
             rows = [np.concatenate([c, r]) for c, r in zip(carried[1:], rows)]
@@ -122,17 +142,19 @@ def _meet(batches):
         at = np.arange(len(key))
         hub = np.maximum.accumulate(np.where(new_key, at, 0))
         head = np.maximum.accumulate(np.where(new_class, at, 0))
-        again = ~new_class & (key & 7 == 0) & ((rows[1] != rows[1][head]) | (rows[2] != rows[2][head]))
-        other = new_class & ~new_key
-        for chosen, partner, named in ((again, head, False), (other, hub, True)):
-            chosen = np.flatnonzero(chosen[skip:]) + skip
-            if len(chosen):
-                left = [r[partner[chosen]] for r in rows]
-                bucket = pa.array(key[chosen]) if named else pa.nulls(len(chosen), pa.int64())
-                columns = [bucket, *map(pa.array, left), *(pa.array(r[chosen]) for r in rows)]
-                yield pa.RecordBatch.from_arrays(columns, _MET.names)
+        fresh = at >= skip
+        again = ~new_class & (key & 7 == 0) & fresh
+        second = again & (at - head == 1)
+        other = new_class & ~new_key & fresh
+        ends = [0] if begins else []
+        yield report(rows, np.concatenate([np.flatnonzero(again), head[second], ends]).astype(np.int64))
+        yield report(rows, np.concatenate([np.flatnonzero(other), np.unique(hub[other]), ends]).astype(np.int64), key)
         last = [hub[-1], head[-1]] if hub[-1] != head[-1] else [hub[-1]]
         carried = [key[last], *(r[last] for r in rows)]
+    if carried:
+        both = np.arange(len(carried[0]))
+        yield report(carried[1:], both)
+        yield report(carried[1:], both, carried[0])
 
 
 def _shingles(size: int):
@@ -173,31 +195,43 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def _links(met: DataFrame, docs: DataFrame, params: Paragraphs) -> DataFrame:
-    """Pairs of classes that share a bucket and have enough shingles in common, with their first occurrences.
+    """Pairs ``class_a, class_b`` of classes that connect all classes with enough shingles in common in a bucket.
 
-    The members of a bucket are compared inside the join condition, which returns links only. ``bits`` has one bit set
+    First the class of a bucket that meets most others is compared with the rest; then the classes still in different
+    components are compared inside the join condition, which returns links only. ``bits`` has one bit set
     for each shingle: sets whose bits differ in more places than their shingles may differ can't be linked, which
     settles nearly all comparisons without loss.
     """
-    near = met.where("key is not null")
-    side = lambda s: near.select("key", *(F.col(f"{n}_{s}").alias(n) for n in ("class", *_OCCURRENCE)))
-    members = stage(side("a").union(side("b")).distinct(), "bucket-members")
+    first = F.min(F.struct(*_OCCURRENCE)).alias("first")
+    members = met.where("key is not null").groupBy("key", "class").agg(first)
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stage(members.join(shared, "key").select("key", "class", "first.*", "n"), "bucket-members")
     wanted = members.select(*_OCCURRENCE).distinct()
     wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("word", "size")).alias("wanted"))
     sets = docs.join(wanted, docs.doc_id == wanted.doc).select("doc_id", "text", "wanted")
-    sets = stage(
-        sets.mapInArrow(_shingles(params.shingle), "doc long, word int, shingles array<long>, bits long"), "paragraph-sets"
+    sets = sets.mapInArrow(_shingles(params.shingle), "doc long, word int, shingles array<long>, bits long")
+    weight = members.groupBy("class").agg(F.sum("n").alias("weight"))
+    members = stage(
+        members.join(sets, ["doc", "word"]).join(weight, "class").select("key", "class", "weight", "shingles", "bits"),
+        "paragraph-sets",
     )
-    members = members.join(sets, ["doc", "word"])
-    named = lambda s: members.select("key", *(F.col(n).alias(f"{n}_{s}") for n in members.columns if n != "key"))
     p = params.percent
     sizes = F.size("shingles_a") + F.size("shingles_b")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     # overlap of p percent: the sets differ in (100 - p) / (100 + p) of their summed sizes at most
     may = (100 + p) * F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= (100 - p) * sizes
-    linked = (F.col("class_a") < F.col("class_b")) & may & (100 * common >= p * (sizes - common))
-    columns = [f"{n}_{s}" for s in "ab" for n in ("class", *_OCCURRENCE)]
-    return named("a").join(named("b"), "key").where(linked).select(*columns).distinct()
+    linked = may & (100 * common >= p * (sizes - common))
+    named = lambda rows, s: rows.select("key", *(F.col(n).alias(f"{n}_{s}") for n in rows.columns if n != "key"))
+    central = F.min_by(F.struct("class", "shingles", "bits"), F.struct(-F.col("weight"), "class")).alias("hub")
+    hubs = members.groupBy("key").agg(central).select("key", "hub.*")
+    stars = named(members, "a").join(named(hubs, "b"), "key").where((F.col("class_a") != F.col("class_b")) & linked)
+    stars = stage(stars.select("class_a", "class_b").distinct(), "paragraph-stars")
+    labels = connected_components(stars, "class_a", "class_b").select(F.col("node").alias("class"), "component")
+    placed = members.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    placed = stage(placed.join(split.select("key"), "key", "left_semi"), "paragraph-apart")
+    apart = named(placed, "a").join(named(placed, "b"), "key").where((F.col("component_a") < F.col("component_b")) & linked)
+    return stars.union(apart.select("class_a", "class_b")).distinct()
 
 
 def repeated_passages(docs: DataFrame, params: Paragraphs = Paragraphs()) -> DataFrame:
@@ -213,36 +247,30 @@ def repeated_passages(docs: DataFrame, params: Paragraphs = Paragraphs()) -> Dat
     the same doc_id are taken as one document: a paragraph at the same words of both is one occurrence.
     Other columns are ignored.
 
-    One shuffle deals the paragraphs by bucket; buckets stream through their task in order, which keeps two rows
-    at a time, so a bucket of any size needs no memory. A repeat costs one row; only different paragraphs of a
-    bucket are compared with each other.
+    One shuffle sorts the paragraphs by bucket, class and place over all partitions, so a frequent paragraph is spread over
+    many tasks. Rows stream through a task, which keeps two at a time. A repeat costs one row; only
+    different paragraphs of a bucket are compared with each other.
     """
     docs = _documents(docs)
+    order = ["key", "class", "doc", "word"]
     buckets = (
         docs.mapInArrow(_paragraphs(params), "doc long, word int, size int, class long, keys array<long>")
         .select("class", "doc", "word", "size", F.explode("keys").alias("key"))
-        .repartition("key")
-        .sortWithinPartitions("key", "class", "doc", "word")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
     )
     met = stage(buckets.mapInArrow(_meet, _MET), "paragraphs")
     links = stage(_links(met, docs, params), "paragraph-links")
-    labels = connected_components(links, "class_a", "class_b")
-    heads = links.select(F.col("class_a").alias("node"), *(F.col(f"{n}_a").alias(n) for n in _OCCURRENCE))
-    heads = heads.union(links.select("class_b", *(f"{n}_b" for n in _OCCURRENCE))).distinct()
-    heads = heads.join(labels, "node")
-    kept = heads.groupBy("component").agg(F.min(F.struct("doc", "word")).alias("kept"))
-    heads = stage(heads.join(kept, "component"), "paragraph-heads")
-    copies = met.where("key is null").select(
-        F.col("class_b").alias("node"),
-        *(F.col(f"{n}_b").alias(n) for n in _OCCURRENCE),
-        F.struct(F.col("doc_a").alias("doc"), F.col("word_a").alias("word")).alias("own"),
-    )
-    copies = copies.join(heads.select("node", "kept"), "node", "left").select(
-        *_OCCURRENCE, F.coalesce("kept", "own").alias("kept")
-    )
-    removed = copies.union(heads.select(*_OCCURRENCE, "kept")).where(
-        (F.col("doc") != F.col("kept.doc")) | (F.col("word") != F.col("kept.word"))
+    labels = connected_components(links, "class_a", "class_b").select(F.col("node").alias("class"), "component")
+    # where each class occurs first, and where each component of linked classes does
+    heads = met.groupBy("class").agg(F.min(F.struct("doc", "word")).alias("own")).join(labels, "class", "left")
+    kept = heads.where("component is not null").groupBy("component").agg(F.min("own").alias("kept"))
+    heads = stage(
+        heads.join(kept, "component", "left").select("class", F.coalesce("kept", "own").alias("kept")), "paragraph-heads"
     )
+    linked = labels.select("class").join(met, "class").select("class", *_OCCURRENCE)
+    removed = met.where("key is null").select("class", *_OCCURRENCE).union(linked).distinct()
+    removed = removed.join(heads, "class").where((F.col("doc") != F.col("kept.doc")) | (F.col("word") != F.col("kept.word")))
     removed = removed.groupBy("doc", "word", "size").agg(F.min("kept").alias("kept"))
     order = W.partitionBy("doc").orderBy("word")
     gap = F.col("word") != F.lag(F.col("word") + F.col("size")).over(order)
@@ -265,32 +293,35 @@ def repeated_passages(docs: DataFrame, params: Paragraphs = Paragraphs()) -> Dat
     )
 
 
-def _without(batches):
-    for batch in slices(batches, "text"):
-        buffer, offsets = text_bytes(batch.column("text"))
-        starts, ends, _, first = words(buffer, offsets, BLANK)
-        texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(batch.column("__spans").to_pylist()):
-            if not spans or texts[i] is None:
-                continue
-            at, parts = offsets[i], []
-            for span in sorted(spans, key=lambda s: s["first_word"]):
-                x, y = first[i] + span["first_word"], first[i] + span["first_word"] + span["n_words"]
-                if y > first[i + 1]:
-                    continue  # another row of the same doc_id has these words
-                parts.append(buffer[at : starts[x]])
-                at = ends[y - 1]
-            parts.append(buffer[at : offsets[i + 1]])
-            texts[i] = b"".join(p.tobytes() for p in parts).decode()
-        place = batch.schema.get_field_index("text")
-        columns = [pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns)]
-        keep = [i for i, name in enumerate(batch.schema.names) if name != "__spans"]
-        yield pa.RecordBatch.from_arrays([columns[i] for i in keep], [batch.schema.names[i] for i in keep])
+def _without(text: str):
+    def run(batches):
+        for batch in slices(batches, text):
+            buffer, offsets = text_bytes(batch.column(text))
+            starts, ends, _, first = words(buffer, offsets, BLANK)
+            texts = batch.column(text).to_pylist()
+            for i, spans in enumerate(batch.column("spans").to_pylist()):
+                if not spans or texts[i] is None:
+                    continue
+                at, parts = offsets[i], []
+                for span in sorted(spans, key=lambda s: s["first_word"]):
+                    x, y = first[i] + span["first_word"], first[i] + span["first_word"] + span["n_words"]
+                    if y > first[i + 1]:
+                        continue  # another row of the same doc_id has these words
+                    parts.append(buffer[at : starts[x]])
+                    at = ends[y - 1]
+                parts.append(buffer[at : offsets[i + 1]])
+                texts[i] = b"".join(p.tobytes() for p in parts).decode()
+            keep = [name for name in batch.schema.names if name != "spans"]
+            columns = [pa.array(texts, pa.string()) if name == text else batch.column(name) for name in keep]
+            yield pa.RecordBatch.from_arrays(columns, keep)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, params: Paragraphs = Paragraphs()) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; all rows and other columns stay."""
-    spans = repeated_passages(docs, params).groupBy(F.col("doc_id").alias("__doc"))
-    spans = spans.agg(F.collect_list(F.struct("first_word", "n_words")).alias("__spans"))
-    joined = docs.join(spans, docs["doc_id"] == spans["__doc"], "left").drop("__doc")
-    return joined.mapInArrow(_without, docs.schema)
+    rows, text = renamed(docs), place(docs, "text")
+    spans = repeated_passages(docs, params).groupBy(F.col("doc_id").alias("doc"))
+    spans = spans.agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans"))
+    joined = rows.join(spans, rows[place(docs, "doc_id")] == spans["doc"], "left").drop("doc")
+    return restored(joined.mapInArrow(_without(text), rows.schema), docs)
