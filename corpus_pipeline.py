@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import decontaminate, minhash, packing, paragraphs, ppm
 from siftline.llm.queries import byte_vocabulary
-from siftline.llm.tokens import crc_remainder
+from siftline.llm.tokens import crc_remainder, place, renamed, restored
 from siftline.session import stage
 
 #: Texts whose language is less likely than this are rejected.
@@ -36,11 +36,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tree = ppm.fit(labelled)
     if not tree.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    renamed = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    text = f"c{docs.columns.index('text')}"
-    found = ppm.identify(renamed, tree, renamed.columns, text)
+    rows = renamed(docs)
+    found = ppm.identify(rows, tree, rows.columns, place(docs, "text"))
     kept = found.where((F.col("lang_pred") != ppm.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return restored(kept, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

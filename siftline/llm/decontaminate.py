@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm.fm_index import FmIndex
-from siftline.llm.tokens import ALNUM, slices, text_bytes, words
+from siftline.llm.tokens import ALNUM, place, renamed, restored, slices, text_bytes, words
 
 #: Occurrences located at once.
 _BLOCK = 1 << 18
@@ -68,11 +68,11 @@ def _numbered(hashes: np.ndarray, first: np.ndarray, bench: Windows) -> tuple[np
     at = np.minimum(np.searchsorted(bench.vocabulary, hashes), len(bench.vocabulary) - 1)
     number = np.where(bench.vocabulary[at] == hashes, at + 1, 0)
     # a gap before the first word of each text, and one after the last
-    place = np.arange(len(number)) + np.repeat(np.arange(len(first) - 1), np.diff(first)) + 1
+    at = np.arange(len(number)) + np.repeat(np.arange(len(first) - 1), np.diff(first)) + 1
     spread = np.zeros(len(number) + len(first), np.int64)
-    spread[place] = number
+    spread[at] = number
     word = np.full(len(spread), -1, np.int64)
-    word[place] = np.arange(len(number))
+    word[at] = np.arange(len(number))
     gaps = np.flatnonzero(spread == 0)
     sizes = np.diff(np.concatenate([gaps, [len(spread)]])) - 1  # words after each gap
     long = sizes >= bench.lengths.min()
@@ -166,7 +166,14 @@ def _search(shared, sample: int, last: bool, cut: str | None):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], params: Decontamination = Decontamination(), cut: bool = False) -> DataFrame:
+def find(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    keep: list[str],
+    params: Decontamination = Decontamination(),
+    cut: bool = False,
+    text: str = "text",
+) -> DataFrame:
     """The columns ``keep`` of every row of ``docs``, with ``__n_words``, ``__n_hit``, ``__spans`` and ``__items``.
 
     ``__spans`` are the merged runs of hit words (``first``, ``end`` exclusive), ``__items`` the ids (as text, in
@@ -189,7 +196,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], params: Deconta
     spans = T.ArrayType(T.StructType().add("first", "long").add("end", "long"))
     rows = docs.select(
         *keep,
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"),
         F.array().cast(spans).alias("__spans"),
         F.array().cast("array<string>").alias("__items"),
     )
@@ -209,6 +216,6 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], params: Deconta
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Decontamination = Decontamination()) -> DataFrame:
     """``docs`` with the benchmark's passages cut out of ``text``; other columns and rows stay as they are."""
-    others = [c for c in docs.columns if c != "text"]
-    found = find(docs, benchmark, [*others, "text"], params, cut=True)
-    return found.withColumn("text", F.coalesce("__clean", "text")).select(*docs.columns)
+    rows, text = renamed(docs), place(docs, "text")
+    found = find(rows, benchmark, rows.columns, params, cut=True, text=text)
+    return restored(found.withColumn(text, F.coalesce("__clean", text)), docs)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once in a task; a longer text is a slice of its own.
@@ -27,6 +27,21 @@ def crc_remainder(id_column: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.encode(text, "utf-8")), F.lit(divisor))
 
 
+def renamed(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named ``c0``, ``c1`` and so on, so that no column clashes with one that is added."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` under their names, from rows that came out of ``renamed``."""
+    return rows.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)))
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """The name of a column in ``renamed``."""
+    return f"c{docs.columns.index(name)}"
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], *text_columns: str, size: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
