@@ -126,8 +126,9 @@ def _signatures(params: MinHash):
                     pa.array(two, pa.int64()),
                     _lists(packed(found, params.bits, params.longs)),
                     _lists(band_keys(found, params.bands, params.rows)),
+                    _lists(bitmaps(sets, begin)),
                 ],
-                ["doc_id", "n_shingles", "key1", "key2", "planes", "band_keys"],
+                ["doc_id", "n_shingles", "key1", "key2", "planes", "band_keys", "bitmap"],
             )
 
     return run
@@ -166,6 +167,18 @@ def _confirmed(size: int, percent: int):
     return run
 
 
+#: Words of the bitmap of a set.
+BITMAP_LONGS = 16
+
+
+def bitmaps(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """One bit of each set's bitmap per shingle."""
+    out = np.zeros((len(begin) - 1, BITMAP_LONGS * 64), np.uint8)
+    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    out[owner, (sets >> np.uint64(20)).astype(np.int64) % (BITMAP_LONGS * 64)] = 1
+    return np.packbits(out, axis=1, bitorder="little").view("<i8")
+
+
 def mismatches(left: Column, right: Column, params: MinHash) -> Column:
     """Number of kept values in which two packed signatures differ."""
     n = params.longs
@@ -199,18 +212,18 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
     cost one member. Bands give each class as partner the member of its bucket that meets most
     others in all buckets; a chain of three steps (most central partner, all such partners,
     all other members of a bucket) confirms only pairs that earlier steps left in
-    different components. The last step compares in the join condition and returns only
-    pairs whose estimate is near the threshold; no bucket is collected or cut.
+    different components. The last step compares in the join condition and returns a pair once, only if
+    its estimate is near the threshold and bitmaps of the sets do not rule it out; no bucket is collected or cut.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = docs.mapInArrow(
         _signatures(params),
-        "doc_id long, n_shingles long, key1 long, key2 long, planes array<long>, band_keys array<long>",
+        "doc_id long, n_shingles long, key1 long, key2 long, planes array<long>, band_keys array<long>, bitmap array<long>",
     )
     classes = stage(
         signed.where("n_shingles > 0 and doc_id is not null")
         .groupBy("key1", "key2")
-        .agg(F.min("doc_id").alias("id"), F.first("planes").alias("planes"), F.first("band_keys").alias("band_keys")),
+        .agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "planes", "band_keys", "bitmap"))),
         "classes",
     )
     by_band = classes.select("id", F.explode("band_keys").alias("band_key"))
@@ -222,9 +235,10 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
     hubs = weighed.groupBy("band_key").agg(F.min("rank").alias("hub"))
     involved = members.select("id").distinct()
     texts = stage(docs.join(involved, docs.doc_id == involved.id, "left_semi"), "texts")
-    planes = stage(classes.join(involved, "id", "left_semi").select("id", "planes"), "planes")
-    planes_a = planes.select(F.col("id").alias("a"), F.col("planes").alias("planes_a"))
-    planes_b = planes.select(F.col("id").alias("b"), F.col("planes").alias("planes_b"))
+    sketches = ["n_shingles", "planes", "band_keys", "bitmap"]
+    planes = stage(classes.join(involved, "id", "left_semi").select("id", *sketches), "planes")
+    of = lambda s: planes.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in sketches[:2]))
+    planes_a, planes_b = of("a"), of("b")
     likely = mismatches(F.col("planes_a"), F.col("planes_b"), params) <= params.most_mismatches()
     partners = stage(
         members.join(hubs, "band_key")
@@ -281,10 +295,20 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
     placed = placed.join(split.where("x != y").select("band_key"), "band_key", "left_semi").join(planes, "id")
     placed = stage(placed, "placed")
     side = lambda s: placed.select(
-        "band_key", F.col("id").alias(s), F.col("component").alias(f"c{s}"), F.col("planes").alias(f"planes_{s}")
+        "band_key", *(F.col(c).alias(f"{c}_{s}") for c in ("component", *sketches)), F.col("id").alias(s)
+    )
+    # sets whose bitmaps differ in more bits than the sets may differ in shingles are no link
+    apart_bits = reduce(
+        lambda x, y: x + y, [F.bit_count(F.col("bitmap_a")[i].bitwiseXOR(F.col("bitmap_b")[i])) for i in range(BITMAP_LONGS)]
     )
-    others = side("a").join(side("b"), "band_key").where(F.col("ca") < F.col("cb")).where(likely)
-    others = others.select("a", "b").distinct().join(partners, ["a", "b"], "left_anti")
+    p = params.percent
+    within = (100 + p) * apart_bits <= (100 - p) * (F.col("n_shingles_a") + F.col("n_shingles_b"))
+    # a pair is reported by the first band that it shares
+    equal = F.zip_with("band_keys_a", "band_keys_b", lambda x, y: x == y)
+    once = F.array_position(equal, True) == F.array_position("band_keys_a", F.col("band_key"))
+    others = side("a").join(side("b"), "band_key")
+    others = others.where((F.col("component_a") < F.col("component_b")) & likely & within & once)
+    others = others.select("a", "b").join(partners, ["a", "b"], "left_anti")
     others = others.join(partners.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     settle(others)
 
