@@ -35,6 +35,28 @@ def with_document(df: DataFrame, raw: str, into: str, where: str = "true") -> Da
     return once(parsed, into, F.expr(f"CASE WHEN {closed} = xxhash64({raw}) THEN _parsed END")).drop("_parsed")
 
 
+def with_texts(df: DataFrame, raw: str, doc: str) -> DataFrame:
+    """Add ``{doc}_texts``: key and text of the fields that a variant would spell in another way.
+
+    These are numbers with a fraction or an exponent, very long ones, objects and lists. Lines without such
+    fields are not parsed again. The last field of a key comes last.
+    """
+    fields = f"try_variant_get({doc}, '$[0]', 'map<string,variant>')"
+    changed = f"exists(map_values({fields}), v -> {_RESPELT})"
+    texts = F.expr(f"CASE WHEN {changed} THEN map_entries(from_json({raw}, 'map<string,string>')) END")
+    return once(df, f"{doc}_texts", texts)
+
+
+_RESPELT = "schema_of_variant(v) RLIKE '^(?:DECIMAL|DOUBLE|OBJECT|ARRAY)'"
+
+
+def _text(doc: str, key: str, value: str) -> str:
+    """A field's text; ``key`` and ``value`` (a variant) are SQL expressions."""
+    respelt = _RESPELT.replace("(v)", f"({value})")
+    own = f"try_element_at(filter({doc}_texts, e -> e.key = {key}), -1).value"
+    return f"CASE WHEN {respelt} THEN coalesce({own}, CAST({value} AS STRING)) ELSE CAST({value} AS STRING) END"
+
+
 def _field(doc: str, key: str, kind: str = "variant") -> str:
     return f"try_variant_get({doc}, '$[0][\"{key}\"]', '{kind}')"
 
@@ -42,7 +64,7 @@ def _field(doc: str, key: str, kind: str = "variant") -> str:
 def _first_usable(doc: str, keys: list[str]) -> str:
     """Text of the first key that is present and neither null, false, zero nor empty."""
     texts = (
-        f"CASE WHEN NOT to_json({_field(doc, k)}) RLIKE r'{ABSENT}' THEN {_field(doc, k, 'string')} END" for k in keys
+        f"CASE WHEN NOT to_json({_field(doc, k)}) RLIKE r'{ABSENT}' THEN {_text(doc, f"'{k}'", _field(doc, k))} END" for k in keys
     )
     return f"coalesce({', '.join(texts)})"
 
@@ -60,7 +82,7 @@ def message(doc: str) -> Column:
 
     NULL only for lines that are not JSON objects.
     """
-    last = _field(doc, MESSAGE_KEYS[-1], "string")
+    last = _text(doc, f"'{MESSAGE_KEYS[-1]}'", _field(doc, MESSAGE_KEYS[-1]))
     return F.expr(f"CASE WHEN {doc} IS NOT NULL THEN coalesce({_first_usable(doc, MESSAGE_KEYS)}, {last}, '') END")
 
 
@@ -69,4 +91,4 @@ def extras(doc: str) -> Column:
     fields = f"try_variant_get({doc}, '$[0]', 'map<string,variant>')"
     reserved = ", ".join(f"'{k}'" for k in RESERVED)
     kept = f"map_filter({fields}, (k, v) -> k NOT IN ({reserved}))"
-    return F.expr(f"coalesce(transform_values({kept}, (k, v) -> CAST(v AS STRING)), CAST(map() AS MAP<STRING, STRING>))")
+    return F.expr(f"coalesce(transform_values({kept}, (k, v) -> {_text(doc, 'k', 'v')}), CAST(map() AS MAP<STRING, STRING>))")

@@ -17,7 +17,8 @@ MESSAGE_KEYS = ["msg", "message"]
 RESERVED = LEVEL_KEYS + TIME_KEYS + MESSAGE_KEYS
 
 # Shape of a pair, and of a pair as counted by format detection.
-PAIR = r' *[^=]*=(?:"[^"]*(?:"|\z)|[^ ]*)'
+# Each match starts where the last one ended and never gives back, so a line takes linear time.
+PAIR = r'\G *[^=]*+=(?:"[^"]*+(?:"|\z)|[^ ]*+)'
 COUNTED_PAIR = r'(?U)(?:^|\s)\w+=(?:"[^"]*"|\S+)'
 
 _KEY = "substring_index(p, '=', 1)"
@@ -58,8 +59,11 @@ def other_pairs(pair_list: str) -> Column:
 
 def extras(others: str) -> Column:
     """A map of the ``other_pairs`` column; the last pair of a key wins, empty values are kept as ''."""
-    repeated = f"exists(slice({others}, i + 2, size({others})), q -> q.k = p.k)"
-    return F.expr(f"map_from_entries(filter({others}, (p, i) -> NOT {repeated}))")
+    latest = f"array_sort(transform({others}, (p, i) -> struct(p.k AS k, -i AS i, p.v AS v)))"
+    first = "filter(a, (p, i) -> i = 0 OR a[i - 1].k <> p.k)"
+    return F.expr(
+        f"map_from_entries(transform(array({latest}), a -> transform({first}, p -> struct(p.k, p.v)))[0])"
+    )
 
 
 def looks_like(text: str) -> Column:

@@ -26,7 +26,9 @@ def to_java(pattern: str) -> str:
 
     ``(?P<name>``, ``(?P=name)`` and ``\\Z`` get their Java spelling (group names
     lose characters Java does not allow), and ``[`` or ``&&`` inside a character
-    class, which Java would read as a nested class, are escaped.
+    class, which Java would read as a nested class, are escaped. A brace that opens no
+    repeat count is a character, ``{,n}`` counts from 0, and of the inline flags ``a`` turns Unicode
+    classes off, ``u`` and ``L`` go. Conditional groups are refused.
     """
     names: dict[str, str] = {}
 
@@ -34,7 +36,8 @@ def to_java(pattern: str) -> str:
         return names.setdefault(name, "g%d%s" % (len(names), re.sub(r"[^A-Za-z0-9]", "", name)))
 
     spellings = re.compile(
-        r"(?P<escape>\\.)|\(\?P<(?P<define>\w+)>|\(\?P=(?P<use>\w+)\)|(?P<cls>\[\^?\]?(?:\\.|[^\]\\])*\])",
+        r"(?P<escape>\\.)|\(\?P<(?P<define>\w+)>|\(\?P=(?P<use>\w+)\)|(?P<cls>\[\^?\]?(?:\\.|[^\]\\])*\])"
+        r"|\{(?P<low>\d*)(?P<comma>,?)(?P<high>\d*)\}|(?P<brace>\{)|\(\?(?P<flags>[aiLmsux]+)(?P<after>[):])",
         re.DOTALL,
     )
 
@@ -45,6 +48,15 @@ def to_java(pattern: str) -> str:
             return f"(?<{java_name(m['define'])}>"
         if m["use"]:
             return rf"\k<{java_name(m['use'])}>"
+        if m["brace"]:
+            return r"\{"
+        if m["low"] is not None:
+            if not m["low"] and not m["comma"]:
+                return r"\{\}" if not m["high"] else "\\" + m[0]
+            return f"{{{m['low'] or 0}{m['comma']}{m['high']}}}"
+        if m["flags"]:
+            on = "".join(f for f in m["flags"] if f not in "auL") + ("-U" if "a" in m["flags"] else "")
+            return f"(?{on}{m['after']}" if on or m["after"] == ":" else ""
         body = re.sub(r"(\\.)|\[|&&", lambda b: b[1] or "".join("\\" + c for c in b[0]), m["cls"][1:-1], flags=re.DOTALL)
         return "[" + re.sub(r"^(\^?)\]", r"\1\\]", body) + "]"
 

@@ -45,8 +45,12 @@ def format_shares(sample: DataFrame, keys: Sequence[str] = (), raw: str = "raw")
 
 
 def detect_format(lines: DataFrame, order: str = "seq", raw: str = "raw") -> str:
-    """Format name from the first lines (one small job)."""
-    return format_shares(sample_head(lines.select(order, raw), order), raw=raw).first().fmt
+    """Format name from the first lines (one small job); from any lines if they are not positioned."""
+    if order in lines.columns:
+        sample = sample_head(lines.select(order, raw), order)
+    else:
+        sample = lines.select(raw).limit(SAMPLE_ROWS)
+    return format_shares(sample, raw=raw).first().fmt
 
 
 def detect_per_key(lines: DataFrame, keys: Sequence[str], order: str = "lineno", raw: str = "raw") -> DataFrame:
@@ -67,6 +71,7 @@ def parse(df: DataFrame, fmt: str | Column = "plaintext", raw: str = "raw") -> D
     work = once(df, "_fmt", F.when(fmt.isin("json", "logfmt"), fmt).otherwise(F.lit("plaintext")))
     is_json, is_logfmt = F.col("_fmt") == "json", F.col("_fmt") == "logfmt"
     work = jsonlines.with_document(work, raw, "_doc", where="_fmt = 'json'")
+    work = jsonlines.with_texts(work, raw, "_doc")
     work = once(work, "_pairs", F.when(is_logfmt, logfmt.pairs(raw)))
 
     def choose(of_json: Column, of_logfmt: Column, of_plain: Column) -> Column:
@@ -90,7 +95,8 @@ def parse(df: DataFrame, fmt: str | Column = "plaintext", raw: str = "raw") -> D
 
 def _parse_as(df: DataFrame, fmt: str, raw: str) -> DataFrame:
     if fmt == "json":
-        work = jsonlines.with_document(df, raw, "_doc").withColumn("_stamp", jsonlines.stamp("_doc"))
+        work = jsonlines.with_texts(jsonlines.with_document(df, raw, "_doc"), raw, "_doc")
+        work = work.withColumn("_stamp", jsonlines.stamp("_doc"))
         fields = {
             "level": jsonlines.level("_doc"),
             "message": jsonlines.message("_doc"),

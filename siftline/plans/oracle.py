@@ -216,7 +216,7 @@ SELECT event_id, {_MIXED_FORMAT}, level, ts, ts_offset, message FROM ev WHERE fi
         _JSON,
         r"""
 SELECT event_id, 'user' AS name, CAST(user_id AS VARCHAR) AS val FROM js WHERE sound
-UNION ALL SELECT event_id, 'value', regexp_replace(CAST(value AS VARCHAR), '\.0$', '') FROM js WHERE sound
+UNION ALL SELECT event_id, 'value', CAST(value AS VARCHAR) FROM js WHERE sound
 UNION ALL SELECT event_id, 'props', replace(props, ' ', '') FROM js WHERE sound
 UNION ALL SELECT event_id, 'ok', 'true' FROM js WHERE sound""",
     ),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -38,19 +41,39 @@ def pin_split_layout(spark: SparkSession) -> int:
     return int(spark.conf.get(key))
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder named by ``spark.checkpoint.dir``.
+#: Folders of single-process sessions without the setting, by application.
+_own_folders: dict[str, str] = {}
+
 
-    Only a local-mode session may fall back to a temporary folder; on a cluster
-    the executors could not see it.
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which every executor must reach.
+
+    A session that runs in one process (``local`` or ``local[n]``) and does not set it gets a folder of its own, which
+    goes when Python ends. Any other session must set it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="siftline-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/siftline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="siftline-")
+        atexit.register(shutil.rmtree, _own_folders[application], ignore_errors=True)
+    return _own_folders[application]
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, in a folder of this application."""
+    return f"{shared_root(spark)}/siftline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged; results that read it can't be computed again afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_root(spark)}/siftline-{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

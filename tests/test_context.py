@@ -70,3 +70,30 @@ def test_inverted_context_counts_rows_without_level_as_hits(lines):
 def test_no_context_is_a_filter(lines, n):
     df = parse(lines(["ERROR a", "INFO b", "ERROR c"]))
     assert rows(context(df, matches("error"), n)) == [(1, True, 0, False), (3, True, 0, False)]
+
+
+def brute_positions(rows, n):
+    """Kept positions with their group, from positions alone."""
+    hits = [p for p, h in rows if h]
+    out, group, last = [], -1, None
+    for p, h in rows:
+        near = [q for q in hits if abs(q - p) <= n]
+        if not near:
+            continue
+        starts = [q for i, q in enumerate(hits) if i == 0 or q - hits[i - 1] > 2 * n + 1]
+        own = sum(q <= p + n for q in starts) - 1
+        out.append((p, h, own, own > 0 and own != group))
+        group = own
+    return out
+
+
+@pytest.mark.parametrize("plan", PLANS)
+@pytest.mark.parametrize("step, n", [(4, 2), (2, 3), (3, 1), (5, 8), (1, 2)])
+def test_gaps_between_positions(spark, plan, step, n):
+    rng = random.Random(step)
+    at, data = 1, []
+    for _ in range(200):
+        data.append((at, rng.random() < 0.2))
+        at += rng.randint(1, step) if step != 4 else 4
+    df = spark.createDataFrame(data, "seq BIGINT, h BOOLEAN").repartition(3)
+    assert rows(context(df, F.col("h"), n, **PLANS[plan])) == brute_positions(data, n)

@@ -90,8 +90,13 @@ def test_literal_check():
 PYTHON_SPELLINGS = [
     r"(?P<w>\w)(?P=w)", r"(?P<a_b>x)y(?P=a_b)", r"end\Z", r"[[x]y", r"[a&&b]", r"[]x]", r"[^]x]+", r"\d{2,}$",
     r"a.c", r"(?i:ABC)", r"\bé\w+\b", r"[\]\[]", r"x(?=y)", r"(?<!x)y",
+    '{"level":', "foo{bar}", "x{", r"\${HOME}", "a{,3}b", "a{2}", "a{2,}", "a{1,2}b", "{}", "a{}", "a{3", "[{]", r"\{",
+    r"(?a)é\w", r"(?u)é\w", r"(?ia:é\w)",
+]
+SUBJECTS = [
+    "aa bb", "xyx", "the end", "[y x", "a&b", "]", "12 345", "a c", "abc", "élan", "xy", "y", "", "x]y",
+    '{"level":1', "foo{bar}", "x{", "${HOME}", "aaab", "aa", "{}", "a{}", "a{3", "éa", "éé",
 ]
-SUBJECTS = ["aa bb", "xyx", "the end", "[y x", "a&b", "]", "12 345", "a c", "abc", "élan", "xy", "y", "", "x]y"]
 
 
 @pytest.mark.filterwarnings("ignore::FutureWarning")

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -173,3 +174,18 @@ def test_mixed_formats_parse_by_row(spark, lines):
         ("p", "plaintext", "WARN", "queue depth 95%"),
     ]
     assert rows[0].ts == AT and rows[0].ts_offset == 0 and rows[2].ts == datetime(2023, 6, 2, 9, 31, 20)
+
+
+def test_json_numbers_keep_their_spelling(lines):
+    text = '{"msg":7.0,"a":5.0,"b":12345678901234567890123456789012345678901234567,"d":{"x": 1.0},"a":6.50,"i":3}'
+    row = parse(lines([text, '{"msg":"m","k":2}']), "json").orderBy("seq").first()
+    assert row.message == "7.0"
+    assert row.extras == {"a": "6.5", "b": "12345678901234567890123456789012345678901234567", "d": '{"x":1.0}', "i": "3"}
+
+
+def test_long_logfmt_lines_take_linear_time(lines):
+    parsed = parse(lines(["level=info a=1 a=2 " + "z" * 1_000_000, "k=v " * 20_000]), "logfmt").orderBy("seq")
+    start = time.perf_counter()
+    rows = parsed.select("level", "extras").collect()
+    assert time.perf_counter() - start < 30
+    assert rows[0].level == "INFO" and rows[0].extras == {"a": "2"} and rows[1].extras == {"k": "v"}
