@@ -531,17 +531,19 @@ def follow_filter(spark, folder):
 
 @query
 def stream_summary(spark, folder):
-    parsed = parse(follow.follow_lines(spark, _landed(spark, folder)))
-    name = "live_" + work_folder(spark, "live").rsplit("-", 1)[1]
-    follow.start_live_summary(parsed, name, work_folder(spark, "state")).awaitTermination()
-    return spark.table(name)
+    parsed = parse(follow.follow_lines(spark, _landed(spark, folder), max_files_per_batch=3))
+    path = work_folder(spark, "live")
+    follow.start_live_summary(parsed, path, work_folder(spark, "state")).awaitTermination()
+    return follow.live_summary(spark, path)
 
 
 @query
 def stream_metrics(spark, folder):
-    parsed = parse(follow.follow_lines(spark, _landed(spark, folder)))
+    parsed = parse(follow.follow_lines(spark, _landed(spark, folder), max_files_per_batch=1))
     found = follow.observe_scan(parsed, _hits())
+    watcher = follow.watch_scans(spark)
     running = follow.start_sink(found, work_folder(spark, "followed"), work_folder(spark, "state"))
     running.awaitTermination()
-    totals = follow.scan_totals(running)
+    totals = watcher.totals(running)
+    spark.streams.removeListener(watcher)
     return spark.createDataFrame([(totals["scanned"], totals["matched"])], "scanned BIGINT, matched BIGINT")

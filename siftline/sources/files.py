@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,8 @@ def expand(spark: SparkSession, paths: str | list[str]) -> list[InputFile]:
     """Resolve each argument in order: a glob gives its matches sorted, a folder its files sorted.
 
     An argument without any match raises ``FileNotFoundError``. Naming a file
-    twice reads it twice.
+    twice reads it twice. Spark's readers pass over files whose name begins with ``_`` or ``.``: in a folder
+    they are left out here too, but named by an argument they raise ``ValueError``.
     """
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -62,7 +64,9 @@ def expand(spark: SparkSession, paths: str | list[str]) -> list[InputFile]:
             inner = fs.listStatus(match.getPath()) if match.isDirectory() else [match]
             for status in sorted(inner, key=lambda m: m.getPath().toString()):
                 base = status.getPath().getName()
-                hidden = match.isDirectory() and base.startswith(("_", "."))
+                hidden = base.startswith(("_", "."))
+                if hidden and match.isFile():
+                    raise ValueError(f"Spark does not read files named like {base!r}; rename the file to read it")
                 if status.isFile() and not hidden:
                     path = status.getPath()
                     name = argument if match.isFile() and len(matches) == 1 else path.toUri().getPath()
@@ -99,6 +103,10 @@ def _path(uri: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+def _uri_path(uri: str) -> str:
+    return unquote(urlsplit(uri).path)
+
+
 def _split_bound(spark: SparkSession, files: list[InputFile]) -> int:
     """An upper bound on the number of scan splits, from the listing alone."""
     size = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
@@ -164,8 +172,11 @@ def read_lines(spark: SparkSession, paths: str | list[str], numbered: bool = Tru
         wrong = F.raise_error(F.lit("input files changed or were split differently between two passes"))
         checked = F.when(sound, place).otherwise(wrong)
         result = once(joined, "_place", checked).select("_place.file", "_place.lineno", "_place.seq", "raw")
-    if any(f.uri.endswith(".gz") and f.size > SPREAD_BYTES for f in files):
-        result = result.hint("rebalance")
+    large = [f.uri for f in files if f.uri.endswith(".gz") and f.size > SPREAD_BYTES]
+    if large:
+        names = [f.name for f in files if f.uri in large] if numbered else [_uri_path(u) for u in large]
+        alone = F.col("file").isin(names)
+        result = result.where(~alone).unionByName(result.where(alone).hint("rebalance"))
     return result
 
 

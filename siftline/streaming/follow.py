@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from siftline.operators.predicates import definite
 from siftline.operators.render import CSV_OPTIONS, json_line, output_record, text_lines
@@ -16,15 +17,22 @@ from siftline.session import prepare
 
 
 def follow_lines(
-    spark: SparkSession, folder: str, since: datetime | None = None, max_files_per_batch: int | None = None
+    spark: SparkSession,
+    folder: str,
+    since: datetime | None = None,
+    max_files_per_batch: int | None = None,
+    max_file_age: str = "36500d",
 ) -> DataFrame:
     """A stream of ``file, raw`` over text files landing in ``folder``.
 
+    A file counts by its name, not its age: one that lands late is read unless it is ``max_file_age`` older than the
+    newest file seen. A shorter age lets Spark forget the names of old files.
+
     ``since`` skips files last written before that moment (pass the current time
     to see only what arrives from now on); without it the files already there
     are read as well.
     """
-    reader = prepare(spark).readStream.format("text")
+    reader = prepare(spark).readStream.format("text").option("maxFileAge", max_file_age)
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
     lines = reader.load(folder)
@@ -55,15 +63,54 @@ def observe_scan(parsed: DataFrame, test: Column, name: str = "scan") -> DataFra
     return marked.where("_match").drop("_match")
 
 
-def scan_totals(query: StreamingQuery, name: str = "scan") -> dict[str, int]:
-    """Rows scanned and matched over the recent progress of a query."""
-    totals = {"scanned": 0, "matched": 0}
-    for progress in query.recentProgress:
-        seen = progress.observedMetrics.get(name)
-        if seen is not None:
-            totals["scanned"] += seen.scanned
-            totals["matched"] += seen.matched
-    return totals
+class ScanTotals(StreamingQueryListener):
+    """Rows scanned and matched over all batches of the queries of a session that ``observe_scan`` reports on.
+
+    Attach it with ``watch_scans`` before a query starts. Totals do not depend on how much progress a
+    query keeps; a batch that is reported again counts once.
+    """
+
+    def __init__(self, name: str = "scan"):
+        self.name = name
+        self._news = threading.Condition()
+        self._totals: dict[str, list[int]] = {}  # run: scanned, matched, last batch
+        self._ended: set[str] = set()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is None:
+            return
+        with self._news:
+            own = self._totals.setdefault(str(event.progress.runId), [0, 0, -1])
+            if event.progress.batchId > own[2]:
+                own[:] = own[0] + seen.scanned, own[1] + seen.matched, event.progress.batchId
+
+    def onQueryTerminated(self, event):
+        with self._news:
+            self._ended.add(str(event.runId))
+            self._news.notify_all()
+
+    def totals(self, query: StreamingQuery, seconds: float = 60) -> dict[str, int]:
+        """Counts of one run of a query; of a finished one, after all its batches have been reported."""
+        run = str(query.runId)
+        with self._news:
+            if not query.isActive and not self._news.wait_for(lambda: run in self._ended, seconds):
+                raise TimeoutError("the end of the query has not been reported")
+            scanned, matched, _ = self._totals.get(run, (0, 0, -1))
+        return {"scanned": scanned, "matched": matched}
+
+
+def watch_scans(spark: SparkSession, name: str = "scan") -> ScanTotals:
+    """Attach a new ``ScanTotals``; ``spark.streams.removeListener`` detaches it."""
+    watcher = ScanTotals(name)
+    spark.streams.addListener(watcher)
+    return watcher
 
 
 def start_sink(
@@ -97,13 +144,23 @@ def start_sink(
     return writer.start()
 
 
-def start_live_summary(parsed: DataFrame, name: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Counts by level in the in-memory table ``name``, refreshed with every micro-batch.
+def start_live_summary(parsed: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Counts by level in the parquet folder ``path``, one part for each micro-batch.
 
-    State and table hold one row per level; rows without level count as NULL.
+    Every part holds the levels that changed with their counts so far; ``live_summary`` reads
+    the latest count of each. A batch that runs again overwrites its part, and nothing is held by the driver.
     """
     counts = parsed.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    writer = counts.writeStream.format("memory").queryName(name).outputMode("complete")
-    writer = writer.option("checkpointLocation", checkpoint)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/part={number}")
+
+    writer = counts.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
+
+
+def live_summary(spark: SparkSession, path: str) -> DataFrame:
+    """``level, n`` of a live summary so far; rows without level count as NULL."""
+    parts = spark.read.schema("level STRING, n BIGINT, batch BIGINT").option("recursiveFileLookup", True).parquet(path)
+    return parts.groupBy("level").agg(F.max_by("n", "batch").alias("n"))

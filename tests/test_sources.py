@@ -123,3 +123,25 @@ def test_row_numbers_with_a_key_holding_most_rows(spark, chunk_rows):
             seq += 1
             want[(key, pos)] = (i, seq)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["_app.log", ".app.log"])
+def test_hidden_names_are_refused_not_skipped(spark, tmp_path, name):
+    (tmp_path / name).write_text("a\n")
+    (tmp_path / "app.log").write_text("b\n")
+    for paths in (str(tmp_path / name), [str(tmp_path / "app.log"), str(tmp_path / name)]):
+        with pytest.raises(ValueError, match="does not read"):
+            read_lines(spark, paths)
+    assert [r.raw for r in read_lines(spark, str(tmp_path)).collect()] == ["b"]
+
+
+def test_large_gzip_is_spread_alone(spark, tmp_path, monkeypatch):
+    from siftline.sources import files
+
+    monkeypatch.setattr(files, "SPREAD_BYTES", 10)
+    with gzip.open(tmp_path / "a.log.gz", "wt") as f:
+        f.write("x\ny\n")
+    (tmp_path / "b.log").write_text("z\n")
+    for numbered in (True, False):
+        got = read_lines(spark, [str(tmp_path / "a.log.gz"), str(tmp_path / "b.log")], numbered)
+        assert sorted(r.raw for r in got.collect()) == ["x", "y", "z"]

@@ -65,12 +65,33 @@ def test_a_restarted_query_continues_where_it_stopped(spark, landed, tmp_path):
 
 def test_live_summary_equals_batch(spark, plain, landed, tmp_path):
     parsed = parse(follow.follow_lines(spark, str(landed), max_files_per_batch=1))
-    follow.start_live_summary(parsed, "live_test", str(tmp_path / "state")).awaitTermination()
-    got = {r.level: r.n for r in spark.table("live_test").collect()}
+    live = str(tmp_path / "live")
+    follow.start_live_summary(parsed, live, str(tmp_path / "state")).awaitTermination()
+    got = {r.level: r.n for r in follow.live_summary(spark, live).collect()}
     assert got == {r.level: r.n for r in count_by_level(parse(plain)).collect()}
 
 
-def test_progress_counts_scanned_and_matched(spark, landed, tmp_path):
-    found = follow.observe_scan(parse(follow.follow_lines(spark, str(landed), max_files_per_batch=1)), level_in(["ERROR"]))
-    query = drain(found, tmp_path, "text")
-    assert follow.scan_totals(query) == {"scanned": 8, "matched": 2}
+def test_totals_cover_all_batches_whatever_history_is_kept(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(8):
+        (folder / f"{i}.log").write_text("ERROR a\nINFO b\n")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    watcher = follow.watch_scans(spark)
+    try:
+        found = follow.observe_scan(parse(follow.follow_lines(spark, str(folder), max_files_per_batch=1)), level_in(["ERROR"]))
+        query = drain(found, tmp_path, "text")
+        assert len(query.recentProgress) <= 3
+        assert watcher.totals(query) == {"scanned": 16, "matched": 8}
+    finally:
+        spark.streams.removeListener(watcher)
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_late_files_with_an_old_time_are_read(spark, landed, tmp_path):
+    found = follow.follow_lines(spark, str(landed)).select("raw")
+    drain(found, tmp_path, "parquet")
+    (landed / "late.log").write_text("ERROR old\n")
+    os.utime(landed / "late.log", (1_600_000_000, 1_600_000_000))
+    drain(found, tmp_path, "parquet")
+    assert "ERROR old" in {r.raw for r in spark.read.parquet(str(tmp_path / "o")).collect()}
