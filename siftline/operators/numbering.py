@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from siftline.session import stage
+
 # Rows per chunk. One chunk is what one window group sees at most.
 CHUNK_ROWS = 1 << 18
 
@@ -22,6 +24,25 @@ def offsets(counts: DataFrame, keys: Sequence[str], chunk: str, value: str, into
     return counts.withColumn(into, F.sum(value).over(earlier) - F.col(value))
 
 
+def running_total(df: DataFrame, order: Sequence[str], value: str, into: str) -> DataFrame:
+    """Add the total of ``value`` over all earlier rows in the order of ``order``.
+
+    Rows are range-partitioned once; totals run within a partition, and over one row for each partition.
+    """
+    placed = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    parts = placed.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    parts = parts.select("_part", (F.sum("_sum").over(W.orderBy("_part")) - F.col("_sum")).alias("_ahead"))
+    total = F.col("_ahead") + F.col("_inside") - F.col(value)
+    return placed.withColumn("_inside", inside).join(parts, "_part").withColumn(into, total).drop("_part", "_inside", "_ahead")
+
+
+def number_by_rank(df: DataFrame, order: str, into: str) -> DataFrame:
+    """Number rows from 1 by the column ``order`` (unique), however far apart its values lie."""
+    counted = running_total(df.withColumn("_one", F.lit(1).cast("bigint")), [order], "_one", into)
+    return counted.withColumn(into, F.col(into) + 1).drop("_one")
+
+
 def number_rows(
     df: DataFrame,
     order: str,
@@ -44,10 +65,7 @@ def number_rows(
     places = offsets(places, keys, "_chunk", "_rows", "_before")
     if keys:
         totals = places.groupBy(*keys).agg(F.sum("_rows").alias("_total"))
-        totals = totals.select(
-            *keys, (F.sum("_total").over(W.orderBy(*keys)) - F.col("_total")).alias("_key_before")
-        )
-        places = places.join(totals, keys)
+        places = places.join(running_total(totals, keys, "_total", "_key_before").drop("_total"), keys)
     else:
         places = places.withColumn("_key_before", F.lit(0).cast("bigint"))
     ranked = own.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(order)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siftline.operators import predicates
-from siftline.operators.parse import detect_format, parse
+from siftline.operators.parse import detect_format, detect_per_key, parse
 
 
 def search(
@@ -19,21 +19,29 @@ def search(
     from_: str | datetime | None = None,
     to: str | datetime | None = None,
     invert: bool = False,
-    fmt: str | Column | None = "plaintext",
+    fmt: str | Column | None = None,
     regex_mode: bool = False,
     extra: Sequence[Column] = (),
+    per_file: bool = False,
 ) -> DataFrame:
     """Parsed lines that match every given filter (or, inverted, that do not).
 
-    ``fmt=None`` detects the format from the first lines by ``seq``. The filter
+    The format is detected from the first lines by ``seq`` (any lines where there is no position), with ``per_file`` for each
+    file from its first lines by ``lineno``, unless ``fmt`` gives it. The filter
     and the parsing are plain expressions over ``raw``; a search by pattern only
     never parses the lines it drops.
     """
-    if fmt is None:
+    columns = lines.columns
+    if fmt is None and per_file:
+        formats = detect_per_key(lines, ["file"]).select(F.col("file").alias("_of"), F.col("fmt").alias("_format"))
+        lines = lines.join(formats, lines["file"].eqNullSafe(formats["_of"])).drop("_of")
+        fmt = F.col("_format")
+    elif fmt is None:
         fmt = detect_format(lines)
     plain = isinstance(fmt, str) and fmt not in ("json", "logfmt")
     test = predicates.build(levels, patterns, from_, to, regex_mode, extra, plain, lazy=True)
-    return parse(lines, fmt).where(predicates.inverted(test) if invert else test)
+    found = parse(lines, fmt).where(predicates.inverted(test) if invert else test)
+    return found.drop("_format") if "_format" not in columns else found
 
 
 def counted(parsed: DataFrame, test: Column, name: str = "scan") -> tuple[DataFrame, Observation]:

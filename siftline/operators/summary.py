@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from siftline.functions.timestamps import instant
 from siftline.schema import SEVERITY_ORDER
@@ -97,9 +98,11 @@ def severity_rank(level: Column) -> Column:
     return F.when(place > 0, place).otherwise(len(SEVERITY_ORDER) + 1)
 
 
-def summary_report(parsed: DataFrame) -> DataFrame:
+def summary_report(parsed: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """The report as rows ``section, label, value``, in report order.
 
+    With ``templates`` (``template, n, first_seq``) the most frequent ones follow.
+
     Total, known levels by severity, other levels by name, rows without level,
     then first and last time. One pass over the data: the grand total is rolled
     up from the counts per level.
@@ -139,11 +142,16 @@ def summary_report(parsed: DataFrame) -> DataFrame:
             count,
         )
     )
-    section_order = F.array_position(F.array(F.lit("total"), F.lit("level"), F.lit("span")), F.col("section"))
+    order = F.array(*map(F.lit, ("total", "level", "span", "template")))
+    section_order = F.array_position(order, F.col("section"))
+    lines = rolled.select(F.explode(F.when(F.col("_all") == 1, whole).otherwise(single)).alias("line")).select("line.*")
+    if templates is not None:
+        best = top(templates)
+        place = F.row_number().over(W.orderBy(F.desc("n"), "first_seq"))  # of the ten kept rows
+        named = label(F.col("template"))
+        lines = lines.unionByName(best.select(line("template", place, named, count).alias("line")).select("line.*"))
     return (
-        rolled.select(F.explode(F.when(F.col("_all") == 1, whole).otherwise(single)).alias("line"))
-        .select("line.*")
-        .where(F.col("value").isNotNull())
+        lines.where(F.col("value").isNotNull())
         .orderBy(section_order, "rank", "label")
         .select("section", "label", "value")
     )

@@ -5,10 +5,9 @@ by token count and first token, and inside such a leaf a message joins the most
 similar template, whose differing tokens become wildcards.
 
 Spark does the work around it. Messages are masked (tokens with a digit become
-wildcards) and reduced to distinct ones before any Python runs; leaves are
-processed in parallel; a leaf with too many distinct messages for one task is
-cut by hash into parts that are mined separately, and the templates of the parts
-are mined again together until the leaf fits.
+wildcards) and reduced to distinct ones before any Python runs. Every leaf is mined in two steps, whatever its size: its
+messages with the same second and third token among themselves, then the templates of these parts, in order of first appearance,
+as messages of the leaf. Parts run in parallel; neither the partitioning nor any size decides about a template.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from siftline.functions.staging import once
-from siftline.operators.numbering import number_rows
+from siftline.operators.numbering import number_by_rank
 from siftline.session import stage
 
 WILDCARD = "<*>"
@@ -31,9 +30,6 @@ WILDCARD = "<*>"
 SIMILARITY = 0.4
 MAX_CHILDREN = 100
 
-# Distinct messages of a leaf that one task mines; a larger leaf is cut.
-LEAF_ROWS = 20_000
-
 # Template tables up to this many bytes are broadcast to the lines.
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -57,6 +53,11 @@ def masked(text: Column) -> Column:
     return F.regexp_replace(tokens, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILDCARD)
 
 
+def _shape(text: str) -> Column:
+    """The masked text; a missing one is empty."""
+    return masked(F.coalesce(F.col(text), F.lit("")))
+
+
 _LEAF = ["n_tokens", "branch"]
 _MINED = "n_tokens INT, branch STRING, shape STRING, template STRING, n BIGINT, first_seq BIGINT"
 
@@ -133,7 +134,7 @@ def _mine_parts(shapes: DataFrame) -> DataFrame:
 
 def distinct_shapes(texts: DataFrame, text: str, order: str) -> DataFrame:
     """``shape, n, first_seq``: distinct masked texts, counted before the shuffle."""
-    shapes = texts.select(masked(F.col(text)).alias("shape"), F.col(order).alias("_seq"))
+    shapes = texts.select(_shape(text).alias("shape"), F.col(order).alias("_seq"))
     return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("_seq").alias("first_seq"))
 
 
@@ -155,64 +156,23 @@ def _route(shapes: DataFrame, max_children: int) -> DataFrame:
     )
 
 
-def _big_leaves(routed: DataFrame, leaf_rows: int) -> DataFrame:
-    """Leaves with more than ``leaf_rows`` messages: at most (messages / leaf_rows) rows."""
-    sizes = routed.groupBy(*_LEAF).agg(F.count(F.lit(1)).alias("_size"))
-    return sizes.where(F.col("_size") > leaf_rows).select(
-        *_LEAF, F.ceil(F.col("_size") / leaf_rows).alias("_parts")
-    )
-
+def mine(texts: DataFrame, text: str, order: str = "seq", max_children: int = MAX_CHILDREN) -> DataFrame:
+    """``shape, template, n, first_seq``: the template of every distinct masked text. NULL texts count as empty.
 
-def _cut(routed: DataFrame, big: DataFrame) -> DataFrame:
-    """Add ``part``: 0, or a hash of the message in a leaf that is too big for one task."""
-    hashed = F.pmod(F.xxhash64("shape"), F.coalesce("_parts", F.lit(1)).cast("bigint"))
-    return routed.join(F.broadcast(big), _LEAF, "left").withColumn("part", hashed).drop("_parts")
-
-
-def mine(
-    texts: DataFrame,
-    text: str,
-    order: str = "seq",
-    max_children: int = MAX_CHILDREN,
-    leaf_rows: int = LEAF_ROWS,
-) -> DataFrame:
-    """``shape, template, n, first_seq``: the template of every distinct masked text."""
+    The second step holds the templates of one leaf in one task, and compares each with those before it.
+    """
     # Everything after this line works on distinct messages only.
     routed = _route(stage(distinct_shapes(texts, text, order), "shapes"), max_children)
-    big = _big_leaves(routed, leaf_rows)
-    if big.isEmpty():
-        mined = _mine_parts(routed.withColumn("part", F.lit(0)))
-    else:
-        mined = _merge(stage(_mine_parts(_cut(routed, big)), "parts"), stage(big, "big"), leaf_rows)
-    return mined.select("shape", "template", "n", "first_seq")
-
-
-def _merge(mined: DataFrame, big: DataFrame, leaf_rows: int) -> DataFrame:
-    """Mine the templates of the parts of each cut leaf again, as messages of that leaf.
-
-    A leaf leaves the loop once its templates fit one task. When a round no
-    longer lowers the number of templates the rest stay as they are: equal
-    templates of different parts count as one, similar ones stay apart.
-    """
-    done = mined.join(F.broadcast(big), _LEAF, "left_anti")
-    rest = mined.join(F.broadcast(big), _LEAF, "left_semi")
-    while True:
-        parts = stage(
-            rest.groupBy(*_LEAF, F.col("template").alias("shape")).agg(
-                F.sum("n").alias("n"), F.min("first_seq").alias("first_seq")
-            ),
-            "templates",
-        )
-        big = stage(_big_leaves(parts, leaf_rows), "big")
-        wider = stage(_mine_parts(_cut(parts, big)), "wider")
-        renamed = wider.select(*_LEAF, F.col("shape").alias("template"), F.col("template").alias("_wider"))
-        rest = rest.join(renamed, [*_LEAF, "template"]).drop("template").withColumnRenamed("_wider", "template")
-        rest = stage(rest.select(*mined.columns), "merged")
-        fits = big.isEmpty()
-        if fits or wider.select(*_LEAF, "template").distinct().count() >= parts.count():
-            return done.unionByName(rest)
-        done = done.unionByName(rest.join(F.broadcast(big), _LEAF, "left_anti"))
-        rest = rest.join(F.broadcast(big), _LEAF, "left_semi")
+    tokens = F.split("shape", " ")
+    part = F.concat_ws(" ", F.try_element_at(tokens, F.lit(2)), F.try_element_at(tokens, F.lit(3)))
+    parts = stage(_mine_parts(routed.withColumn("part", part)), "parts")
+    leaves = parts.groupBy(*_LEAF, F.col("template").alias("shape")).agg(
+        F.sum("n").alias("n"), F.min("first_seq").alias("first_seq")
+    )
+    wider = _mine_parts(leaves.withColumn("part", F.lit("")))
+    wider = wider.select(*_LEAF, F.col("shape").alias("template"), F.col("template").alias("_wider"))
+    joined = parts.join(wider, [*_LEAF, "template"])
+    return joined.select("shape", F.col("_wider").alias("template"), "n", "first_seq")
 
 
 def template_counts(mined: DataFrame) -> DataFrame:
@@ -222,7 +182,7 @@ def template_counts(mined: DataFrame) -> DataFrame:
 
 def number_templates(mined: DataFrame) -> DataFrame:
     """``template, n, first_seq, cluster_id``: clusters numbered by first appearance, from 1."""
-    return number_rows(template_counts(mined), "first_seq", lineno="cluster_id", seq=None)
+    return number_by_rank(template_counts(mined), "first_seq", "cluster_id")
 
 
 def assign(
@@ -230,7 +190,6 @@ def assign(
     text: str,
     order: str = "seq",
     max_children: int = MAX_CHILDREN,
-    leaf_rows: int = LEAF_ROWS,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Add ``cluster_id`` and ``template`` to every line.
@@ -239,11 +198,11 @@ def assign(
     Otherwise the lines are joined by shuffle, where adaptive execution splits
     the partition of a text that occurs very often.
     """
-    mined = stage(mine(lines, text, order, max_children, leaf_rows), "mined")
+    mined = stage(mine(lines, text, order, max_children), "mined")
     table = mined.join(number_templates(mined), "template").select("shape", "template", "cluster_id")
     width = F.octet_length("shape") + F.octet_length("template") + 64
     measured = mined.agg(F.sum(width.cast("bigint")).alias("b")).first().b or 0
     if measured <= max_broadcast_bytes:
         table = F.broadcast(table)
-    bare = once(lines.drop("cluster_id", "template"), "shape", masked(F.col(text)))
+    bare = once(lines.drop("cluster_id", "template"), "shape", _shape(text))
     return bare.join(table, "shape").drop("shape")

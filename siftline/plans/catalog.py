@@ -32,6 +32,7 @@ TEXT_PATTERN = "license"
 TEXT_LITERALS = ["Apache License", "mit license", "thanedble"]
 TEXT_REGEXES = [r"version \d\.\d", r"[0-9]{3}-[0-9]{4}", r"\bereser\b"]
 HIT_PATTERN = r"user=1\d "
+MANY_LITERALS = [f"{a}{b}" for a in ("than", "ver", "ción", "eau") for b in ("er", "EA", "ou", "st", "re")]
 
 
 def query(fn: Query) -> Query:
@@ -427,6 +428,31 @@ def summary_report(spark, folder):
     return summary.summary_report(parse(view.event_lines(spark, folder, "json"), "json"))
 
 
+@query
+def summary_report_templates(spark, folder):
+    parsed = _with_text(_plain(spark, folder))
+    counts = templates.template_counts(templates.mine(parsed, "text", order="event_id"))
+    return summary.summary_report(parsed, counts)
+
+
+@query
+def search_detected(spark, folder):
+    """Files in three formats, each detected by itself."""
+    found = search(view.numbered_event_lines(spark, folder, "mixed"), ["ERROR", "WARNING", "WARN"], per_file=True)
+    return found.select("event_id", "level", "message")
+
+
+@query
+def search_braces(spark, folder):
+    found = search(view.event_lines(spark, folder, "json"), patterns=['"value":5{1,}', 'nothing{"like":'], fmt="json")
+    return found.select("event_id")
+
+
+@query
+def search_many_literals(spark, folder):
+    return view.document_lines(spark, folder).where(predicates.matches(MANY_LITERALS))
+
+
 @query
 def severity_rollup(spark, folder):
     return summary.severity_rollup(parse(view.event_lines(spark, folder, "logfmt"), "logfmt"))
@@ -500,8 +526,12 @@ def top_templates(spark, folder):
 
 @query
 def template_mine_text(spark, folder):
-    lines = _ordered_document_lines(spark, folder)
-    return templates.assign(lines, "raw").select("doc_id", "lineno", "cluster_id", "template")
+    """What holds for every line of text and its template: as many tokens, equal wherever there is no wildcard."""
+    lines = templates.assign(_ordered_document_lines(spark, folder), "raw")
+    own = F.split(templates.masked(F.col("raw")), " ")
+    pairs = F.arrays_zip(own.alias("a"), F.split("template", " ").alias("b"))
+    sound = F.forall(pairs, lambda p: (p["b"] == templates.WILDCARD) | (p["a"] == p["b"]))
+    return lines.select("doc_id", "lineno", F.size(F.split("template", " ")).alias("n_tokens"), sound.alias("sound"))
 
 
 # -- streaming -------------------------------------------------------------------------------

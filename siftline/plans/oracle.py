@@ -336,6 +336,36 @@ SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE level IS N
   arg_max(ts, ts - to_seconds(coalesce(ts_offset, 0))) AS last_ts FROM ev""",
     ),
     "summary_report": _report(),
+    "summary_report_templates": _with(
+        _TEMPLATES,
+        """
+SELECT 'total' AS section, 'Total lines' AS label, format('{:,}', count(*)) AS value FROM ev
+UNION ALL
+SELECT 'level', coalesce(level, '(no level)'), format('{:,}', count(*)) FROM ev GROUP BY level
+UNION ALL
+SELECT 'span', 'From', strftime(arg_min(ts, ts - to_seconds(coalesce(ts_offset, 0))), '%Y-%m-%d %H:%M:%S') FROM ev
+UNION ALL
+SELECT 'span', 'To', strftime(arg_max(ts, ts - to_seconds(coalesce(ts_offset, 0))), '%Y-%m-%d %H:%M:%S') FROM ev
+UNION ALL
+SELECT 'template', template, format('{:,}', n) FROM (SELECT * FROM counts ORDER BY n DESC, first_seq LIMIT 10)""",
+    ),
+    "search_detected": _with(
+        _MIXED,
+        """
+SELECT event_id, level, message FROM js WHERE file = 'app-0.log' AND level IN ('ERROR', 'WARNING', 'WARN')
+UNION ALL SELECT event_id, level, message FROM lf WHERE file = 'app-1.log' AND level IN ('ERROR', 'WARNING', 'WARN')
+UNION ALL SELECT event_id, level, message FROM ev WHERE file IN ('app-2.log', 'app-3.log') AND level IN ('ERROR', 'WARN')""",
+    ),
+    "search_braces": _with(_JSON, "SELECT event_id FROM js WHERE CAST(value AS VARCHAR) LIKE '5%'"),
+    "search_many_literals": _with(
+        _DOC,
+        "SELECT * FROM doc WHERE "
+        + " OR ".join(f"contains(lower(raw), '{literal.lower()}')" for literal in catalog.MANY_LITERALS),
+    ),
+    "template_mine_text": _with(
+        _DOC,
+        r"SELECT doc_id, lineno, greatest(len(regexp_extract_all(raw, '[^\s]+')), 1) AS n_tokens, true AS sound FROM doc",
+    ),
     "severity_rollup": _with(
         _LOGFMT,
         """

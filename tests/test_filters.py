@@ -141,3 +141,14 @@ def test_stored_records_push_filters_down(spark, plain, tmp_path, capsys):
     plan = capsys.readouterr().out
     assert "EqualTo(level,ERROR)" in plan.replace(" ", "") or "In(level" in plan
     assert "GreaterThanOrEqual(ts" in plan
+
+
+def test_format_is_detected_by_default_also_per_file_and_without_numbers(lines):
+    json_lines = lines(['{"level":"error","msg":"x"}', '{"level":"info"}'], "a")
+    pair_lines = lines(["level=error msg=y", "level=info msg=z"], "b")
+    assert found(search(json_lines, ["ERROR"])) == [1]
+    assert search(json_lines.select("raw"), ["ERROR"]).count() == 1
+    both = json_lines.unionByName(pair_lines).unionByName(lines(["ERROR plain", "nothing"], "c"))
+    got = search(both, ["ERROR"], per_file=True)
+    assert sorted((r.file, r.lineno) for r in got.collect()) == [("a", 1), ("b", 1), ("c", 1)]
+    assert "_format" not in got.columns and "_of" not in got.columns

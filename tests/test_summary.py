@@ -74,3 +74,13 @@ def test_one_pass_over_the_data(large, capsys):
     plan = capsys.readouterr().out
     assert plan.count("Scan") - plan.count("Range") <= 2
     assert "SortAggregate" not in plan.split("rollup")[0] or plan.count("HashAggregate") >= 2
+
+
+def test_report_ends_with_the_most_frequent_templates(lines):
+    from siftline.operators import templates as T
+
+    parsed = parse(lines(["INFO b 1", "INFO a x", "INFO b 2", "ERROR " + "y" * 60]))
+    counts = T.template_counts(T.mine(parsed, "message"))
+    got = [tuple(r) for r in S.summary_report(parsed, counts).collect()]
+    assert got[0] == ("total", "Total lines", "4")
+    assert got[-3:] == [("template", "b <*>", "2"), ("template", "a x", "1"), ("template", "y" * 52 + "…", "1")]
