@@ -235,13 +235,13 @@ def _links(met: DataFrame, docs: DataFrame, params: Paragraphs) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, params: Paragraphs = Paragraphs()) -> DataFrame:
-    """``doc_id, first_word, n_words, kept_doc_id, kept_word`` of every passage to remove from ``docs(doc_id, text)``.
+    """``doc_id, first_word, n_words, kept_doc_id, kept_word, kept_doc_ids`` of every passage to remove from ``docs(doc_id, text)``.
 
     Words are separated by ASCII white space, A-Z count as a-z, and are numbered from 0 in each text. Of every
     component of linked paragraphs the occurrence with the smallest doc_id and word stays; all others go,
     also within one document. Runs of adjacent removed paragraphs with fewer than
     ``passage_words`` words together stay. ``kept_doc_id`` and ``kept_word`` tell where the first paragraph of the passage
-    is kept.
+    is kept, ``kept_doc_ids`` where any of its paragraphs is.
 
     Null ids, null and empty texts and texts with fewer words than a shingle have no passages. Rows with
     the same doc_id are taken as one document: a paragraph at the same words of both is one occurrence.
@@ -281,6 +281,7 @@ def repeated_passages(docs: DataFrame, params: Paragraphs = Paragraphs()) -> Dat
             F.min("word").alias("first_word"),
             F.sum("size").cast("int").alias("n_words"),
             F.min_by("kept", "word").alias("kept"),
+            F.array_sort(F.collect_set("kept.doc")).alias("kept_doc_ids"),
         )
         .where(F.col("n_words") >= params.passage_words)
         .select(
@@ -289,6 +290,7 @@ def repeated_passages(docs: DataFrame, params: Paragraphs = Paragraphs()) -> Dat
             "n_words",
             F.col("kept.doc").alias("kept_doc_id"),
             F.col("kept.word").alias("kept_word"),
+            "kept_doc_ids",
         )
     )
 

@@ -53,10 +53,11 @@ def brute(rows, params):
         kept = found[root(i)][:2]
         if run and run[0] == doc and run[1] + run[2] == a:
             run[2] += n
+            run[5].add(kept[0])
         else:
-            run = [doc, a, n, *kept]
+            run = [doc, a, n, *kept, {kept[0]}]
             out.append(run)
-    return sorted(tuple(r) for r in out if r[2] >= params.passage_words)
+    return sorted((*r[:5], sorted(r[5])) for r in out if r[2] >= params.passage_words)
 
 
 def corpus(seed):
@@ -86,7 +87,7 @@ def test_same_passages_as_all_pairs(spark, seed):
     params = Paragraphs(bands=7)
     got = found(repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(4), params))
     assert got == brute(rows, params)
-    named = {r[0] for r in got} | {r[3] for r in got}
+    named = {r[0] for r in got} | {d for r in got for d in r[5]}
     assert named <= set(planted) and len(named) >= 0.9 * len(planted)
 
 
