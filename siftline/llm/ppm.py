@@ -20,7 +20,7 @@ from siftline.llm.tokens import slices, text_bytes
 
 UNDETERMINED = "und"
 #: Text bytes scored at once: some 150 bytes of arrays for each.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def _counts(order: int):
     """Counts of the byte strings of each batch of one language: only the longest string at each byte."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", size=2 * SLICE):
             buffer, offsets = text_bytes(batch.column("text"))
             languages = batch.column("lang").dictionary_encode()
             codes = np.repeat(languages.indices.to_numpy(zero_copy_only=False), np.diff(offsets))
