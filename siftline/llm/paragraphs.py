@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm.components import connected_components
+from siftline.llm.passages import edited_passages, joined
 from siftline.llm.tokens import (
     BLANK,
     mix,
@@ -295,6 +296,20 @@ def repeated_passages(docs: DataFrame, params: Paragraphs = Paragraphs()) -> Dat
     )
 
 
+def all_passages(docs: DataFrame, params: Paragraphs = Paragraphs(), only_edited: bool = False) -> DataFrame:
+    """``repeated_passages`` and the passages that seeds find, as one table with the columns of the former.
+
+    Paragraphs end at their cuts and tell nothing of an edited passage when few of them are equal; passages from seeds reach
+    over edits and to their true ends. ``only_edited`` adds those with an edit alone.
+    """
+    own = stage(repeated_passages(docs, params), "passages")
+    more = edited_passages(_documents(docs)).where("n_words >= %d" % params.passage_words)
+    if only_edited:
+        more = more.where("edits > 0")
+    more = more.withColumn("kept_doc_ids", F.array("kept_doc_id")).select(*own.columns)
+    return joined(own.union(more))
+
+
 def _without(text: str):
     def run(batches):
         for batch in slices(batches, text):
@@ -321,9 +336,12 @@ def _without(text: str):
 
 
 def remove_repeats(docs: DataFrame, params: Paragraphs = Paragraphs()) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``; all rows and other columns stay."""
+    """``docs`` with repeated passages cut out of ``text``; all rows and other columns stay.
+
+    Equal passages are cut at their paragraphs, edited ones at their true ends.
+    """
     rows, text = renamed(docs), place(docs, "text")
-    spans = repeated_passages(docs, params).groupBy(F.col("doc_id").alias("doc"))
+    spans = all_passages(docs, params, only_edited=True).groupBy(F.col("doc_id").alias("doc"))
     spans = spans.agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans"))
     joined = rows.join(spans, rows[place(docs, "doc_id")] == spans["doc"], "left").drop("doc")
     return restored(joined.mapInArrow(_without(text), rows.schema), docs)

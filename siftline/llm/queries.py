@@ -111,7 +111,7 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return paragraphs.repeated_passages(table(spark, folder, "documents"))
+    return paragraphs.all_passages(table(spark, folder, "documents"))
 
 
 @query
