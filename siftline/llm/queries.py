@@ -55,7 +55,8 @@ def op4_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     docs = docs.select("doc_id", "text", (crc_remainder("doc_id", 10) == 0).alias("held_out"))
     model = kneser_ney.train(docs.where("not held_out").select("text"))
-    return kneser_ney.score(docs, model, ["doc_id", "held_out"])
+    scored = kneser_ney.score(docs, model, ["doc_id", "held_out"])
+    return scored.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
 
 
 def byte_vocabulary() -> str:

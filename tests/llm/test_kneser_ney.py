@@ -104,3 +104,17 @@ def test_nothing_to_learn_from(spark):
     rows = score(spark.createDataFrame([(1, "a b"), (2, None)], SCHEMA), model, ["doc_id"]).orderBy("doc_id").collect()
     assert [tuple(r) for r in rows] == [(1, 3, 0, 0.0, 0.0), (2, 1, 0, 0.0, 0.0)]
     assert score(spark.createDataFrame([], SCHEMA), model, ["doc_id"]).collect() == []
+
+
+def test_query_tells_the_training_tokens(spark, tmp_path):
+    from siftline.llm.queries import op4_kneser_ney
+    from siftline.llm.tokens import crc_remainder
+
+    rows = [*enumerate(corpus(7, 40)), (40, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    train_rows = docs.where(crc_remainder("doc_id", 10) != 0).collect()
+    found = op4_kneser_ney(spark, str(tmp_path))
+    assert dict(found.dtypes)["train_tokens"] == "bigint"
+    got = found.collect()
+    assert len(got) == len(rows) and {r.train_tokens for r in got} == {sum(len(tokens(r.text)) for r in train_rows)}
