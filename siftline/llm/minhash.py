@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.components import connected_components
-from siftline.llm.tokens import BLANK, mix, slices, text_bytes, unique_per_text, windows, words
+from siftline.llm.tokens import BLANK, mix, place, renamed, restored, slices, text_bytes, unique_per_text, windows, words
 from siftline.session import stage
 
 
@@ -195,7 +195,49 @@ def estimate(unequal: Column, params: MinHash) -> Column:
     return F.greatest(F.lit(0.0), ((1 - unequal / params.kept) - chance) / (1 - chance))
 
 
+#: Column of ``_numbered``: the id of a row, one of its own for a row without doc_id.
+_ROW = "__row_id"
+
+
+def _numbered(docs: DataFrame, doc_id: str) -> tuple[DataFrame, int, int] | None:
+    """``docs`` with ``_ROW``, and the first and last id given here; none if every row has a doc_id.
+
+    The ids given lie above all others, so that a row with an id is kept rather than one without. Only rows without id
+    are staged: their numbers have to stay.
+    """
+    own = docs.withColumn(_ROW, F.col(doc_id).cast("long"))
+    without = own.where(F.col(_ROW).isNull())
+    if without.isEmpty():
+        return None
+    without = stage(without.withColumn(_ROW, F.monotonically_increasing_id()), "rows-without-id")
+    span = without.agg(F.max(_ROW)).first()[0] + 1
+    low, high = own.agg(F.min(_ROW), F.max(_ROW)).first()
+    base = 0 if high is None else high + 1
+    if base + span > (1 << 63) - 1:
+        base = low - span  # no room above: below all others
+        if base < -(1 << 63):
+            raise ValueError("doc_ids leave no room for numbers of rows without id")
+    without = without.withColumn(_ROW, F.col(_ROW) + F.lit(base))
+    return own.where(F.col(_ROW).isNotNull()).union(without), base, base + span - 1
+
+
 def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
+    """``_near_duplicates`` for tables with rows without doc_id as well: each of them is a document of its own.
+
+    Such a row takes the component of its set, which is null if no row with an id is in it; of a component of such rows one
+    is kept.
+    """
+    docs = docs.select("doc_id", "text")
+    numbered = _numbered(docs, "doc_id")
+    if numbered is None:
+        return _near_duplicates(docs, params)
+    rows, first, last = numbered
+    found = _near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"), params)
+    named = lambda c: F.when(~F.col(c).between(first, last), F.col(c))
+    return found.select(named("doc_id").alias("doc_id"), "n_shingles", named("component_id").alias("component_id"), "kept")
+
+
+def _near_duplicates(docs: DataFrame, params: MinHash) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
     A document's set holds its distinct runs of ``shingle`` words (ASCII white space
@@ -205,8 +247,7 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
 
     Null and empty texts have no set: they are linked with nothing and kept. Rows with
     the same doc_id are one document with the links of all its rows, and share its
-    decision. A row without doc_id takes the component of its set and is kept only if
-    no row with an id has that set. Other columns are ignored.
+    decision; no doc_id is null. Other columns are ignored.
 
     Equal sets become one class before anything is compared, so groups of copies
     cost one member. Bands give each class as partner the member of its bucket that meets most
@@ -226,6 +267,16 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
         .agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "planes", "band_keys", "bitmap"))),
         "classes",
     )
+    # documents of several sets: rows with the same doc_id and different texts
+    keyed = docs.mapInArrow(_keys_only(params.shingle), "doc_id long, n_shingles long, key1 long, key2 long")
+    several = keyed.groupBy("doc_id").agg(F.min(F.struct("key1", "key2")).alias("x"), F.max(F.struct("key1", "key2")).alias("y"))
+    several = stage(several.where("x != y").select("doc_id"), "several")
+    same = None
+    if not several.isEmpty():
+        owned = keyed.where("n_shingles > 0").join(several, "doc_id", "left_semi").join(classes, ["key1", "key2"])
+        owned = owned.groupBy("doc_id", "id").agg(F.count("*"))
+        least = owned.groupBy("doc_id").agg(F.min("id").alias("a"))
+        same = stage(owned.join(least, "doc_id").where("a != id").select("a", F.col("id").alias("b")).distinct(), "same-document")
     by_band = classes.select("id", F.explode("band_keys").alias("band_key"))
     shared = by_band.groupBy("band_key").agg(F.count("*").alias("n")).where("n > 1")
     members = stage(by_band.join(shared, "band_key"), "members")
@@ -260,6 +311,7 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
         joined = pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b")
         links = joined.mapInArrow(_confirmed(params.shingle, params.percent), "a long, b long").distinct()
         if labels is None:
+            links = links if same is None else links.union(same)
             labels = stage(connected_components(links), "labels")
             return
         links = stage(links, "links")
@@ -319,11 +371,19 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
     found = found.join(owners, ["key1", "key2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     found = found.select("doc_id", "n_shingles", component.alias("component_id"))
+    if same is not None:  # a row without a set goes with the other rows of its document
+        decided = found.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        found = found.join(decided, "doc_id", "left")
+        found = found.select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, params: MinHash = MinHash()) -> DataFrame:
-    """The rows of ``docs`` (all columns) that are the kept document of their component."""
-    kept = near_duplicates(docs, params)
-    gone = kept.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` (all columns) that are kept; each row without doc_id is a document of its own."""
+    rows, row, text = renamed(docs), place(docs, "doc_id"), place(docs, "text")
+    numbered = _numbered(rows, row)
+    if numbered is not None:
+        rows, row = numbered[0], _ROW
+    kept = _near_duplicates(rows.select(F.col(row).alias("doc_id"), F.col(text).alias("text")), params)
+    gone = kept.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return restored(rows.join(gone, rows[row] == gone["__gone"], "left_anti"), docs)

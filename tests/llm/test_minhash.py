@@ -105,3 +105,21 @@ def test_components_of_a_long_chain_and_a_star(spark):
     found = connected_components(spark.createDataFrame(edges, "a long, b long"))
     got = {r.node: r.component for r in found.collect()}
     assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1400)}
+
+
+def test_different_texts_of_one_document_link_their_groups(spark):
+    one, two = "a b c d e f g", "p q r s t u v"
+    frame = spark.createDataFrame([(1, one), (2, one), (2, two), (3, two), (4, one), (4, None), (5, "x y z")], SCHEMA)
+    got = {tuple(r) for r in near_duplicates(frame).select("doc_id", "component_id", "kept").collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True)}
+
+
+def test_copies_among_rows_without_id_go(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (None, text + " x"), (None, "other words"), (None, None), (7, "own text"), (None, "own text")]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    left = [tuple(r) for r in drop_near_duplicates(frame).collect()]
+    assert len(left) == 4 and {(7, "own text"), (None, "other words"), (None, None)} < set(left)
+    found = near_duplicates(frame).collect()
+    assert len(found) == len(rows) and sum(r.kept for r in found) == 4
+    assert {r.component_id for r in found if r.doc_id is None} == {None, 7}
