@@ -27,13 +27,15 @@ SLICE = 1 << 19
 class Ppm:
     """Contexts of up to ``order`` bytes.
 
-    ``max_nodes`` bounds the frozen tree of all languages together: the strings with the highest
-    counts are its nodes (a string's prefixes and suffixes count at least as often). That bounds the broadcast
-    tables by ``max_nodes * (1024 + 8 * languages)`` bytes.
+    All counted strings are nodes of the tree. ``max_nodes``, if given, keeps only those with the highest
+    counts of all languages together (a string's prefixes and suffixes count at least as often). The first ``dense``
+    contexts have a table of 256 followers, which takes 1024 bytes each; followers of others are looked up in a sorted
+    array. The broadcast tables take ``16 + 8 * languages`` bytes a node besides.
     """
 
     order: int = 3
-    max_nodes: int = 100_000
+    max_nodes: int | None = None
+    dense: int = 65_536
     max_languages: int = 256
 
 
@@ -91,7 +93,8 @@ def context_counts(docs: DataFrame, params: Ppm = Ppm()) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tree:
-    """Nodes are byte strings; ``child[node, byte]`` is the string with that byte added at its end (or -1).
+    """Nodes are byte strings; ``child[node, byte]`` is the string with that byte added at its end (or -1). Contexts
+    beyond that table have their followers in ``deep``: node ``first_deep + i`` is that with ``deep[i]`` = 256 * node + byte.
 
     ``known[node, lang]`` is the code length of the string's last byte after the rest, NaN if the language has
     not seen it; ``escape[node, lang]`` is the cost of leaving the node as a context, 0 if it is none.
@@ -103,6 +106,23 @@ class Tree:
     child: np.ndarray
     known: np.ndarray
     escape: np.ndarray
+    deep: np.ndarray
+    first_deep: int
+
+    def follow(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node of each string with a byte added, -1 if there is none; -1 stays."""
+        table = len(self.child)
+        if not len(self.deep):
+            known = (node >= 0) & (node < table)
+            return np.where(known, self.child[np.where(known, node, 0), byte], -1)
+        out = np.full(len(node), -1, np.int32)
+        near = np.flatnonzero((node >= 0) & (node < table))
+        out[near] = self.child[node[near], byte[near]]
+        far = np.flatnonzero(node >= table)
+        key = (node[far].astype(np.int64) << 8) | byte[far]
+        at = np.minimum(np.searchsorted(self.deep, key), len(self.deep) - 1)
+        out[far] = np.where(self.deep[at] == key, self.first_deep + at, -1)
+        return out
 
 
 def fit(docs: DataFrame, params: Ppm = Ppm()) -> Tree:
@@ -111,12 +131,13 @@ def fit(docs: DataFrame, params: Ppm = Ppm()) -> Tree:
     More than ``max_languages`` different languages are refused. Without training rows the tree has no language.
     """
     counts = context_counts(docs, params)
+    nodes = counts.groupBy("length", "value").agg(
+        F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang")
+    )
+    if params.max_nodes is not None:
+        nodes = nodes.orderBy(F.desc("total"), "length", "value").limit(params.max_nodes)
     nodes = (
-        counts.groupBy("length", "value")
-        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-        .orderBy(F.desc("total"), "length", "value")
-        .limit(params.max_nodes)
-        .select(F.col("length").cast("long").alias("length"), "value", "by_lang")
+        nodes.select(F.col("length").cast("long").alias("length"), "value", "by_lang")
         .toArrow()
         .sort_by([("length", "ascending"), ("value", "ascending")])
         .combine_chunks()
@@ -132,14 +153,19 @@ def fit(docs: DataFrame, params: Ppm = Ppm()) -> Tree:
     column = {name: i for i, name in enumerate(languages)}
     seen[owner, [column[name] for name in names.to_pylist()]] = n.to_numpy()
     contexts = 1 + int((length <= params.order).sum())  # longest strings are no contexts
-    child = np.full((contexts, 256), -1, np.int32)
+    table = max(1, min(contexts, params.dense))
+    child = np.full((table, 256), -1, np.int32)
     parent = np.zeros(len(nodes) + 1, np.int64)
     for size in range(1, params.order + 2):
         own = np.flatnonzero(length == size)
         above = np.flatnonzero(length == size - 1)
         if size > 1 and len(own):
             parent[own + 1] = above[np.searchsorted(value[above], value[own] >> 8)] + 1
-        child[parent[own + 1], value[own] & 255] = own + 1
+    near = np.flatnonzero(parent[1:] < table)
+    child[parent[near + 1], value[near] & 255] = near + 1
+    # nodes are in order of their parents
+    first_deep = len(near) + 1
+    deep = (parent[first_deep:] << 8) | (value[first_deep - 1 :] & 255)
     total = np.zeros_like(seen)
     distinct = np.zeros_like(seen)
     np.add.at(total, parent[1:], seen[1:])
@@ -147,7 +173,7 @@ def fit(docs: DataFrame, params: Ppm = Ppm()) -> Tree:
     with np.errstate(divide="ignore", invalid="ignore"):
         known = np.where(seen > 0, np.log2((total + distinct)[parent] / seen), np.nan)
         escape = np.where(distinct > 0, np.log2((total + distinct) / distinct), 0.0)
-    return Tree(languages, params.order, child, known.astype(np.float32), escape.astype(np.float32))
+    return Tree(languages, params.order, child, known.astype(np.float32), escape.astype(np.float32), deep, first_deep)
 
 
 def code_lengths(buffer: np.ndarray, offsets: np.ndarray, tree: Tree) -> np.ndarray:
@@ -158,8 +184,7 @@ def code_lengths(buffer: np.ndarray, offsets: np.ndarray, tree: Tree) -> np.ndar
     node = np.zeros(n, np.int32)  # the string of the order's length before each byte
     for order in range(tree.order + 1):
         fits = place >= order
-        at = np.where(fits, tree.child[node, buffer], -1)
-        at[node < 0] = -1
+        at = tree.follow(np.where(fits, node, -1), buffer)
         context = np.where(fits & (node >= 0), node, 0)
         cost = tree.known[at]
         escaped = bits + tree.escape[context] * (fits & (node >= 0))[:, None]

@@ -103,3 +103,22 @@ def test_nothing_to_learn_from(spark):
     frame = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert [tuple(r) for r in identify(frame, tree, ["doc_id"]).collect()] == [(1, "und", 0.0)]
     assert identify(frame.limit(0), tree, ["doc_id"]).collect() == []
+
+
+def test_a_rare_language_beside_many_strings_keeps_all_its_contexts(spark):
+    rnd = random.Random(4)
+    junk = [("".join(chr(rnd.randrange(33, 1500)) for _ in range(40_000)), "zz") for _ in range(4)] * 3
+    rare = [("qu'est-ce que c'est", "fr"), ("der hund und die katze", "de")]
+    train = junk + rare
+    frame = spark.createDataFrame(train, "text string, lang string")
+    tree = fit(frame)
+    seen = counts_of(train, 3)
+    assert len(tree.known) == len({gram for _, gram in seen}) + 1 > 100_001
+    texts = ["que c'est la katze", "hund und"]
+    bits = code_lengths(*text_bytes(pa.array(texts)), tree)
+    want = [[brute(t, lang, seen, 3) for lang in tree.languages] for t in texts]
+    assert np.allclose(bits, want, rtol=1e-5)
+    small = fit(spark.createDataFrame(rare, "text string, lang string"), Ppm(dense=3))
+    whole = fit(spark.createDataFrame(rare, "text string, lang string"))
+    assert len(small.deep) and not len(whole.deep)
+    assert np.array_equal(code_lengths(*text_bytes(pa.array(texts)), small), code_lengths(*text_bytes(pa.array(texts)), whole))
