@@ -27,7 +27,10 @@ def _counted(before: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those of no clear language; all other rows stay as they are.
+    """Rejects texts without a letter; all other rows stay as they are.
+
+    ``LEAST_SCORE`` rejects hardly more than these: the posterior of any text of several words is near 1, so gibberish,
+    encoded data and languages not learnt stay.
 
     The languages are learnt from labelled rows, without those whose id is held out. If no row is labelled there is
     nothing to reject by, and all texts with a letter stay.
