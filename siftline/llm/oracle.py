@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express.
 
-Not expressed: language ID, language model, packing, quality rules and paragraph dedup (hash functions, models, placements);
-they are tested against brute force.
+Not expressed: language ID, language model, packing, quality rules, paragraph dedup and mixing (hash functions, models, placements,
+draws); they are tested against brute force.
 """
 
 from __future__ import annotations
@@ -110,4 +110,74 @@ SQL = {
             CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> first THEN first END AS refers_to
         FROM p JOIN f USING (h, payload_bytes)""",
+    "op11_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+            FROM documents
+        ), k AS (
+            SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS k FROM d
+        ), f AS (
+            SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+                CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 90 THEN 'plain'
+                    WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM k
+        ), p AS (
+            SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle,
+                array_to_string(u[b + 1 :], '') AS suffix
+            FROM f
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text
+                WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM p""",
+    "op12_importance_resampling": f"""
+        WITH RECURSIVE bits AS (
+            SELECT range AS b, range AS c, 0 AS k FROM range(256)
+            UNION ALL
+            SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+        ), crc AS (
+            SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8
+        ), both_tables AS (
+            SELECT 0 AS kind, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark
+        ), w AS (
+            SELECT row_number() OVER () AS i, kind, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM both_tables
+        ), g AS (
+            SELECT i, kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1]),
+                list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2]))) AS feature
+            FROM w
+        ), words AS (
+            SELECT DISTINCT feature, hex(encode(feature)) AS x FROM g
+        ), hashed AS (
+            SELECT feature, xor(4294967295, list_reduce(
+                list_transform(range(0, len(x) // 2), lambda j: CAST('0x' || substr(x, 2 * j + 1, 2) AS BIGINT)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 10000 AS bucket
+            FROM words, crc
+        ), f AS (
+            SELECT i, kind, bucket, count(*) AS n FROM g JOIN hashed USING (feature) GROUP BY ALL
+        ), sums AS (
+            SELECT bucket, coalesce(sum(n) FILTER (WHERE kind = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE kind = 1), 0) AS t FROM f GROUP BY bucket
+        ), totals AS (
+            SELECT sum(s) AS all_s, sum(t) AS all_t FROM sums
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS gain
+            FROM sums, totals
+        ), weights AS (
+            SELECT i, sum(n) AS n_features, sum(n * gain) AS weight FROM f JOIN gains USING (bucket) WHERE kind = 0 GROUP BY i
+        ), scored AS (
+            SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+            FROM w LEFT JOIN weights USING (i) WHERE kind = 0
+        ), noisy AS (
+            SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM scored
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r,
+                count(*) FILTER (WHERE n_words >= 20) OVER () AS n
+            FROM noisy
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= n * 5 // 100 THEN r END AS rank FROM ranked""",
 }

@@ -11,7 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, decontaminate, kneser_ney, minhash, packing, paragraphs, ppm, rules, topk, warc
+from siftline.llm import (
+    chat,
+    decontaminate,
+    fim,
+    importance,
+    kneser_ney,
+    minhash,
+    mixing,
+    packing,
+    paragraphs,
+    ppm,
+    rules,
+    topk,
+    warc,
+)
 from siftline.llm.oracle import SQL as ORACLE
 from siftline.llm.tokens import crc_remainder
 from siftline.session import stage, work_folder
@@ -129,3 +143,23 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(files, place, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.transform(table(spark, folder, "documents"))
+    restored = fim.restore(F.col("output"), F.col("form"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return importance.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
