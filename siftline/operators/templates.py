@@ -1,18 +1,19 @@
 """Message templates, mined with a fixed-depth tree over distinct messages.
 
-The method follows the published fixed-depth-tree log miner: messages are routed
-by token count and first token, and inside such a leaf a message joins the most
-similar template, whose differing tokens become wildcards.
-
-Spark does the work around it. Messages are masked (tokens with a digit become
-wildcards) and reduced to distinct ones before any Python runs. Every leaf is mined in two steps, whatever its size: its
-messages with the same second and third token among themselves, then the templates of these parts, in order of first appearance,
-as messages of the leaf. Parts run in parallel; neither the partitioning nor any size decides about a template.
+The tree follows the published fixed-depth-tree log miner: messages are routed by token count and first token, and
+inside such a leaf similar messages become one template, whose differing tokens are wildcards.
+
+Spark does all of it. Messages are masked (tokens with a digit become wildcards) and reduced to distinct ones. The
+templates of all leaves are then merged in rounds until none finds a partner: an inverted table of (leaf, position, token) names the
+earliest template of each key; every template takes the one that is named most often by its own keys, if enough of their tokens are
+equal, and joins it. Leaves of bounded size do their rounds in one task each; larger ones are merged by joins over all leaves,
+round by round, and nothing holds one. The rounds are the same, so neither the partitioning nor any size decides about a template.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,12 @@ WILDCARD = "<*>"
 SIMILARITY = 0.4
 MAX_CHILDREN = 100
 
+# Templates that one is compared with in a round.
+COMPARED = 3
+
+# Leaves of up to so many tokens (templates times their length) do their rounds in one task.
+LEAF_TOKENS = 1 << 19
+
 # Template tables up to this many bytes are broadcast to the lines.
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -58,87 +65,18 @@ def _shape(text: str) -> Column:
     return masked(F.coalesce(F.col(text), F.lit("")))
 
 
-_LEAF = ["n_tokens", "branch"]
-_MINED = "n_tokens INT, branch STRING, shape STRING, template STRING, n BIGINT, first_seq BIGINT"
-
-
-def _mine(rows: pd.DataFrame) -> pd.DataFrame:
-    """Group the distinct messages of one leaf, in order of first appearance.
-
-    Tokens are numbered (0 is the wildcard), so a message is compared with all
-    templates of the leaf in one array operation.
-    """
-    if len(rows) == 1:
-        return rows.assign(template=rows["shape"])
-    numbers = {WILDCARD: 0}
-    messages = [[numbers.setdefault(t, len(numbers)) for t in s.split(" ")] for s in rows["shape"]]
-    width = len(messages[0])
-    templates = np.zeros((16, width), dtype=np.int64)
-    used = 0
-    chosen = []
-    for message in np.array(messages, dtype=np.int64):
-        known = templates[:used]
-        share = ((known == message) & (known != 0)).sum(axis=1) / width
-        near = np.flatnonzero((share >= SIMILARITY) | (known == message).all(axis=1))
-        if len(near):
-            # most similar first; among equals the one with more wildcards
-            wild = (known[near] == 0).sum(axis=1)
-            best = near[np.lexsort((near, -wild, -share[near]))[0]]
-            templates[best][templates[best] != message] = 0
-        else:
-            if used == len(templates):
-                templates = np.concatenate([templates, np.zeros_like(templates)])
-            best = used
-            templates[best] = message
-            used += 1
-        chosen.append(best)
-    words = list(numbers)
-    names = [" ".join(words[t] for t in row) for row in templates[:used]]
-    return rows.assign(template=[names[i] for i in chosen])
-
-
-def _mine_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mine a partition sorted by leaf part: one part at a time is held in memory."""
-    columns = [c.split()[0] for c in _MINED.split(", ")]
-    held: list[pd.DataFrame] = []
-
-    def mined(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        whole = pd.concat(parts, ignore_index=True)
-        leaves = whole.groupby([*_LEAF, "part"], sort=False)
-        return pd.concat([_mine(leaf) for _, leaf in leaves])[columns]
-
-    for batch in batches:
-        if len(batch) == 0:
-            continue
-        key = batch[[*_LEAF, "part"]]
-        open_part = (key == key.iloc[-1]).all(axis=1).to_numpy()
-        closed = int(np.argmax(open_part))  # rows before the last, maybe unfinished part
-        if closed or (held and not (held[-1][[*_LEAF, "part"]].iloc[-1] == key.iloc[0]).all()):
-            yield mined([*held, batch.iloc[:closed]])
-            held = []
-        held.append(batch.iloc[closed:])
-    if held:
-        yield mined(held)
-
-
-def _mine_parts(shapes: DataFrame) -> DataFrame:
-    """The template of each shape, mined per part of a leaf in order of first appearance."""
-    # An explicit number keeps the Python work spread out however small the rows are.
-    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        shapes.repartition(tasks, *_LEAF, "part")
-        .sortWithinPartitions(*_LEAF, "part", "first_seq", "shape")
-        .mapInPandas(_mine_sorted, _MINED)
-    )
-
-
 def distinct_shapes(texts: DataFrame, text: str, order: str) -> DataFrame:
     """``shape, n, first_seq``: distinct masked texts, counted before the shuffle."""
     shapes = texts.select(_shape(text).alias("shape"), F.col(order).alias("_seq"))
     return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("_seq").alias("first_seq"))
 
 
-def _route(shapes: DataFrame, max_children: int) -> DataFrame:
+def _measured(table: DataFrame, row_bytes: int, max_broadcast_bytes: int) -> DataFrame:
+    """A staged table of narrow rows, to be broadcast if their number allows it."""
+    return F.broadcast(table) if row_bytes * table.count() <= max_broadcast_bytes else table
+
+
+def _route(shapes: DataFrame, max_children: int, max_broadcast_bytes: int) -> DataFrame:
     """Add the leaf: token count and first token, or the wildcard beyond the child limit."""
     first = F.substring_index("shape", " ", 1)
     rows = shapes.withColumn("n_tokens", F.size(F.split("shape", " "))).withColumn("_first", first)
@@ -148,31 +86,229 @@ def _route(shapes: DataFrame, max_children: int) -> DataFrame:
     # The limit is pushed into the window, so only candidates of the first
     # ``max_children`` leave their partition.
     kept = tokens.withColumn("_rank", rank).where(F.col("_rank") < max_children)
-    kept = kept.select("n_tokens", "_first", F.col("_first").alias("_branch"))
-    return (
-        rows.join(kept, ["n_tokens", "_first"], "left")
-        .withColumn("branch", F.coalesce("_branch", F.lit(WILDCARD)))
-        .drop("_first", "_branch")
+    kept = stage(kept.select("n_tokens", "_first", F.col("_first").alias("_branch")), "branches")
+    width = kept.agg(F.coalesce(F.sum(2 * F.octet_length("_first") + 64), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(kept) if width <= max_broadcast_bytes else kept, ["n_tokens", "_first"], "left")
+    return joined.withColumn("branch", F.coalesce("_branch", F.lit(WILDCARD))).drop("_first", "_branch")
+
+
+_LEAF = ["n_tokens", "branch"]
+
+
+def _tokens(template: str = "template") -> Column:
+    return F.split(template, " ")
+
+
+def _given(n_tokens: Column, branch: Column) -> Column:
+    """How many tokens the leaf itself says to be equal: the first one of a named branch (short messages need it as a key)."""
+    return F.when((branch == WILDCARD) | (n_tokens <= 2), 0).otherwise(1)
+
+
+def _keys(live: DataFrame) -> DataFrame:
+    """``id, key``: every (leaf, position, token) of the templates, without wildcards and tokens that the leaf gives."""
+    tokens = live.select("id", "n_tokens", "branch", F.posexplode(_tokens()).alias("pos", "token"))
+    own = (F.col("token") != WILDCARD) & (F.col("pos") >= _given(F.col("n_tokens"), F.col("branch")))
+    # 64 bits suffice: a collision could only name a template that is compared in full afterwards
+    return tokens.where(own).select("id", F.xxhash64("n_tokens", "branch", "pos", "token").alias("key"))
+
+
+def _partners(live: DataFrame, max_broadcast_bytes: int) -> DataFrame:
+    """``id, rep, mask, near``: earlier templates that may be like each one, and which of their tokens are equal (1) or not (0).
+
+    Each key names its earliest template; counting is combined before the shuffle, so a token that a
+    third of all templates share costs one row of each task. A template is compared with the ``COMPARED`` ones that
+    its keys name most often (then the earlier), and ``near`` if enough tokens are equal. Templates of which not enough
+    tokens are named are left out: they can't have a partner, now or later, since others only lose tokens.
+    """
+    named = _keys(live).groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    named = _measured(stage(named.where("n > 1").select("key", "rep"), "named"), 48, max_broadcast_bytes)
+    votes = _keys(live.where("able")).join(named, "key").where("id <> rep").repartition("id")
+    votes = votes.groupBy("id", "rep").agg(F.count(F.lit(1)).alias("n"))
+    ranked = F.sort_array(F.collect_list(F.struct("n", (-F.col("rep")).alias("minus"))), asc=False)  # one for a key at most
+    best = votes.groupBy("id").agg(F.slice(ranked, 1, COMPARED).alias("best"), F.sum("n").alias("named"))
+    own = live.select("id", "n_tokens", "branch", _tokens().alias("a"))
+    enough = (F.col("named") + _given(F.col("n_tokens"), F.col("branch"))) / F.col("n_tokens") >= SIMILARITY
+    able = best.join(own, "id").where(enough)
+    able = able.select("id", "n_tokens", "a", F.explode("best").alias("one")).withColumn("rep", -F.col("one.minus"))
+    other = live.select(F.col("id").alias("rep"), _tokens().alias("b"))
+    equal = F.zip_with("a", "b", lambda a, b: F.when((a == b) & (a != WILDCARD), F.lit("1")).otherwise(F.lit("0")))
+    pairs = able.join(other, "rep").select("id", "rep", "n_tokens", F.array_join(equal, "").alias("mask"))
+    return pairs.select("id", "rep", "mask", (_ones("mask") / F.col("n_tokens") >= SIMILARITY).alias("near"))
+
+
+def _ones(mask: str) -> Column:
+    return F.char_length(F.replace(mask, F.lit("0"), F.lit("")))
+
+
+def _joins(edges: DataFrame) -> DataFrame:
+    """``id, rep, chosen``: what joins in this round, and the tokens that its new template keeps.
+
+    A template that is near an earlier one moves; each one that moves joins the most similar that doesn't, of those it was compared with, or
+    waits. The masks of a template's joiners are
+    taken in turn, those that most share first (then those with more tokens equal), as long as the tokens equal in all of them
+    are enough; all whose equal tokens include these join.
+    """
+    moving = edges.select(F.col("id").alias("rep")).distinct()
+    still = edges.join(moving, "rep", "left_anti")
+    most = F.max(F.struct(_ones("mask").alias("ones"), (-F.col("rep")).alias("minus"), "mask"))
+    still = still.groupBy("id").agg(most.alias("best")).select("id", (-F.col("best.minus")).alias("rep"), "best.mask")
+    masks = still.groupBy("rep", "mask").agg(F.count(F.lit(1)).alias("n"))
+    turn = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("n"), F.desc(_ones("mask")), F.desc("mask")))
+    # the turn in which each token is first not equal; the one that would leave too few tokens is the first not taken
+    masks = masks.select("rep", "mask", turn.alias("turn"))  # by itself: a generator beside a window would come before it
+    lost = masks.select("rep", F.char_length("mask").alias("width"), "turn", F.posexplode(F.split("mask", "")).alias("pos", "bit"))
+    lost = lost.groupBy("rep", "width", "pos").agg(F.min(F.when(F.col("bit") == "0", F.col("turn"))).alias("turn"))
+    places = F.array_sort(F.collect_list(F.struct("pos", "turn")))  # as many as the message has tokens
+    wide = lost.groupBy("rep", "width").agg(places.alias("places"))
+    turns = F.array_sort(F.transform("places", lambda p: p["turn"]))  # null last
+    spare = F.col("width") - F.ceil(F.round(F.col("width") * SIMILARITY, 6)).cast("int")
+    wide = wide.withColumn("end", F.try_element_at(turns, spare + 1))
+    gone = F.transform("places", lambda p: F.when(p["turn"] < F.coalesce("end", F.lit(1 << 30)), F.lit("0")).otherwise(F.lit("1")))
+    chosen = wide.select("rep", F.array_join(gone, "").alias("chosen"))
+    return still.join(chosen, "rep").where(F.expr("mask LIKE replace(chosen, '0', '_')")).select("id", "rep", "chosen")
+
+
+def _merged(live: DataFrame, partners: DataFrame, joins: DataFrame) -> DataFrame:
+    """The templates that can go on: those that were joined, and those that may yet join others."""
+    kept = joins.select(F.col("rep").alias("id"), "chosen").distinct()
+    letters = F.transform(_tokens(), lambda t, i: F.when(F.substr("chosen", i + 1, F.lit(1)) == "1", t).otherwise(F.lit(WILDCARD)))
+    wild = F.when(F.col("chosen").isNull(), F.col("template")).otherwise(F.array_join(letters, " "))
+    able = partners.select("id").distinct().join(joins.select("id"), "id", "left_anti").withColumn("able", F.lit(True))
+    going = able.join(kept, "id", "full").join(live.drop("able"), "id")
+    return going.select(
+        "id",
+        "n_tokens",
+        "branch",
+        wild.alias("template"),
+        F.coalesce("able", F.lit(False)).alias("able"),
+        F.col("chosen").isNotNull().alias("new"),
+    )
+
+
+def _leaf_rounds(leaf: pd.DataFrame) -> pd.DataFrame:
+    """All rounds of one leaf of bounded size, by the rules of ``_partners``, ``_joins`` and ``_merged``.
+
+    ``id, rep, template``: what each one joined, or else its template if it was joined.
+    """
+    leaf = leaf.sort_values("id")
+    numbers = {WILDCARD: 0}
+    rows = np.array([[numbers.setdefault(t, len(numbers)) for t in s.split(" ")] for s in leaf["template"]])
+    width = rows.shape[1]
+    given = 0 if leaf["branch"].iloc[0] == WILDCARD or width <= 2 else 1
+    live, able = np.arange(len(rows)), leaf["able"].to_numpy(bool).copy()
+    joined, led = np.full(len(rows), -1), np.zeros(len(rows), bool)
+    while len(live):
+        here = rows[live]
+        named = np.full(here.shape, -1)
+        for p in range(given, width):
+            _, first, which, count = np.unique(here[:, p], return_index=True, return_inverse=True, return_counts=True)
+            named[:, p] = np.where((here[:, p] != 0) & (count[which] > 1), first[which], -1)
+        named[named == np.arange(len(live))[:, None]] = -1
+        known = (named >= 0).sum(axis=1)
+        able[live] &= (known > 0) & ((known + given) / width >= SIMILARITY)
+        near: dict[int, list] = {}
+        for t in np.flatnonzero(able[live]).tolist():
+            votes = Counter(named[t][named[t] >= 0].tolist())
+            for c in sorted(votes, key=lambda c: (-votes[c], c))[:COMPARED]:
+                mask = (here[t] == here[c]) & (here[t] != 0)
+                if mask.sum() / width >= SIMILARITY:
+                    near.setdefault(t, []).append((-int(mask.sum()), c, mask))
+        if not near:
+            break
+        groups: dict[int, list] = {}
+        for t, found in near.items():
+            staying = [x for x in found if x[1] not in near]
+            if staying:
+                _, c, mask = min(staying, key=lambda x: x[:2])
+                groups.setdefault(c, []).append((t, mask))
+        for c, members in groups.items():
+            shared = Counter(mask.tobytes() for _, mask in members)
+            chosen = np.ones(width, bool)
+            for mask in sorted(shared, key=lambda m: (shared[m], sum(m), m), reverse=True):
+                narrower = chosen & np.frombuffer(mask, bool)
+                if narrower.sum() / width < SIMILARITY:
+                    break
+                chosen = narrower
+            for t, mask in members:
+                if mask[chosen].all():
+                    joined[live[t]] = live[c]
+            rows[live[c]][~chosen] = 0
+            led[live[c]] = True
+        leads = np.zeros(len(rows), bool)
+        leads[live[list(groups)]] = True
+        live = live[(joined[live] < 0) & (able[live] | leads[live])]
+    words, ids = list(numbers), leaf["id"].to_numpy()
+    moved = np.flatnonzero(joined >= 0)
+    made = np.flatnonzero(led & (joined < 0))
+    return pd.concat(
+        [
+            pd.DataFrame({"id": ids[moved], "rep": pd.array(ids[joined[moved]], "Int64"), "template": None}),
+            pd.DataFrame({"id": ids[made], "rep": pd.array([None] * len(made), "Int64"), "template": [" ".join(words[t] for t in rows[i]) for i in made]}),
+        ]
     )
 
 
-def mine(texts: DataFrame, text: str, order: str = "seq", max_children: int = MAX_CHILDREN) -> DataFrame:
+def _split(live: DataFrame, leaf_tokens: int, max_broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The templates of leaves of bounded size (and two at least), and those of larger ones."""
+    sizes = stage(live.groupBy(*_LEAF).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "leaves")
+    size = F.octet_length("branch") + 64
+    bytes_ = sizes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    sized = live.join(F.broadcast(sizes) if bytes_ <= max_broadcast_bytes else sizes, _LEAF)
+    bounded = F.col("_n") * F.col("n_tokens") <= leaf_tokens
+    return sized.where(bounded).drop("_n"), sized.where(~bounded).drop("_n")
+
+
+def mine(
+    texts: DataFrame,
+    text: str,
+    order: str = "seq",
+    max_children: int = MAX_CHILDREN,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    leaf_tokens: int = LEAF_TOKENS,
+) -> DataFrame:
     """``shape, template, n, first_seq``: the template of every distinct masked text. NULL texts count as empty.
 
-    The second step holds the templates of one leaf in one task, and compares each with those before it.
+    ``order`` is unique for each row. Leaves of up to ``leaf_tokens`` tokens are grouped. Of larger ones the first
+    round shuffles a row for each token of the distinct texts; later ones work on the templates that were joined and
+    those that may still join, and on fewer leaves.
     """
     # Everything after this line works on distinct messages only.
-    routed = _route(stage(distinct_shapes(texts, text, order), "shapes"), max_children)
-    tokens = F.split("shape", " ")
-    part = F.concat_ws(" ", F.try_element_at(tokens, F.lit(2)), F.try_element_at(tokens, F.lit(3)))
-    parts = stage(_mine_parts(routed.withColumn("part", part)), "parts")
-    leaves = parts.groupBy(*_LEAF, F.col("template").alias("shape")).agg(
-        F.sum("n").alias("n"), F.min("first_seq").alias("first_seq")
+    shapes = stage(distinct_shapes(texts, text, order), "shapes")
+    routed = _route(shapes, max_children, max_broadcast_bytes)
+    live = routed.select(
+        F.col("first_seq").alias("id"), "n_tokens", "branch", F.col("shape").alias("template"), F.lit(True).alias("able")
     )
-    wider = _mine_parts(leaves.withColumn("part", F.lit("")))
-    wider = wider.select(*_LEAF, F.col("shape").alias("template"), F.col("template").alias("_wider"))
-    joined = parts.join(wider, [*_LEAF, "template"])
-    return joined.select("shape", F.col("_wider").alias("template"), "n", "first_seq")
+    links, changed = [], []  # of each round
+    while True:
+        small, live = _split(live, leaf_tokens, max_broadcast_bytes)
+        rounds = small.groupBy(*_LEAF).applyInPandas(_leaf_rounds, "id BIGINT, rep BIGINT, template STRING")
+        rounds = stage(rounds, "leaf_rounds")
+        links.append(rounds.where("rep IS NOT NULL").select("id", "rep"))
+        changed.append(rounds.where("rep IS NULL").select("id", "template"))
+        if live.isEmpty():
+            break
+        partners = stage(_partners(live, max_broadcast_bytes), "partners")
+        edges = partners.where("near").drop("near")
+        if edges.isEmpty():
+            break
+        joins = stage(_joins(edges), "joins")
+        links.append(joins.select("id", "rep"))
+        live = stage(_merged(live, partners, joins), "live")
+        changed.append(live.where("new").select("id", "template"))
+    # A text's template may have joined another one in a later round: follow the links, twice as far each time.
+    # A template joins once, and what it was before is of no use then.
+    ends = stage(reduce(DataFrame.union, links), "links")
+    while True:
+        on = ends.select(F.col("id").alias("rep"), F.col("rep").alias("further"))
+        if ends.join(on, "rep", "left_semi").isEmpty():
+            break
+        ends = stage(ends.join(on, "rep", "left").select("id", F.coalesce("further", "rep").alias("rep")), "links")
+    made = reduce(DataFrame.union, (c.withColumn("round", F.lit(i)) for i, c in enumerate(changed)))
+    made = made.groupBy("id").agg(F.max_by("template", "round").alias("template")).withColumnRenamed("id", "rep")
+    own = made.select(F.col("rep").alias("id"), "rep").join(ends.select("id"), "id", "left_anti")
+    ends = ends.union(own).join(made, "rep").select(F.col("id").alias("first_seq"), "template")
+    found = shapes.join(ends, "first_seq", "left")
+    return found.select("shape", F.coalesce("template", "shape").alias("template"), "n", "first_seq")
 
 
 def template_counts(mined: DataFrame) -> DataFrame:
@@ -198,7 +334,7 @@ def assign(
     Otherwise the lines are joined by shuffle, where adaptive execution splits
     the partition of a text that occurs very often.
     """
-    mined = stage(mine(lines, text, order, max_children), "mined")
+    mined = stage(mine(lines, text, order, max_children, max_broadcast_bytes), "mined")
     table = mined.join(number_templates(mined), "template").select("shape", "template", "cluster_id")
     width = F.octet_length("shape") + F.octet_length("template") + 64
     measured = mined.agg(F.sum(width.cast("bigint")).alias("b")).first().b or 0

@@ -511,6 +511,13 @@ def template_mine(spark, folder):
     return assigned.select("event_id", "cluster_id", "template")
 
 
+@query
+def template_rounds(spark, folder):
+    """Lines of few words that share many of them: the merges take several rounds."""
+    lines = templates.mine(view.part_lines(spark, folder), "raw", order="p_partkey")
+    return templates.template_counts(lines)
+
+
 @query
 def summary_templates(spark, folder):
     mined = templates.mine(_with_text(_plain(spark, folder)), "text", order="event_id")

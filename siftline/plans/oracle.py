@@ -129,6 +129,84 @@ shaped AS (
 counts AS (
   SELECT template, CAST(count(*) AS BIGINT) AS n, min(event_id) AS first_seq FROM shaped GROUP BY template)"""
 
+
+
+def _merge_rounds(rounds: int) -> str:
+    """CTEs from ``texts(id, raw)``: the merges of template mining, written out for a number of rounds; ``mined(template, n, first_seq)``."""
+    steps = [
+        """
+shapes AS (
+  SELECT array_to_string(list_transform(string_split(raw, ' '),
+    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS shape, count(*) AS n, min(id) AS id
+  FROM texts GROUP BY shape),
+routed AS (SELECT *, string_split(shape, ' ') AS t, len(string_split(shape, ' ')) AS w, string_split(shape, ' ')[1] AS f FROM shapes),
+branches AS (
+  SELECT w, f, f AS branch FROM routed WHERE f <> '<*>' GROUP BY w, f
+  QUALIFY row_number() OVER (PARTITION BY w ORDER BY min(id), f) < 100),
+live0 AS (SELECT id, w, coalesce(branch, '<*>') AS branch, t, true AS able FROM routed LEFT JOIN branches USING (w, f))"""
+    ]
+    for i in range(1, rounds + 1):
+        old = f"live{i - 1}"
+        steps.append(
+            f"""
+tok{i} AS (SELECT id, w, branch, able, unnest(t) AS token, unnest(range(len(t))) AS pos FROM {old}),
+key{i} AS (SELECT * FROM tok{i} WHERE token <> '<*>' AND (pos > 0 OR branch = '<*>' OR w <= 2)),
+named{i} AS (SELECT w, branch, pos, token, min(id) AS rep FROM key{i} GROUP BY ALL HAVING count(*) > 1),
+votes{i} AS (
+  SELECT id, w, branch, rep, count(*) AS n FROM key{i} JOIN named{i} USING (w, branch, pos, token) WHERE able AND id <> rep GROUP BY ALL),
+best{i} AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, rep) AS r,
+    (sum(n) OVER (PARTITION BY id) + CASE WHEN branch = '<*>' OR w <= 2 THEN 0 ELSE 1 END) / w AS named FROM votes{i}),
+pairs{i} AS (
+  SELECT b.id, b.rep, b.w, array_to_string(list_transform(range(1, b.w + 1),
+    lambda p: CASE WHEN x.t[p] = y.t[p] AND x.t[p] <> '<*>' THEN '1' ELSE '0' END), '') AS mask
+  FROM best{i} b JOIN {old} x ON x.id = b.id JOIN {old} y ON y.id = b.rep WHERE r <= 3 AND named >= 0.4),
+partners{i} AS (SELECT *, length(replace(mask, '0', '')) AS ones FROM pairs{i}),
+edges{i} AS (SELECT * FROM partners{i} WHERE ones / w >= 0.4),
+still{i} AS (
+  SELECT * FROM edges{i} WHERE rep NOT IN (SELECT id FROM edges{i})
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY ones DESC, rep) = 1),
+masks{i} AS (
+  SELECT rep, w, mask, row_number() OVER (PARTITION BY rep ORDER BY count(*) DESC, ones DESC, mask DESC) AS turn
+  FROM still{i} GROUP BY rep, w, mask, ones),
+lost{i} AS (
+  SELECT rep, w, pos, min(turn) AS turn FROM (SELECT rep, w, turn, mask, unnest(range(1, w + 1)) AS pos FROM masks{i})
+  WHERE mask[pos] = '0' GROUP BY ALL),
+ends{i} AS (
+  -- the turn in which more tokens would be lost than the template can spare
+  SELECT rep, min(turn) AS stop FROM (
+    SELECT a.rep, a.w, a.turn, count(*) AS gone FROM lost{i} a JOIN lost{i} b ON a.rep = b.rep AND b.turn <= a.turn
+    GROUP BY a.rep, a.w, a.turn, a.pos) WHERE (w - gone) / w < 0.4 GROUP BY rep),
+chosen{i} AS (
+  SELECT rep, string_agg(CASE WHEN l.turn < coalesce(stop, 1 << 30) THEN '0' ELSE '1' END, '' ORDER BY pos) AS chosen
+  FROM (SELECT DISTINCT rep, w, unnest(range(1, w + 1)) AS pos FROM masks{i}) LEFT JOIN lost{i} l USING (rep, w, pos) LEFT JOIN ends{i} USING (rep)
+  GROUP BY rep),
+joins{i} AS (SELECT id, rep, chosen FROM still{i} JOIN chosen{i} USING (rep) WHERE mask LIKE replace(chosen, '0', '_')),
+live{i} AS (
+  SELECT l.id, w, branch, able, chosen IS NOT NULL AS new, CASE WHEN chosen IS NULL THEN t ELSE list_transform(range(1, w + 1),
+    lambda p: CASE WHEN chosen[p] = '1' THEN t[p] ELSE '<*>' END) END AS t
+  FROM (SELECT id, w, branch, t FROM {old}) l
+  LEFT JOIN (SELECT DISTINCT rep AS id, chosen FROM joins{i}) c ON c.id = l.id
+  LEFT JOIN (SELECT DISTINCT id, true AS a FROM partners{i}) p ON p.id = l.id
+  CROSS JOIN LATERAL (SELECT coalesce(a, false) AS able)
+  WHERE l.id NOT IN (SELECT id FROM joins{i}) AND (chosen IS NOT NULL OR able))"""
+        )
+    links = " UNION ALL ".join(f"SELECT id, rep FROM joins{i}" for i in range(1, rounds + 1))
+    made = " UNION ALL ".join(f"SELECT id, t, {i} AS i FROM live{i} WHERE new" for i in range(1, rounds + 1))
+    steps.append(
+        f"""
+links AS ({links}),
+root AS (
+  SELECT id, id AS root FROM shapes WHERE id NOT IN (SELECT id FROM links)
+  UNION ALL SELECT l.id, r.root FROM root r JOIN links l ON l.rep = r.id),
+made AS (SELECT id AS root, arg_max(array_to_string(t, ' '), i) AS template FROM ({made}) GROUP BY id),
+mined AS (
+  SELECT coalesce(template, shape) AS template, CAST(sum(n) AS BIGINT) AS n, min(s.id) AS first_seq
+  FROM shapes s JOIN root USING (id) LEFT JOIN made USING (root) GROUP BY ALL)"""
+    )
+    return "WITH RECURSIVE " + ",".join(steps)
+
+
 _NORMAL = {
     "iso_z": ("ts", "0"),
     "iso_offset": ("date_trunc('second', ts)", "19800"),
@@ -393,6 +471,15 @@ FROM doc GROUP BY raw ORDER BY n DESC, first_seq LIMIT 10""",
 SELECT event_id, cluster_id, template FROM shaped
 JOIN (SELECT template, row_number() OVER (ORDER BY first_seq) AS cluster_id FROM counts) USING (template)""",
     ),
+    "template_rounds": _merge_rounds(4).replace(
+        "WITH RECURSIVE ",
+        """WITH RECURSIVE texts AS (
+  SELECT p_partkey AS id, concat_ws(' ', p_type, p_name, CASE p_size % 5 WHEN 0 THEN 'in stock' WHEN 1 THEN 'in size ' || p_size
+    WHEN 2 THEN 'on order since monday by mail' WHEN 3 THEN 'moved to ' || p_brand
+    ELSE 'on order since friday by ' || string_split(p_name, ' ')[1] END) AS raw FROM part),""",
+        1,
+    )
+    + " SELECT template, n, first_seq FROM mined",
     "summary_templates": _with(_TEMPLATES, "SELECT template, n, first_seq FROM counts"),
     "top_templates": _with(
         _TEMPLATES, "SELECT template AS label, n FROM counts ORDER BY n DESC, first_seq LIMIT 10"

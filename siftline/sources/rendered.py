@@ -113,3 +113,19 @@ def write_event_files(
         writer = writer.option("compression", compression)
     writer.text(target)
     return [f"{target}/file=app-{i}.log/part-*" for i in range(4)]
+
+
+def part_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``p_partkey, raw``: a line of four to nine words for each part, with few different words at each place."""
+    place = F.element_at(
+        F.array(
+            F.lit("in stock"),
+            F.concat(F.lit("in size "), F.col("p_size").cast("string")),
+            F.lit("on order since monday by mail"),
+            F.concat(F.lit("moved to "), F.col("p_brand")),
+            F.concat(F.lit("on order since friday by "), F.split("p_name", " ")[0]),
+        ),
+        (F.col("p_size") % 5 + 1).cast("int"),
+    )
+    parts = spark.read.parquet(f"{folder}/part.parquet")
+    return parts.select("p_partkey", F.concat_ws(" ", "p_type", "p_name", place).alias("raw"))
