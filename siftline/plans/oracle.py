@@ -485,6 +485,7 @@ JOIN (SELECT template, row_number() OVER (ORDER BY first_seq) AS cluster_id FROM
         _TEMPLATES, "SELECT template AS label, n FROM counts ORDER BY n DESC, first_seq LIMIT 10"
     ),
     "follow_scan": _with(_PLAIN, "SELECT raw FROM ev"),
+    "follow_from_now": _with(_PLAIN, "SELECT raw FROM ev WHERE event_id % 2 = 1"),
     "follow_filter": _with(_PLAIN, f"SELECT raw AS line FROM ev WHERE level = 'ERROR' AND ts >= {_FROM}"),
     "stream_summary": _with(_PLAIN, "SELECT level, CAST(count(*) AS BIGINT) AS n FROM ev GROUP BY level"),
     "stream_metrics": _with(_PLAIN, _SEEN),

@@ -6,7 +6,7 @@ import threading
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -14,6 +14,7 @@ from siftline.operators.predicates import definite
 from siftline.operators.render import CSV_OPTIONS, json_line, output_record, text_lines
 from siftline.operators.search import search
 from siftline.session import prepare
+from siftline.streaming import versions
 
 
 def follow_lines(
@@ -22,15 +23,16 @@ def follow_lines(
     since: datetime | None = None,
     max_files_per_batch: int | None = None,
     max_file_age: str = "36500d",
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """A stream of ``file, raw`` over text files landing in ``folder``.
 
     A file counts by its name, not its age: one that lands late is read unless it is ``max_file_age`` older than the
     newest file seen. A shorter age lets Spark forget the names of old files.
 
-    ``since`` skips files last written before that moment (pass the current time
-    to see only what arrives from now on); without it the files already there
-    are read as well.
+    ``known`` (from ``known_files``) skips the files that were there when following began, whatever the times of those that
+    land later. ``since`` skips files last written before that moment, those that land later too. Without either
+    the files already there are read as well.
     """
     reader = prepare(spark).readStream.format("text").option("maxFileAge", max_file_age)
     if max_files_per_batch:
@@ -39,7 +41,25 @@ def follow_lines(
     if since is not None:
         moment = since if since.tzinfo else since.replace(tzinfo=timezone.utc)
         lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(moment))
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.make_valid_utf8("value").alias("raw"))
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"), F.make_valid_utf8("value").alias("raw")
+    )
+    if known is not None:
+        lines = lines.join(known.withColumnRenamed("size", "_size"), ["file", "_size"], "left_anti")
+    return lines.drop("_size")
+
+
+def known_files(spark: SparkSession, folder: str, place: str) -> DataFrame:
+    """``file, size`` of the files in ``folder`` when this was first called with ``place``.
+
+    Keep ``place`` next to the checkpoint: a query that starts again must leave out the same files. A file whose
+    size has changed since then is not the known one. No content is read.
+    """
+    listed = prepare(spark).read.format("binaryFile").load(folder)
+    listed = listed.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    if versions.current(spark, place) is None:
+        versions.publish(listed, place, 0)
+    return versions.read(spark, place, "file STRING, size BIGINT")
 
 
 def follow_search(
@@ -144,23 +164,70 @@ def start_sink(
     return writer.start()
 
 
+def _started(rows: DataFrame, each, mode: str, checkpoint: str, every: str | None) -> StreamingQuery:
+    writer = rows.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+_LEDGER = "query STRING, batch BIGINT, scanned BIGINT, matched BIGINT"
+
+
+def start_counted_search(
+    parsed: DataFrame, test: Column, path: str, ledger: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Write the matching rows of a stream to the parquet folder ``path`` and count in ``ledger`` what was scanned.
+
+    The ledger has one row for each query (the id that its checkpoint keeps): totals and the last batch counted in. Rows are
+    counted while they are written. A batch that runs again, after a crash or a restart, overwrites its own part
+    and is not counted twice; totals go on where the last run of the query ended.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = Observation()
+        marked = batch.withColumn("_match", definite(test)).observe(
+            seen, F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("_match")).alias("matched")
+        )
+        marked.where("_match").drop("_match").write.mode("overwrite").parquet(f"{path}/part={number}")
+        own = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        news = spark.createDataFrame([(own, number, seen.get["scanned"], seen.get["matched"])], _LEDGER)
+        before = versions.read(spark, ledger, _LEDGER)
+        # the last row counted of a query is not added again
+        again = before.where((F.col("query") == own) & (F.col("batch") >= number))
+        added = before.union(news.join(again, "query", "left_anti").select(*news.columns))
+        totals = added.groupBy("query").agg(*(f(c).alias(c) for c, f in (("batch", F.max), ("scanned", F.sum), ("matched", F.sum))))
+        versions.publish(totals, ledger, number)
+
+    return _started(parsed, keep, "append", checkpoint, every)
+
+
+def scan_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """``query, batch, scanned, matched``: totals of each query so far, over all its runs."""
+    return versions.read(spark, ledger, _LEDGER)
+
+
+_LIVE = "level STRING, n BIGINT, batch BIGINT"
+
+
 def start_live_summary(parsed: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Counts by level in the parquet folder ``path``, one part for each micro-batch.
+    """Counts by level in the folder ``path``, a new version with each micro-batch.
 
-    Every part holds the levels that changed with their counts so far; ``live_summary`` reads
-    the latest count of each. A batch that runs again overwrites its part, and nothing is held by the driver.
+    A batch brings the levels that changed with their counts so far, laid over the version before it: one row for each level, and
+    a bounded number of files however many batches there were. A batch that runs again gives the same version,
+    and nothing is held by the driver.
     """
     counts = parsed.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/part={number}")
+        news = batch.select("level", "n", F.lit(number).cast("bigint").alias("batch"))
+        both = versions.read(batch.sparkSession, path, _LIVE).union(news)
+        latest = both.groupBy("level").agg(F.max_by("n", "batch").alias("n"), F.max("batch").alias("batch"))
+        versions.publish(latest, path, number)
 
-    writer = counts.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint)
-    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
+    return _started(counts, keep, "update", checkpoint, every)
 
 
 def live_summary(spark: SparkSession, path: str) -> DataFrame:
-    """``level, n`` of a live summary so far; rows without level count as NULL."""
-    parts = spark.read.schema("level STRING, n BIGINT, batch BIGINT").option("recursiveFileLookup", True).parquet(path)
-    return parts.groupBy("level").agg(F.max_by("n", "batch").alias("n"))
+    """``level, n`` of a live summary so far, of one version; rows without level count as NULL."""
+    return versions.read(spark, path, _LIVE).select("level", "n")

@@ -8,7 +8,7 @@ from siftline.operators.parse import parse
 from siftline.operators.predicates import level_in
 from siftline.operators.search import search
 from siftline.operators.summary import count_by_level
-from siftline.streaming import follow
+from siftline.streaming import follow, versions
 
 
 @pytest.fixture
@@ -95,3 +95,63 @@ def test_late_files_with_an_old_time_are_read(spark, landed, tmp_path):
     os.utime(landed / "late.log", (1_600_000_000, 1_600_000_000))
     drain(found, tmp_path, "parquet")
     assert "ERROR old" in {r.raw for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+
+
+def test_from_now_on_leaves_out_what_was_there_and_nothing_else(spark, landed, tmp_path):
+    place = str(tmp_path / "known")
+    before = {r.file.rsplit("/", 1)[1] for r in follow.known_files(spark, str(landed), place).collect()}
+    assert before == set(os.listdir(landed))
+    (landed / "old.log").write_text("ERROR late with an old time\n")
+    os.utime(landed / "old.log", (1_600_000_000, 1_600_000_000))
+    for line in ("ERROR one", "ERROR two"):  # the second run starts again from the checkpoint
+        (landed / f"{line[-3:]}.log").write_text(line + "\n")
+        known = follow.known_files(spark, str(landed), place)
+        drain(follow.follow_lines(spark, str(landed), known=known).select("raw"), tmp_path, "parquet")
+    got = sorted(r.raw for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    assert got == ["ERROR late with an old time", "ERROR one", "ERROR two"]
+
+
+def test_counters_outlive_the_query_and_repeated_batches(spark, landed, tmp_path):
+    out, ledger, state = (str(tmp_path / x) for x in ("o", "ledger", "state"))
+
+    def run():
+        parsed = parse(follow.follow_lines(spark, str(landed), max_files_per_batch=1))
+        follow.start_counted_search(parsed, level_in(["ERROR"]), out, ledger, state).awaitTermination()
+        return follow.scan_ledger(spark, ledger).collect()
+
+    (first,) = run()
+    assert (first.scanned, first.matched) == (len(PLAIN), 2)
+    (landed / "new.log").write_text("ERROR more\nINFO less\n")
+    (second,) = run()
+    assert (second.query, second.scanned, second.matched) == (first.query, len(PLAIN) + 2, 3)
+    # as if the driver had died before the last batch was committed
+    commits = tmp_path / "state" / "commits"
+    last = max((int(n) for n in os.listdir(commits) if n.isdigit()))
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink()
+    (third,) = run()
+    assert (third.scanned, third.matched, third.batch) == (second.scanned, second.matched, second.batch)
+    assert sorted(r.raw for r in spark.read.parquet(out).collect()) == sorted([PLAIN[1], PLAIN[6], "ERROR more"])
+
+
+def test_versions_are_bounded_and_read_whole(spark, tmp_path):
+    place = str(tmp_path / "v")
+    assert versions.read(spark, place, "a INT").collect() == []
+    for i in range(12):
+        reading = versions.read(spark, place, "a INT, b INT")
+        versions.publish(spark.createDataFrame([(i, j) for j in range(5)], "a INT, b INT"), place, i)
+        assert {r.a for r in reading.collect()} == ({i - 1} if i else set())
+    assert len([n for n in os.listdir(place) if n.startswith("version")]) <= versions.KEPT
+    assert sorted(map(tuple, versions.read(spark, place, "a INT, b INT").collect())) == [(11, j) for j in range(5)]
+
+
+def test_live_summary_has_a_bounded_number_of_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(15):
+        (folder / f"{i}.log").write_text("ERROR a\nINFO b\n")
+    live = str(tmp_path / "live")
+    parsed = parse(follow.follow_lines(spark, str(folder), max_files_per_batch=1))
+    follow.start_live_summary(parsed, live, str(tmp_path / "state")).awaitTermination()
+    assert {r.level: r.n for r in follow.live_summary(spark, live).collect()} == {"ERROR": 15, "INFO": 15}
+    assert sum(len(files) for _, _, files in os.walk(live)) <= 6 * versions.KEPT
