@@ -44,6 +44,8 @@ def _merged() -> list[Column]:
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.min(point("_min")).getField("t").alias("first_ts"),
         F.max(point("_max")).getField("t").alias("last_ts"),
+        F.min(point("_min")).getField("m").alias("_first_ts"),  # as instants
+        F.max(point("_max")).getField("m").alias("_last_ts"),
     ]
 
 
@@ -54,15 +56,27 @@ def _level_parts(parsed: DataFrame) -> DataFrame:
 
 
 def summary(parsed: DataFrame) -> DataFrame:
-    """One row: ``total, unparsed, n_levels, first_ts, last_ts``."""
-    rows, first, last = _merged()
+    """One row: ``total, unparsed, n_levels, by_level, first_ts, last_ts``, from one pass over the data.
+
+    ``by_level`` is a map of the rows of each level, in order of severity, then of name.
+    """
     none = F.col("level").isNull()
-    return _level_parts(parsed).agg(
-        rows.alias("total"),
+    parts = _level_parts(parsed)
+    # the offsets of a level are merged first; then its few rows
+    levels = parts.groupBy("level").agg(*_merged()).withColumn("_rank", severity_rank(F.col("level")))
+    counted = F.when(~none, F.struct("_rank", "level", "n"))
+    sorted_ = F.array_sort(F.collect_list(counted))
+
+    def point(c: str) -> Column:
+        return F.struct(f"_{c}", c)
+
+    return levels.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.coalesce(F.sum(F.when(none, F.col("n"))), F.lit(0)).alias("unparsed"),
-        F.count_distinct("level").alias("n_levels"),
-        first,
-        last,
+        F.count("level").alias("n_levels"),
+        F.map_from_entries(F.transform(sorted_, lambda x: F.struct(x["level"], x["n"]))).alias("by_level"),
+        F.min(F.when(F.col("first_ts").isNotNull(), point("first_ts"))).getField("first_ts").alias("first_ts"),
+        F.max(F.when(F.col("last_ts").isNotNull(), point("last_ts"))).getField("last_ts").alias("last_ts"),
     )
 
 
@@ -81,7 +95,7 @@ def unparsed_rows(parsed: DataFrame) -> DataFrame:
 
 def time_span(parsed: DataFrame) -> DataFrame:
     """``first_ts, last_ts``: wall clocks of the earliest and latest instant."""
-    return _by_offset(parsed.select("ts", "ts_offset")).agg(*_merged()[1:])
+    return _by_offset(parsed.select("ts", "ts_offset")).agg(*_merged()[1:3])
 
 
 def severity_rollup(parsed: DataFrame) -> DataFrame:

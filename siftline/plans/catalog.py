@@ -419,7 +419,9 @@ def summary_time_span(spark, folder):
 
 @query
 def summary_(spark, folder):
-    return summary.summary(_plain(spark, folder))
+    row = summary.summary(_plain(spark, folder))
+    entry = lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
+    return row.withColumn("by_level", F.array_join(F.transform(F.map_entries("by_level"), entry), ", "))
 
 
 

@@ -7,6 +7,7 @@ columns the lines were rendered from.
 from __future__ import annotations
 
 from siftline.plans import catalog
+from siftline.schema import SEVERITY_ORDER
 
 _PHRASE = """CASE event_type WHEN 'click' THEN 'button clicked' WHEN 'error' THEN 'request failed'
     WHEN 'purchase' THEN 'order placed' WHEN 'signup' THEN 'account created' WHEN 'view' THEN 'page viewed' END"""
@@ -407,9 +408,11 @@ SELECT arg_min(ts, ts - to_seconds(coalesce(ts_offset, 0))) AS first_ts,
     ),
     "summary": _with(
         _PLAIN,
-        """
+        f"""
 SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE level IS NULL) AS BIGINT) AS unparsed,
   CAST(count(DISTINCT level) AS BIGINT) AS n_levels,
+  (SELECT string_agg(level || '=' || n, ', ' ORDER BY coalesce(list_position({list(SEVERITY_ORDER)}, level), 99), level)
+    FROM (SELECT level, count(*) AS n FROM ev WHERE level IS NOT NULL GROUP BY level)) AS by_level,
   arg_min(ts, ts - to_seconds(coalesce(ts_offset, 0))) AS first_ts,
   arg_max(ts, ts - to_seconds(coalesce(ts_offset, 0))) AS last_ts FROM ev""",
     ),

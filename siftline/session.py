@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -76,6 +77,30 @@ def clear_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Folders staged by each application, in order.
+_staged: dict[str, list[str]] = {}
+
+
+def staged_so_far(spark: SparkSession) -> int:
+    """A mark for ``release``."""
+    return len(_staged.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the tables staged after the mark ``since``, but for the staged table ``keep``, which replaces them.
+
+    The shuffle files of finished jobs go too: Spark drops them once nothing refers to them and the collector has run.
+    Only the caller can know that no other frame still reads the tables.
+    """
+    kept = {file.rsplit("/", 2)[-2] for file in keep.inputFiles()}
+    own = _staged.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in own[since:] if p.rsplit("/", 1)[1] not in kept]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back.
 
@@ -84,4 +109,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_folder(spark, name)
     df.write.parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ import pytest
 from conftest import PLAIN
 from siftline.operators.numbering import number_rows
 from siftline.operators.parse import detect_format
+from siftline.session import release, stage, staged_so_far
 from siftline.sources import files
 from siftline.sources.files import expand, head, read_lines
 from siftline.sources.tables import lines_from_table
@@ -145,3 +146,14 @@ def test_large_gzip_is_spread_alone(spark, tmp_path, monkeypatch):
     for numbered in (True, False):
         got = read_lines(spark, [str(tmp_path / "a.log.gz"), str(tmp_path / "b.log")], numbered)
         assert sorted(r.raw for r in got.collect()) == ["x", "y", "z"]
+
+
+def test_release_deletes_what_a_later_table_replaces(spark):
+    first = stage(spark.range(3).toDF("a"), "first")
+    mark = staged_so_far(spark)
+    second = stage(first.selectExpr("a + 1 AS a"), "second")
+    third = stage(second.selectExpr("a * 2 AS a"), "third")
+    release(spark, mark, third)
+    assert sorted(r.a for r in third.collect()) == [2, 4, 6] and first.count() == 3
+    with pytest.raises(Exception):
+        second.count()

@@ -30,6 +30,7 @@ def test_empty_input(lines):
     assert report(empty) == [("total", "Total lines", "0")]
     row = S.summary(empty).first()
     assert (row.total, row.unparsed, row.n_levels, row.first_ts, row.last_ts) == (0, 0, 0, None, None)
+    assert row.by_level == {}
     assert tuple(S.time_span(empty).first()) == (None, None)
 
 
@@ -43,6 +44,19 @@ def test_large_input_has_thousands_separators(large):
     assert tuple(S.severity_rollup(parsed).first()) == (2500, 2500)
 
 
+def test_summary_counts_levels_in_order(lines):
+    texts = ["2024-01-15T10:00:00+05:00 INFO a", "2024-01-15T10:00:00Z INFO b", "FATAL c", "INFO d", "WARN e", "none", "WARN f"]
+
+    def by_level(df):  # in its own order, which a Python dict of a collected map does not keep
+        return [tuple(e) for e in S.summary(df).selectExpr("map_entries(by_level) AS e").first().e]
+
+    row = S.summary(parse(lines(texts))).first()
+    assert by_level(parse(lines(texts))) == [("FATAL", 1), ("WARN", 2), ("INFO", 3)]
+    assert (row.total, row.unparsed, row.n_levels) == (7, 1, 3)
+    odd = parse(lines(['{"level":"zeta"}', '{"level":"alpha"}', '{"level":"error"}', '{"level":"zeta"}']), "json")
+    assert by_level(odd) == [("ERROR", 1), ("ALPHA", 1), ("ZETA", 2)]
+
+
 def test_span_compares_instants_and_shows_wall_clocks(lines):
     df = parse(lines([
         "2024-01-15T10:00:00+05:00 INFO a",  # 05:00 UTC
