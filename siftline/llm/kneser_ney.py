@@ -341,12 +341,17 @@ def _save_statistics(folder: str, vocabulary_before: np.ndarray):
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more; fixed ones where counts of counts are missing."""
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more; fixed ones where counts of counts are missing.
+
+    A discount of 0 or less would leave nothing for words that were not seen after a context, and one of a whole count
+    nothing for those that were: where the formula gives either, the fixed one stands in.
+    """
+    fixed = [0.5, 1.0, 1.5]
     if min(n1, n2, n3, n4) == 0:
-        return np.array([0.0, 0.5, 1.0, 1.5])
+        return np.array([0.0, *fixed])
     y = n1 / (n1 + 2 * n2)
     found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return np.array([0.0, *(min(max(d, 0.0), k) for k, d in enumerate(found, 1))])
+    return np.array([0.0, *(d if 0 < d < k else fixed[k - 1] for k, d in enumerate(found, 1))])
 
 
 @dataclass(frozen=True)

@@ -118,3 +118,19 @@ def test_query_tells_the_training_tokens(spark, tmp_path):
     assert dict(found.dtypes)["train_tokens"] == "bigint"
     got = found.collect()
     assert len(got) == len(rows) and {r.train_tokens for r in got} == {sum(len(tokens(r.text)) for r in train_rows)}
+
+
+def test_no_discount_takes_all_or_nothing():
+    for counts in ((100, 10, 10, 50), (5, 100, 1, 1), (1, 1, 1, 1), (0, 1, 2, 3), (10, 1, 40, 1), (1000, 100, 20, 400)):
+        d = discounts(*counts)
+        assert d[0] == 0 and all(0 < d[k] < k for k in (1, 2, 3))
+
+
+def test_scores_are_finite_where_counts_of_counts_are_odd(spark):
+    # many more bigrams that occur four times than three times: the formula gives D3 below 0
+    texts = [f"p{i} u{i}" for i in range(100)] + [f"q{i} v{i}" for i in range(10)] * 2 + [f"r{i} w{i}" for i in range(3)] * 3
+    texts += [f"s{i} z{i}" for i in range(50)] * 4
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "p1 u3", "s1 unseen", "never met"])], "doc_id long, text string")
+    model = train(docs.where(f"doc_id < {len(texts)}").select("text"))
+    got = score(docs, model, ["doc_id"]).collect()
+    assert len(got) == len(texts) + 3 and all(-100 < r.score < 0 for r in got)
