@@ -33,7 +33,7 @@ class Packing:
     """Capacities of a sequence and how sequences are chosen.
 
     ``rule`` is ``"norm"`` or ``"dot"``; ``weights`` weigh tokens, pieces and attention cost, each as a share of its
-    capacity. ``group_docs`` is the number of documents whose pieces one task packs together; every group may leave
+    capacity. ``group_pieces`` is the number of pieces that one task packs together; every group may leave
     one sequence partly empty, 1 in some 30,000.
     """
 
@@ -43,7 +43,7 @@ class Packing:
     rule: str = "norm"
     weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
     end: int = 2
-    group_docs: int = 32_768
+    group_pieces: int = 32_768
 
     def __post_init__(self):
         if self.rule not in ("norm", "dot"):
@@ -194,15 +194,23 @@ def _pack(params: Packing):
     return run
 
 
-def pack(cut: DataFrame, params: Packing = Packing(), n_docs: int | None = None) -> DataFrame:
+def expected_pieces(docs: DataFrame, params: Packing = Packing()) -> int:
+    """About how many pieces ``docs(text)`` is cut into, from the lengths of the texts: a token has four bytes or so."""
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
+    cuts = F.sum(F.lit(1) + F.floor(size / (4 * params.tokens)))
+    return docs.agg(F.coalesce(cuts, F.lit(0)).cast("long")).first()[0]
+
+
+def pack(cut: DataFrame, params: Packing = Packing(), n_pieces: int | None = None) -> DataFrame:
     """``sequence_id`` and ``offset`` for every piece, by groups of pieces dealt out by hash.
 
-    ``n_docs`` is the number of documents (counted if not given); it sets the number of groups, to some
-    ``group_docs`` documents each. Equal rows are placed separately. Lengths must be between 1 and ``params.longest``.
+    ``n_pieces`` is the number of pieces, or about (counted if not given); it sets the number of groups, to some
+    ``group_pieces`` each, however few documents they are of. Equal rows are placed separately. Lengths must be between
+    1 and ``params.longest``.
     """
-    if n_docs is None:
-        n_docs = cut.where("piece = 0").count()
-    groups = max(1, math.ceil(n_docs / params.group_docs))
+    if n_pieces is None:
+        n_pieces = cut.count()
+    groups = max(1, math.ceil(n_pieces / params.group_pieces))
     dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
     schema = cut.schema.add("sequence_id", "long").add("offset", "long")
     return dealt.groupBy("pack_group").applyInArrow(_pack(params), schema)

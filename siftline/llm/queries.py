@@ -84,7 +84,7 @@ def byte_vocabulary() -> str:
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     cut = packing.pieces(docs, byte_vocabulary(), with_ids=False).drop("ids")
-    return packing.pack(cut, n_docs=docs.count())
+    return packing.pack(cut, n_pieces=packing.expected_pieces(docs))
 
 
 #: Both turns of the conversation that op8 adds.

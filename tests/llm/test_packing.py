@@ -8,6 +8,7 @@ public = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from siftline.llm.packing import Packing, best_fit, encoder, pack, pieces, sequences  # noqa: E402
+from siftline.llm.packing import expected_pieces  # noqa: E402
 
 SCHEMA = "doc_id long, text string"
 PATH = public.path("byte_bpe_50k.json")
@@ -42,7 +43,7 @@ def check(cut, packed, params):
     return len(by_sequence)
 
 
-@pytest.mark.parametrize("params", [Packing(tokens=16, group_docs=30), Packing(tokens=16, pieces=3, rule="dot", weights=(1, 1, 1)), Packing(tokens=16, attention=150, weights=(1, 0.5, 1))])
+@pytest.mark.parametrize("params", [Packing(tokens=16, group_pieces=30), Packing(tokens=16, pieces=3, rule="dot", weights=(1, 1, 1)), Packing(tokens=16, attention=150, weights=(1, 0.5, 1))])
 def test_round_trip_and_capacities(spark, params):
     rnd = random.Random(2)
     texts = ODD + [" ".join(rnd.choice(["a", "of", "the", "zebra", "é"]) for _ in range(rnd.randint(0, 60))) for _ in range(150)]
@@ -86,3 +87,14 @@ def test_near_the_lower_bound():
 def test_empty_table(spark):
     cut = pieces(spark.createDataFrame([], SCHEMA), PATH)
     assert pack(cut).collect() == []
+
+
+def test_pieces_of_one_document_go_to_several_groups(spark):
+    rows = spark.range(3000).selectExpr("7L AS doc_id", "int(id) AS piece", "id * 16 AS start", "16L AS length", "id AS ids_crc32")
+    packed = pack(rows, Packing(tokens=16, group_pieces=500)).collect()
+    assert len({r.sequence_id for r in packed}) == 3000 and len({r.sequence_id >> 32 for r in packed}) == 6
+
+
+def test_expected_pieces_grow_with_the_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 40_960)], "doc_id long, text string")
+    assert expected_pieces(docs) == 2 + 11 and expected_pieces(docs.limit(0)) == 0
