@@ -32,7 +32,7 @@ from siftline.llm.tokens import (
     windows,
     words,
 )
-from siftline.session import stage
+from siftline.session import release, stage, staged_so_far
 
 U64 = np.uint64
 
@@ -302,7 +302,10 @@ def all_passages(docs: DataFrame, params: Paragraphs = Paragraphs(), only_edited
     Paragraphs end at their cuts and tell nothing of an edited passage when few of them are equal; passages from seeds reach
     over edits and to their true ends. ``only_edited`` adds those with an edit alone.
     """
+    spark = docs.sparkSession
+    mark = staged_so_far(spark)
     own = stage(repeated_passages(docs, params), "passages")
+    release(spark, mark, own)
     more = edited_passages(_documents(docs)).where("n_words >= %d" % params.passage_words)
     if only_edited:
         more = more.where("edits > 0")

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.llm.tokens import BLANK, slices, text_bytes, windows, words
-from siftline.session import stage
+from siftline.session import release, stage, staged_so_far
 
 U64 = np.uint64
 
@@ -260,9 +260,11 @@ def edited_passages(docs: DataFrame, params: Passages = Passages()) -> DataFrame
     ``docs`` has neither null ids nor null texts. Passages may overlap; each is given with the first occurrence of a
     seed in it. ``edits`` counts the places where the occurrences differ.
     """
+    spark = docs.sparkSession
+    mark = staged_so_far(spark)
+    # a few bytes each; most occur once and go in the join with the heads
     seeds = stage(docs.mapInArrow(_seeds(params), "hash long, doc long, word int"), "seeds")
-    own = F.struct("doc", "word")
-    heads = seeds.groupBy("hash").agg(F.min(own).alias("head"), F.max(own).alias("last")).where("head != last")
+    heads = seeds.groupBy("hash").agg(F.min(F.struct("doc", "word")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = stage(heads.select("hash", F.col("head.doc").alias("kept_doc"), F.col("head.word").alias("kept_word")), "seed-heads")
     pairs = (
         seeds.join(heads, "hash")
@@ -271,6 +273,7 @@ def edited_passages(docs: DataFrame, params: Passages = Passages()) -> DataFrame
         .agg(F.collect_set(F.struct("word", "kept_word")).alias("seeds"))
     )
     pairs = stage(pairs, "seed-pairs")
+    release(spark, mark, pairs)
     there = docs.select(F.col("doc_id").alias("kept_doc"), "text")
     extents = pairs.join(there, "kept_doc").select("doc", "kept_doc", "text", "seeds")
     extents = extents.mapInArrow(_references(params), f"doc long, kept_doc long, extents {_EXTENTS_SPARK}")
