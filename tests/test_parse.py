@@ -22,7 +22,7 @@ def all_rows(lines, table, fmt):
 
 
 PLAIN_LEVEL_AND_MESSAGE = [
-    ("2024-01-15 14:00:10 ERROR  Connection refused", "ERROR", "Connection refused"),
+    ("2023-06-02 09:30:04 ERROR  payment gateway unreachable", "ERROR", "payment gateway unreachable"),
     ("Warning: low", "WARN", "low"),
     ("WARNINGS: low", None, "WARNINGS: low"),
     ("[WARN] disk", "WARN", "] disk"),
