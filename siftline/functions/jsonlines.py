@@ -35,60 +35,67 @@ def with_document(df: DataFrame, raw: str, into: str, where: str = "true") -> Da
     return once(parsed, into, F.expr(f"CASE WHEN {closed} = xxhash64({raw}) THEN _parsed END")).drop("_parsed")
 
 
-def with_texts(df: DataFrame, raw: str, doc: str) -> DataFrame:
-    """Add ``{doc}_texts``: key and text of the fields that a variant would spell in another way.
+_RESPELT = "schema_of_variant(v) RLIKE '^(?:DECIMAL|DOUBLE|OBJECT|ARRAY)'"
 
-    These are numbers with a fraction or an exponent, very long ones, objects and lists. Lines without such
-    fields are not parsed again. The last field of a key comes last.
-    """
-    fields = f"try_variant_get({doc}, '$[0]', 'map<string,variant>')"
-    changed = f"exists(map_values({fields}), v -> {_RESPELT})"
-    texts = F.expr(f"CASE WHEN {changed} THEN map_entries(from_json({raw}, 'map<string,string>')) END")
-    return once(df, f"{doc}_texts", texts)
 
+def _respelt(value: str) -> str:
+    """Whether a variant may spell the value in another way than the line: numbers with a fraction or an exponent,
+    very long ones, objects and lists."""
+    return _RESPELT.replace("(v)", f"({value})")
 
-_RESPELT = "schema_of_variant(v) RLIKE '^(?:DECIMAL|DOUBLE|OBJECT|ARRAY)'"
 
+def _spellings(raw: str) -> str:
+    """Key and text of all fields of a line; the last field of a key comes last."""
+    return f"map_entries(from_json({raw}, 'map<string,string>'))"
 
-def _text(doc: str, key: str, value: str) -> str:
-    """A field's text; ``key`` and ``value`` (a variant) are SQL expressions."""
-    respelt = _RESPELT.replace("(v)", f"({value})")
-    own = f"try_element_at(filter({doc}_texts, e -> e.key = {key}), -1).value"
-    return f"CASE WHEN {respelt} THEN coalesce({own}, CAST({value} AS STRING)) ELSE CAST({value} AS STRING) END"
+
+def _text(key: str, value: str, spellings: str) -> str:
+    """A field's text; ``key`` and ``value`` (a variant) are SQL expressions. Only respelt values look at the spellings."""
+    own = f"try_element_at(filter({spellings}, e -> e.key = {key}), -1).value"
+    return f"CASE WHEN {_respelt(value)} THEN coalesce({own}, CAST({value} AS STRING)) ELSE CAST({value} AS STRING) END"
 
 
 def _field(doc: str, key: str, kind: str = "variant") -> str:
     return f"try_variant_get({doc}, '$[0][\"{key}\"]', '{kind}')"
 
 
-def _first_usable(doc: str, keys: list[str]) -> str:
+def _first_usable(doc: str, raw: str, keys: list[str]) -> str:
     """Text of the first key that is present and neither null, false, zero nor empty."""
     texts = (
-        f"CASE WHEN NOT to_json({_field(doc, k)}) RLIKE r'{ABSENT}' THEN {_text(doc, f"'{k}'", _field(doc, k))} END" for k in keys
+        f"CASE WHEN NOT to_json({_field(doc, k)}) RLIKE r'{ABSENT}' THEN {_text(f"'{k}'", _field(doc, k), _spellings(raw))} END"
+        for k in keys
     )
     return f"coalesce({', '.join(texts)})"
 
 
-def level(doc: str) -> Column:
-    return F.expr(f"upper({_first_usable(doc, LEVEL_KEYS)})")
+def level(doc: str, raw: str) -> Column:
+    return F.expr(f"upper({_first_usable(doc, raw, LEVEL_KEYS)})")
 
 
-def stamp(doc: str) -> Column:
-    return F.expr(_first_usable(doc, TIME_KEYS))
+def stamp(doc: str, raw: str) -> Column:
+    return F.expr(_first_usable(doc, raw, TIME_KEYS))
 
 
-def message(doc: str) -> Column:
+def message(doc: str, raw: str) -> Column:
     """First usable message key; a present but unusable last key keeps its text; else ''.
 
     NULL only for lines that are not JSON objects.
     """
-    last = _text(doc, f"'{MESSAGE_KEYS[-1]}'", _field(doc, MESSAGE_KEYS[-1]))
-    return F.expr(f"CASE WHEN {doc} IS NOT NULL THEN coalesce({_first_usable(doc, MESSAGE_KEYS)}, {last}, '') END")
+    last = _text(f"'{MESSAGE_KEYS[-1]}'", _field(doc, MESSAGE_KEYS[-1]), _spellings(raw))
+    usable = _first_usable(doc, raw, MESSAGE_KEYS)
+    return F.expr(f"CASE WHEN {doc} IS NOT NULL THEN coalesce({usable}, {last}, '') END")
+
 
+def extras(doc: str, raw: str) -> Column:
+    """All other keys as text; nested values stay JSON text; an unparsed line gives an empty map.
 
-def extras(doc: str) -> Column:
-    """All other keys as text; nested values stay JSON text; an unparsed line gives an empty map."""
+    The line is read again at most once, and only if one of its fields is respelt.
+    """
     fields = f"try_variant_get({doc}, '$[0]', 'map<string,variant>')"
     reserved = ", ".join(f"'{k}'" for k in RESERVED)
     kept = f"map_filter({fields}, (k, v) -> k NOT IN ({reserved}))"
-    return F.expr(f"coalesce(transform_values({kept}, (k, v) -> {_text(doc, 'k', 'v')}), CAST(map() AS MAP<STRING, STRING>))")
+    spellings = f"CASE WHEN exists(map_values(kept), v -> {_respelt('v')}) THEN {_spellings(raw)} END"
+    texts = f"transform_values(kept, (k, v) -> {_text('k', 'v', 'spelt')})"
+    # one-element arrays name what the inner expressions use several times
+    spelt = f"transform(array({spellings}), spelt -> {texts})[0]"
+    return F.expr(f"coalesce(transform(array({kept}), kept -> {spelt})[0], CAST(map() AS MAP<STRING, STRING>))")

@@ -71,7 +71,6 @@ def parse(df: DataFrame, fmt: str | Column = "plaintext", raw: str = "raw") -> D
     work = once(df, "_fmt", F.when(fmt.isin("json", "logfmt"), fmt).otherwise(F.lit("plaintext")))
     is_json, is_logfmt = F.col("_fmt") == "json", F.col("_fmt") == "logfmt"
     work = jsonlines.with_document(work, raw, "_doc", where="_fmt = 'json'")
-    work = jsonlines.with_texts(work, raw, "_doc")
     work = once(work, "_pairs", F.when(is_logfmt, logfmt.pairs(raw)))
 
     def choose(of_json: Column, of_logfmt: Column, of_plain: Column) -> Column:
@@ -80,27 +79,27 @@ def parse(df: DataFrame, fmt: str | Column = "plaintext", raw: str = "raw") -> D
     line = F.col(raw)
     work = work.withColumns(
         {
-            "_stamp": choose(jsonlines.stamp("_doc"), logfmt.stamp("_pairs"), plaintext.stamp(line)),
+            "_stamp": choose(jsonlines.stamp("_doc", raw), logfmt.stamp("_pairs"), plaintext.stamp(line)),
             "_others": logfmt.other_pairs("_pairs"),
         }
     )
     return _record(
         with_clock(work, "_stamp"),
         df.columns,
-        level=choose(jsonlines.level("_doc"), logfmt.level("_pairs"), plaintext.level(line)),
-        message=choose(jsonlines.message("_doc"), logfmt.message("_pairs"), plaintext.message(line)),
-        extras=choose(jsonlines.extras("_doc"), logfmt.extras("_others"), F.lit(None)),
+        level=choose(jsonlines.level("_doc", raw), logfmt.level("_pairs"), plaintext.level(line)),
+        message=choose(jsonlines.message("_doc", raw), logfmt.message("_pairs"), plaintext.message(line)),
+        extras=choose(jsonlines.extras("_doc", raw), logfmt.extras("_others"), F.lit(None)),
     )
 
 
 def _parse_as(df: DataFrame, fmt: str, raw: str) -> DataFrame:
     if fmt == "json":
-        work = jsonlines.with_texts(jsonlines.with_document(df, raw, "_doc"), raw, "_doc")
-        work = work.withColumn("_stamp", jsonlines.stamp("_doc"))
+        work = jsonlines.with_document(df, raw, "_doc")
+        work = work.withColumn("_stamp", jsonlines.stamp("_doc", raw))
         fields = {
-            "level": jsonlines.level("_doc"),
-            "message": jsonlines.message("_doc"),
-            "extras": jsonlines.extras("_doc"),
+            "level": jsonlines.level("_doc", raw),
+            "message": jsonlines.message("_doc", raw),
+            "extras": jsonlines.extras("_doc", raw),
         }
     elif fmt == "logfmt":
         work = once(df, "_pairs", logfmt.pairs(raw))
