@@ -39,7 +39,7 @@ def quantized(vectors: DataFrame, scale: int = 1024, vector_id: str = "vec_id",
     """``id, vector``: components as ``floor(scale * x)`` in whole numbers.
 
     Left out are null vectors, vectors without components, and vectors with a null or non-finite component (or one
-    beyond 2^62 when scaled); so are rows without id. Inner products must fit 64 bits.
+    beyond 2^62 when scaled); so are rows without id. Columns other than the two named are ignored, whatever their names.
     """
     x = F.transform(F.col(vector), lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
     usable = F.forall(
@@ -61,6 +61,28 @@ def _matrices(batch: pa.RecordBatch):
         yield ids[own], flat.reshape(len(own), size)
 
 
+def _products(queries: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Exact inner products, queries by rows; one of 2^62 or more of different ids raises ``OverflowError``.
+
+    Whole numbers below 2^53 are exact as doubles. Rows that may reach 2^62 with some query are computed in
+    numbers of any size.
+    """
+    most = float(np.abs(queries).max()) * np.abs(rows).max(axis=1).astype(np.float64) * rows.shape[1]
+    if most.max() < 2**53:
+        return (queries.astype(np.float64) @ rows.T.astype(np.float64)).astype(np.int64)
+    scores = queries @ rows.T
+    for at in np.flatnonzero(most >= 2**61).tolist():  # a factor 2 above the rounding of ``most``
+        exact = queries.astype(object) @ rows[at].astype(object)
+        for i, value in enumerate(exact):
+            if abs(value) < _MOST:
+                scores[i, at] = value
+            elif query_ids[i] != ids[at]:
+                raise OverflowError(f"inner product of vectors {query_ids[i]} and {ids[at]} does not fit: {value}")
+            else:
+                scores[i, at] = 0  # a query is no candidate of its own
+    return scores
+
+
 def _scored(batches, queries):
     """Query places, candidate ids and scores of each query group, in pieces; the query itself scores nothing."""
     for batch in batches:
@@ -73,12 +95,8 @@ def _scored(batches, queries):
             step = max(1, _SCORES // len(places))
             for at in range(0, len(ids), step):
                 part = matrix[at : at + step]
-                bound = float(np.abs(part).max()) * float(np.abs(others).max()) * part.shape[1]
-                if bound < 2**53:  # whole numbers of this size are exact as doubles
-                    scores = (others.astype(np.float64) @ part.T.astype(np.float64)).astype(np.int64)
-                else:
-                    scores = others @ part.T
                 own = ids[at : at + step]
+                scores = _products(others, part, query_ids, own)
                 yield places, own, scores, query_ids[:, None] != own[None, :]
 
 
@@ -239,6 +257,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, params: TopK = TopK()) -> Data
     Both frames are of the form of ``quantized``. A query meets all vectors of its length except those with its own id;
     with fewer than ``k`` of them all are returned. Ties go to the smaller id; rows that
     repeat an id count separately as candidates. Equal query rows are one query. Empty frames give no rows.
+    Scores are exact below 2^62; a query and a vector with a larger inner product, either sign, stop the search with an
+    ``OverflowError`` that names them, so no score ever wraps.
 
     What reaches the driver is bounded by the block: the queries, and per pass one bin for each. Executors send
     at most ``k`` bins of a query and batch. Queries beyond a block start a new round of passes.

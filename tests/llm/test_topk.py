@@ -63,6 +63,30 @@ def test_large_components(spark):
     assert search(spark.createDataFrame(rows, SCHEMA), TopK()) == brute(rows, 10, lambda q: q % 10 == 0)
 
 
+def whole(frame_rows):
+    return [(i, [float(x) / 1024 for x in v]) for i, v in frame_rows]
+
+
+def test_products_near_the_bound_are_exact(spark):
+    # sums pass 64 bits on the way, the results do not
+    big = 1 << 40
+    rows = whole([(0, [big, big, 3]), (1, [big, -big, 7]), (2, [-big, big, 5]), (3, [1 << 20, 0, 1]), (4, [2, 0, 0]), (10, [1, 1, 1])])
+    schema = "vec_id long, embedding array<double>"
+    assert search(spark.createDataFrame(rows, schema), TopK()) == brute(rows, 10, lambda q: q % 10 == 0)
+
+
+def test_products_that_do_not_fit_are_refused(spark):
+    rows = whole([(0, [4e9, 4e9]), (1, [4e9, 4e9]), (2, [1.0, 2.0])])
+    with pytest.raises(Exception, match="inner product of vectors 0 and 1 does not fit"):
+        search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), TopK())
+
+
+def test_clashing_extra_columns(spark):
+    rows = [(i, [0.5 * i, 1.0]) for i in range(12)]
+    frame = spark.createDataFrame([(*r, 5, "a", 1, 2) for r in rows], SCHEMA + ", id int, vector string, place int, n int")
+    assert search(frame, TopK(k=3)) == brute(rows, 3, lambda q: q % 10 == 0)
+
+
 def test_empty(spark):
     assert search(spark.createDataFrame([], SCHEMA), TopK()) == []
     assert search(spark.createDataFrame([(1, [1.0])], SCHEMA), TopK()) == []
