@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from siftline.llm.fm_index import FmIndex
 from siftline.llm.tokens import ALNUM, place, renamed, restored, slices, text_bytes, words
+from siftline.session import stage
 
 #: Occurrences located at once.
 _BLOCK = 1 << 18
@@ -26,41 +27,75 @@ _BLOCK = 1 << 18
 
 @dataclass(frozen=True)
 class Decontamination:
-    """Windows of ``window`` words; items are broadcast in blocks of about ``block_bytes`` of text each."""
+    """Windows of ``window`` words; they are broadcast in blocks of about ``block`` windows (counted with one for each
+    item that has it). A window of ten words takes some 100 bytes."""
 
     window: int = 10
-    block_bytes: int = 32 << 20
+    block: int = 1 << 19
     sample: int = 8
 
 
 @dataclass(frozen=True)
 class Windows:
-    """Distinct windows of some items: word numbers (right-aligned), lengths, and the items of each."""
+    """Distinct windows: word numbers (right-aligned), lengths, and the items of window ``i``:
+    ``items[bounds[i] : bounds[i + 1]]``, as places in ``names``."""
 
     vocabulary: np.ndarray
     phrases: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
-
-
-def benchmark_windows(items: pa.Table, size: int) -> Windows:
-    """The windows of ``items(item_id, text)``; rows without id, text or words have none."""
-    ids = items["item_id"].to_pylist()
-    column = items["text"].combine_chunks()
-    _, _, hashes, first = words(*text_bytes(column), ALNUM)
-    vocabulary, number = np.unique(hashes, return_inverse=True)
-    found: dict[tuple[int, ...], set[str]] = {}
-    for item, begin, end in zip(ids, first[:-1].tolist(), first[1:].tolist()):
-        if item is None or begin == end:
-            continue
-        own = (number[begin:end] + 1).tolist()
-        for at in range(max(1, len(own) - size + 1)):
-            found.setdefault(tuple(own[at : at + size]), set()).add(item)
-    phrases = np.zeros((len(found), size), np.int64)
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    for i, window in enumerate(found):
-        phrases[i, size - len(window) :] = window
-    return Windows(vocabulary, phrases, lengths, [sorted(x) for x in found.values()])
+    bounds: np.ndarray
+    items: np.ndarray
+    names: pa.Array
+
+    def named(self, windows: np.ndarray) -> set[str]:
+        """The items of some windows."""
+        if not len(windows):
+            return set()
+        own = np.concatenate([self.items[self.bounds[w] : self.bounds[w + 1]] for w in windows.tolist()])
+        return set(self.names.take(pa.array(np.unique(own))).to_pylist())
+
+
+def _item_windows(size: int):
+    """The windows of each batch of items, each once for an item, as the hashes of their words."""
+
+    def run(batches):
+        for batch in slices(batches, "text", size=1 << 20):
+            _, _, hashes, first = words(*text_bytes(batch.column("text")), ALNUM)
+            counts = np.diff(first)
+            n = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
+            item = np.repeat(np.arange(batch.num_rows), n)
+            begin = first[:-1][item] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            lengths = np.minimum(counts[item], size)
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            at = np.repeat(begin - offsets[:-1], lengths) + np.arange(offsets[-1])
+            windows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[at].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(item)), windows], ["item_id", "window"])
+
+    return run
+
+
+def item_windows(items: DataFrame, size: int) -> DataFrame:
+    """``window, items``: the distinct windows of ``items(item_id, text)`` with their items in order.
+
+    Made in tasks; items without id, text or words have none.
+    """
+    usable = items.where("item_id is not null and text is not null")
+    found = usable.mapInArrow(_item_windows(size), "item_id string, window array<long>")
+    return found.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
+def windows_of(block: pa.Table, size: int) -> Windows:
+    """One block of ``item_windows``, on the driver, without an object for each window."""
+    window, items = block["window"].combine_chunks(), block["items"].combine_chunks()
+    lengths = np.diff(window.offsets.to_numpy()).astype(np.int64)
+    vocabulary, number = np.unique(window.flatten().to_numpy().view(np.uint64), return_inverse=True)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    ends = np.cumsum(lengths)
+    phrases = np.zeros((len(lengths), size), np.int64)
+    phrases[row, size - (ends[row] - np.arange(len(row)))] = number + 1
+    bounds = np.concatenate([[0], np.cumsum(np.diff(items.offsets.to_numpy()))])
+    coded = items.flatten().dictionary_encode()
+    return Windows(vocabulary, phrases, lengths, bounds, coded.indices.to_numpy(), coded.dictionary)
 
 
 def _numbered(hashes: np.ndarray, first: np.ndarray, bench: Windows) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +174,7 @@ def _search(shared, sample: int, last: bool, cut: str | None):
                         np.concatenate([finish[a:b] - first[i], old[:, 1]]),
                     )
                 spans.append([{"first": x, "end": y} for x, y in zip(merged[0].tolist(), merged[1].tolist())])
-                named = {item for w in np.unique(window[a:b]).tolist() for item in bench.items[w]}
+                named = bench.named(np.unique(window[a:b]))
                 items.append(sorted(named | set(earlier[1][i])))
                 hits.append(int((merged[1] - merged[0]).sum()))
                 if cut:
@@ -184,15 +219,15 @@ def find(
     window is one window. Null and empty texts have no words. Items without id or words take no part; rows
     with the same id are one item. Repeated rows of ``docs`` are judged separately.
 
-    The benchmark goes to the executors in blocks of bounded size, one search pass after the other in the same
-    stage; there is one block unless its text exceeds ``block_bytes``.
+    The windows are made in tasks and go to the executors in blocks of bounded size, one search pass after the other in
+    the same stage; there is one block unless they exceed ``block``. A block is all that the driver holds.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / params.block_bytes))
-    # copies of an item id stay in one block, so that its windows are not listed twice
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    windows = stage(item_windows(items, params.window), "benchmark-windows")
+    total = windows.agg(F.sum(F.size("items") + 1)).first()[0] or 0
+    blocks = max(1, math.ceil(total / params.block))
+    windows = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     spans = T.ArrayType(T.StructType().add("first", "long").add("end", "long"))
     rows = docs.select(
         *keep,
@@ -202,8 +237,8 @@ def find(
     )
     for block in range(blocks):
         last = block == blocks - 1
-        own = items.where(F.col("block") == block).select("item_id", "text").toArrow()
-        shared = spark.sparkContext.broadcast(benchmark_windows(own, params.window))
+        own = windows.where(F.col("block") == block).select("window", "items").toArrow()
+        shared = spark.sparkContext.broadcast(windows_of(own, params.window))
         fields = [f for f in rows.schema.fields if f.name not in ("__spans", "__items")]
         schema = T.StructType(fields).add("__spans", spans).add("__items", T.ArrayType(T.StringType()))
         if last:

@@ -60,14 +60,14 @@ def corpus(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1 << 25), (2, 200), (3, 1 << 25)])
+@pytest.mark.parametrize("seed,block", [(1, 1 << 19), (2, 40), (3, 1 << 19)])
 def test_same_hits_as_brute_force(spark, seed, block):
     docs, items = corpus(seed)
     found = find(
         spark.createDataFrame(docs, DOCS).repartition(3),
         spark.createDataFrame(items, ITEMS),
         ["doc_id"],
-        Decontamination(block_bytes=block),
+        Decontamination(block=block),
     )
     assert rows(found) == brute(docs, items)
 
@@ -79,6 +79,16 @@ def test_edge_cases(spark):
     assert rows(found) == brute(docs, items)
 
 
+def test_windows_of_many_items_in_blocks(spark):
+    # one window that all items share, each item with windows of its own, and an item id on several rows
+    shared = " ".join(f"s{i}" for i in range(10))
+    items = [(i % 150, f"{shared} own{i} own{i + 1}") for i in range(200)]
+    docs = [(1, shared), (2, f"x {shared} own7 own8 y"), (3, " ".join(f"s{i}" for i in range(9))), (4, f"own1 {items[-1][1]}")]
+    for block in (25, 1 << 19):
+        found = find(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), ["doc_id"], Decontamination(block=block))
+        assert rows(found) == brute(docs, items)
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert find(docs, items, ["doc_id"]).collect() == []
