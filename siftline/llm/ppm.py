@@ -10,6 +10,7 @@ shorter context, down to a uniform choice among all bytes. The language with the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 from siftline.llm.tokens import slices, text_bytes
 
 UNDETERMINED = "und"
-#: Text bytes scored at once: some 150 bytes of arrays for each.
+#: Text bytes scored at once; a longer text is a slice of its own.
 SLICE = 1 << 19
+#: Languages whose costs are tables of all nodes at the same time, and entries (bytes times languages) scored at once.
+_TABLED = 64
+_ENTRIES = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -30,13 +34,13 @@ class Ppm:
     All counted strings are nodes of the tree. ``max_nodes``, if given, keeps only those with the highest
     counts of all languages together (a string's prefixes and suffixes count at least as often). The first ``dense``
     contexts have a table of 256 followers, which takes 1024 bytes each; followers of others are looked up in a sorted
-    array. The broadcast tables take ``16 + 8 * languages`` bytes a node besides.
+    array. The broadcast costs take 12 bytes for each string of a language and each of its contexts, however many
+    languages there are.
     """
 
     order: int = 3
     max_nodes: int | None = None
     dense: int = 65_536
-    max_languages: int = 256
 
 
 def _grams(buffer: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,19 +100,36 @@ class Tree:
     """Nodes are byte strings; ``child[node, byte]`` is the string with that byte added at its end (or -1). Contexts
     beyond that table have their followers in ``deep``: node ``first_deep + i`` is that with ``deep[i]`` = 256 * node + byte.
 
-    ``known[node, lang]`` is the code length of the string's last byte after the rest, NaN if the language has
-    not seen it; ``escape[node, lang]`` is the cost of leaving the node as a context, 0 if it is none.
-    Node 0 is the empty string.
+    Costs are kept by ``(node, language)`` for what a language has seen: ``seen`` is the code length of the string's last
+    byte after the rest, ``left`` the cost of leaving the string as a context. Node 0 is the empty string.
     """
 
     languages: list[str]
     order: int
     child: np.ndarray
-    known: np.ndarray
-    escape: np.ndarray
+    nodes: int
+    seen: tuple[np.ndarray, np.ndarray, np.ndarray]
+    left: tuple[np.ndarray, np.ndarray, np.ndarray]
     deep: np.ndarray
     first_deep: int
 
+    def tables(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Both costs by node and language of the range: NaN where nothing was seen, 0 to leave what is no context."""
+        out = []
+        for (node, lang, cost), empty in ((self.seen, np.nan), (self.left, 0)):
+            own = (lang >= first) & (lang < last)
+            out.append(np.full((self.nodes, last - first), empty, np.float32))
+            out[-1][node[own], lang[own] - first] = cost[own]
+        return out[0], out[1]
+
+    @cached_property
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.tables(0, len(self.languages))
+
+    @property
+    def known(self) -> np.ndarray:
+        return self.whole[0]
+
     def follow(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The node of each string with a byte added, -1 if there is none; -1 stays."""
         table = len(self.child)
@@ -128,7 +149,8 @@ class Tree:
 def fit(docs: DataFrame, params: Ppm = Ppm()) -> Tree:
     """The frozen tree of ``docs(text, lang)``; rows without text or language teach nothing.
 
-    More than ``max_languages`` different languages are refused. Without training rows the tree has no language.
+    Any number of languages; memory grows with the strings that each of them has. Without training rows the tree has no
+    language.
     """
     counts = context_counts(docs, params)
     nodes = counts.groupBy("length", "value").agg(
@@ -145,13 +167,12 @@ def fit(docs: DataFrame, params: Ppm = Ppm()) -> Tree:
     length, value = nodes["length"].to_numpy(), nodes["value"].to_numpy()
     by_lang = nodes["by_lang"].combine_chunks()
     names, n = by_lang.flatten().flatten()
-    languages = sorted(names.unique().to_pylist())
-    if len(languages) > params.max_languages:
-        raise ValueError(f"{len(languages)} languages; the bound is {params.max_languages}")
+    coded = names.dictionary_encode()
+    spelt = coded.dictionary.to_pylist()
+    languages = sorted(spelt)
+    place = {name: i for i, name in enumerate(languages)}
+    lang = np.array([place[name] for name in spelt], np.int64)[coded.indices.to_numpy()]
     owner = np.repeat(np.arange(1, len(nodes) + 1), np.diff(by_lang.offsets.to_numpy()))
-    seen = np.zeros((len(nodes) + 1, len(languages)))
-    column = {name: i for i, name in enumerate(languages)}
-    seen[owner, [column[name] for name in names.to_pylist()]] = n.to_numpy()
     contexts = 1 + int((length <= params.order).sum())  # longest strings are no contexts
     table = max(1, min(contexts, params.dense))
     child = np.full((table, 256), -1, np.int32)
@@ -166,33 +187,55 @@ def fit(docs: DataFrame, params: Ppm = Ppm()) -> Tree:
     # nodes are in order of their parents
     first_deep = len(near) + 1
     deep = (parent[first_deep:] << 8) | (value[first_deep - 1 :] & 255)
-    total = np.zeros_like(seen)
-    distinct = np.zeros_like(seen)
-    np.add.at(total, parent[1:], seen[1:])
-    np.add.at(distinct, parent[1:], (seen[1:] > 0).astype(float))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        known = np.where(seen > 0, np.log2((total + distinct)[parent] / seen), np.nan)
-        escape = np.where(distinct > 0, np.log2((total + distinct) / distinct), 0.0)
-    return Tree(languages, params.order, child, known.astype(np.float32), escape.astype(np.float32), deep, first_deep)
+    count = n.to_numpy().astype(np.float64)
+    context, own = np.unique(parent[owner] * max(1, len(languages)) + lang, return_inverse=True)
+    distinct = np.bincount(own, minlength=len(context)).astype(np.float64)
+    all_ = np.bincount(own, count, len(context)) + distinct
+    seen = _costs(owner, lang, np.log2(all_[own] / count))
+    left = _costs(context // max(1, len(languages)), context % max(1, len(languages)), np.log2(all_ / distinct))
+    return Tree(languages, params.order, child, len(nodes) + 1, seen, left, deep, first_deep)
+
+
+def _costs(node: np.ndarray, lang: np.ndarray, cost: np.ndarray):
+    return node.astype(np.int32), lang.astype(np.int32), cost.astype(np.float32)
 
 
 def code_lengths(buffer: np.ndarray, offsets: np.ndarray, tree: Tree) -> np.ndarray:
-    """Bits of each text (rows) in each language, every byte in its longest known context."""
+    """Bits of each text (rows) in each language, every byte in its longest known context.
+
+    Languages are scored in blocks, so that the arrays stay bounded by the slice, not by the number of languages.
+    """
     n, width = len(buffer), len(tree.languages)
-    bits = np.full((n, width), 8.0, np.float32)  # no context left: all bytes are alike
     place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
     node = np.zeros(n, np.int32)  # the string of the order's length before each byte
+    path = []  # for each order: is there a context, which one, and the string with the byte added
     for order in range(tree.order + 1):
         fits = place >= order
         at = tree.follow(np.where(fits, node, -1), buffer)
-        context = np.where(fits & (node >= 0), node, 0)
-        cost = tree.known[at]
-        escaped = bits + tree.escape[context] * (fits & (node >= 0))[:, None]
-        bits = np.where((at >= 0)[:, None] & ~np.isnan(cost), cost, escaped)
+        path.append((fits & (node >= 0), np.where(fits & (node >= 0), node, 0), at))
         node = np.full(n, -1, np.int32)  # before the next byte: this string, one byte longer
         node[1:] = at[:-1]
-    sums = np.concatenate([np.zeros((1, width)), np.cumsum(bits, axis=0, dtype=np.float64)])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+    out = np.zeros((len(offsets) - 1, width))
+    step = max(1, min(_TABLED, _ENTRIES // max(1, n)))
+    for tabled in range(0, width, _TABLED):
+        upper = min(tabled + _TABLED, width)
+        known, escape = tree.whole if width <= _TABLED else tree.tables(tabled, upper)
+        for first in range(0, upper - tabled, step):
+            last = min(first + step, upper - tabled)
+            bits = _bits(path, known[:, first:last], escape[:, first:last])
+            sums = np.concatenate([np.zeros((1, last - first)), np.cumsum(bits, axis=0, dtype=np.float64)])
+            out[:, tabled + first : tabled + last] = sums[offsets[1:]] - sums[offsets[:-1]]
+    return out
+
+
+def _bits(path, known: np.ndarray, escape: np.ndarray) -> np.ndarray:
+    """Bits of each byte in each language of the tables."""
+    bits = np.full((len(path[0][0]), known.shape[1]), 8.0, np.float32)  # no context left: all bytes are alike
+    for fits, context, at in path:
+        cost = known[at]
+        escaped = bits + escape[context] * fits[:, None]
+        bits = np.where((at >= 0)[:, None] & ~np.isnan(cost), cost, escaped)
+    return bits
 
 
 def _predict(shared, outputs):

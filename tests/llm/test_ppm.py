@@ -97,6 +97,24 @@ def test_held_out_accuracy_and_rows_without_letters(spark):
     assert all(0 < r.score <= 1 for r in got if r.doc_id < 100 or r.doc_id == 103)
 
 
+def test_hundreds_of_languages(spark):
+    rnd = random.Random(8)
+    words = {f"l{i:03}": ["".join(rnd.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(6)] for i in range(300)}
+    train = [(" ".join(own), lang) for lang, own in words.items()]
+    tree = fit(spark.createDataFrame(train, "text string, lang string").repartition(4))
+    assert tree.languages == sorted(words) and "whole" not in vars(tree)
+    texts = [" ".join(rnd.choices(own, k=4)) for own in words.values()] + ["", "zzz é"]
+    bits = code_lengths(*text_bytes(pa.array(texts)), tree)
+    seen = counts_of(train, 3)
+    chosen = [0, 63, 64, 150, 299, 300, 301]
+    want = [[brute(texts[t], lang, seen, 3) for lang in tree.languages] for t in chosen]
+    assert np.allclose(bits[chosen], want, rtol=1e-5)
+    assert "whole" not in vars(tree)  # no table of all languages
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in identify(rows, tree, ["doc_id"]).collect()}
+    assert [got[i] for i in range(300)] == list(words) and got[300] == "und"
+
+
 def test_nothing_to_learn_from(spark):
     tree = fit(spark.createDataFrame([("a", None)], "text string, lang string"))
     assert tree.languages == []
