@@ -3,6 +3,7 @@
 from siftline.operators.context import context
 from siftline.operators.parse import detect_format, detect_per_key, parse
 from siftline.operators.render import output_record, write_matches
+from siftline.operators.scan_report import run_scan
 from siftline.operators.search import search
 from siftline.operators.summary import summary, summary_report
 from siftline.operators.templates import assign, mine, template_counts
@@ -13,6 +14,6 @@ from siftline.streaming.follow import follow_lines, follow_search
 
 __all__ = [
     "assign", "context", "detect_format", "detect_per_key", "follow_lines", "follow_search", "head",
-    "lines_from_table", "mine", "output_record", "parse", "prepare", "read_lines", "search", "summary",
-    "summary_report", "template_counts", "write_matches",
+    "lines_from_table", "mine", "output_record", "parse", "prepare", "read_lines", "run_scan", "search",
+    "summary", "summary_report", "template_counts", "write_matches",
 ]

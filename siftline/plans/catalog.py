@@ -15,6 +15,7 @@ from siftline.functions.timestamps import with_clock
 from siftline.operators import context as ctx
 from siftline.operators import predicates, render, summary, templates
 from siftline.operators.parse import detect_per_key, parse, sample_head
+from siftline.operators.scan_report import run_scan
 from siftline.operators.search import counted, search
 from siftline.session import work_folder
 from siftline.sources import rendered as view
@@ -471,6 +472,17 @@ def scan_metrics(spark, folder):
     )
 
 
+@query
+def scan_report(spark, folder):
+    """Counts of a timed scan, and whether its times and rate fit together."""
+    parsed = parse(view.event_lines(spark, folder))
+    report = run_scan(parsed, _hits(), lambda found: found.write.format("noop").mode("overwrite").save())
+    sound = (F.col("elapsed") > 0) & (F.col("rows_per_second") == F.floor(F.col("scanned") / F.col("elapsed")))
+    read = sum(s.input_rows for s in report.stages)
+    # rows of the table are read once
+    return report.frame(spark).select("scanned", "matched", sound.alias("timed"), F.lit(read).cast("bigint").alias("rows_read"))
+
+
 def _ordered_document_lines(spark, folder):
     # position over all documents: document, then line
     place = F.shiftleft(F.col("doc_id"), 32) + F.col("lineno")

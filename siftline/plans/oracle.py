@@ -454,6 +454,7 @@ SELECT CAST(count(*) FILTER (WHERE level IN ('ERROR', 'FATAL', 'CRITICAL')) AS B
   CAST(count(*) FILTER (WHERE level IN ('WARN', 'WARNING')) AS BIGINT) AS warnings FROM lf""",
     ),
     "scan_metrics": _with(_PLAIN, _SEEN),
+    "scan_report": _with(_PLAIN, f"SELECT *, true AS timed, scanned AS rows_read FROM ({_SEEN})"),
     "top_messages": _with(
         _DOC,
         """
