@@ -49,7 +49,7 @@ class ScanReport:
         return spark.createDataFrame(rows, schema)
 
 
-def _stages(spark: SparkSession, tag: str) -> tuple[StageTime, ...]:
+def stage_times(spark: SparkSession, tag: str) -> tuple[StageTime, ...]:
     """The stages of the jobs with a tag, from the figures Spark keeps of its own jobs; skipped stages are left out."""
     context = spark.sparkContext._jsc.sc()
     context.listenerBus().waitUntilEmpty()  # figures arrive a little later than results
@@ -91,4 +91,4 @@ def run_scan(parsed: DataFrame, test: Column, write: Callable[[DataFrame], objec
     finally:
         spark.sparkContext.removeJobTag(tag)
     counters = seen.get
-    return ScanReport(counters["scanned"], counters["matched"], seconds, _stages(spark, tag))
+    return ScanReport(counters["scanned"], counters["matched"], seconds, stage_times(spark, tag))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators import predicates
-from siftline.operators.parse import detect_format, detect_per_key, parse
+from siftline.operators.parse import detect_format, detect_per_key, format_shares, parse
+from siftline.sources.files import head, heads, read_lines
 
 
 def search(
@@ -33,9 +34,7 @@ def search(
     """
     columns = lines.columns
     if fmt is None and per_file:
-        formats = detect_per_key(lines, ["file"]).select(F.col("file").alias("_of"), F.col("fmt").alias("_format"))
-        lines = lines.join(formats, lines["file"].eqNullSafe(formats["_of"])).drop("_of")
-        fmt = F.col("_format")
+        lines, fmt = _with_formats(lines, detect_per_key(lines, ["file"]))
     elif fmt is None:
         fmt = detect_format(lines)
     plain = isinstance(fmt, str) and fmt not in ("json", "logfmt")
@@ -44,6 +43,36 @@ def search(
     return found.drop("_format") if "_format" not in columns else found
 
 
+def _with_formats(lines: DataFrame, formats: DataFrame) -> tuple[DataFrame, Column]:
+    """The lines with the format of their file, and the column that holds it."""
+    formats = formats.select(F.col("file").alias("_of"), F.col("fmt").alias("_format"))
+    return lines.join(formats, lines["file"].eqNullSafe(formats["_of"])).drop("_of"), F.col("_format")
+
+
+def search_files(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    numbered: bool = True,
+    per_file: bool = False,
+    **filters,
+) -> DataFrame:
+    """``search`` over text files, with their format detected from the beginnings of the files.
+
+    Detection reads the first lines of the whole input (of as many files as that takes) or, with ``per_file``, of every file; the
+    lines themselves are neither numbered nor sorted for it, and it does not depend on how they are partitioned.
+    ``filters`` are those of ``search``.
+    """
+    paths = paths if isinstance(paths, str) else list(paths)
+    lines = read_lines(spark, paths, numbered)
+    if filters.get("fmt") is not None:
+        return search(lines, **filters)
+    if not per_file:
+        return search(lines, **{**filters, "fmt": format_shares(head(spark, paths)).first().fmt})
+    formats = format_shares(heads(spark, paths, numbered=numbered), ["file"])
+    lines, fmt = _with_formats(lines, formats)
+    return search(lines, **{**filters, "fmt": fmt}).drop("_format")
+
+
 def counted(parsed: DataFrame, test: Column, name: str = "scan") -> tuple[DataFrame, Observation]:
     """The matching rows, and an observation of rows scanned and matched.
 

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from siftline.functions.timestamps import with_clock
 from siftline.operators import context as ctx
 from siftline.operators import predicates, render, summary, templates
-from siftline.operators.parse import detect_per_key, parse, sample_head
+from siftline.operators.parse import detect_per_key, format_shares, parse, sample_head
 from siftline.operators.scan_report import run_scan
-from siftline.operators.search import counted, search
+from siftline.operators.search import counted, search, search_files
 from siftline.session import work_folder
 from siftline.sources import rendered as view
-from siftline.sources.files import read_lines
+from siftline.sources.files import heads, read_lines
 from siftline.streaming import follow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,6 +445,25 @@ def search_detected(spark, folder):
     return found.select("event_id", "level", "message")
 
 
+@query
+def search_files_detected(spark, folder):
+    """The same of real files: the format comes from the first lines of every file."""
+    logs = view.write_event_files(spark, folder, work_folder(spark, "logs"), "mixed", "gzip")
+    found = search_files(spark, logs, numbered=False, per_file=True, levels=["ERROR", "WARNING", "WARN"])
+    log = F.regexp_extract("file", r"file=([^/]+)/", 1)
+    return found.groupBy(log.alias("log"), "level", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def file_formats(spark, folder):
+    """Detected format of each log, and how many lines that took."""
+    logs = view.write_event_files(spark, folder, work_folder(spark, "logs"), "mixed")
+    first = heads(spark, logs).withColumn("log", F.regexp_extract("file", r"file=([^/]+)/", 1))
+    formats = format_shares(first, ["log"]).select("log", "fmt")
+    read = first.groupBy("log", "file").agg(F.max("lineno").alias("n")).groupBy("log").agg((F.max("n") <= 20).alias("bounded"))
+    return formats.join(read, "log")
+
+
 @query
 def search_braces(spark, folder):
     found = search(view.event_lines(spark, folder, "json"), patterns=['"value":5{1,}', 'nothing{"like":'], fmt="json")

@@ -429,6 +429,21 @@ UNION ALL
 SELECT 'span', 'To', strftime(arg_max(ts, ts - to_seconds(coalesce(ts_offset, 0))), '%Y-%m-%d %H:%M:%S') FROM ev
 UNION ALL
 SELECT 'template', template, format('{:,}', n) FROM (SELECT * FROM counts ORDER BY n DESC, first_seq LIMIT 10)""",
+    ),
+    "search_files_detected": _with(
+        _MIXED,
+        """
+SELECT file AS log, level, message, CAST(count(*) AS BIGINT) AS n FROM (
+SELECT file, level, message FROM js WHERE file = 'app-0.log' AND level IN ('ERROR', 'WARNING', 'WARN')
+UNION ALL SELECT file, level, message FROM lf WHERE file = 'app-1.log' AND level IN ('ERROR', 'WARNING', 'WARN')
+UNION ALL SELECT file, level, message FROM ev WHERE file IN ('app-2.log', 'app-3.log') AND level IN ('ERROR', 'WARN'))
+GROUP BY ALL""",
+    ),
+    "file_formats": _with(
+        _PLAIN,
+        """
+SELECT DISTINCT file AS log, CASE file WHEN 'app-0.log' THEN 'json' WHEN 'app-1.log' THEN 'logfmt' ELSE 'plaintext' END AS fmt,
+  true AS bounded FROM ev""",
     ),
     "search_detected": _with(
         _MIXED,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from siftline.functions.staging import once
-from siftline.session import pin_split_layout, prepare, stage
+from siftline.session import pin_split_layout, prepare, stage, work_folder
 
 SAMPLE_ROWS = 20
 
@@ -23,6 +24,9 @@ MAX_BROADCAST_SPLITS = 200_000
 # numbering when they are larger than this.
 SPREAD_BYTES = 256 << 20
 
+# Files whose beginnings one job reads.
+FILES_AT_ONCE = 64
+
 
 @dataclass(frozen=True)
 class InputFile:
@@ -192,3 +196,36 @@ def head(spark: SparkSession, paths: str | list[str], rows: int = SAMPLE_ROWS) -
             part = _scan(spark, [f.location]).select("raw").take(rows - len(taken))
             taken += [(len(taken) + i + 1, line.raw) for i, line in enumerate(part)]
     return spark.createDataFrame(taken, "seq BIGINT, raw STRING")
+
+
+def heads(spark: SparkSession, paths: str | list[str], rows: int = SAMPLE_ROWS, numbered: bool = True) -> DataFrame:
+    """``file, lineno, raw``: the first ``rows`` lines of every file, each file once.
+
+    One task for each file, which opens its beginning and stops there; nothing is numbered or sorted. The result is
+    kept in the shared folder. ``file`` is as in ``read_lines``, with or without ``numbered``. Files without lines give none.
+
+    Only a plan's own limit ends a scan early, so a file is a plan of its own; they run in jobs of ``FILES_AT_ONCE`` files.
+    """
+    prepare(spark)
+    files = list({f.uri: f for f in expand(spark, paths) if f.size}.values())
+    schema = "file STRING, lineno BIGINT, raw STRING"
+    if not files:
+        return spark.createDataFrame([], schema)
+    # a session whose scans make one split of a file, whatever its size
+    alone = spark.newSession()
+    size = str(max(f.size for f in files) + 1)
+    alone.conf.set("spark.sql.files.maxPartitionBytes", size)
+    alone.conf.set("spark.sql.files.openCostInBytes", size)
+    alone.conf.set("spark.sql.unionOutputPartitioning", "false")  # else all files of a job are one task
+
+    def beginning(f: InputFile) -> DataFrame:
+        name = F.lit(f.name if numbered else _uri_path(f.uri))
+        number = F.monotonically_increasing_id() + 1
+        lines = alone.read.text(f.location).select(name.alias("file"), number.alias("lineno"), F.make_valid_utf8("value").alias("raw"))
+        return lines.coalesce(1).limit(rows)
+
+    place = work_folder(spark, "heads")
+    for at in range(0, len(files), FILES_AT_ONCE):
+        first, *others = map(beginning, files[at : at + FILES_AT_ONCE])
+        reduce(DataFrame.unionAll, others, first).write.mode("append").parquet(place)
+    return spark.read.schema(schema).parquet(place)
