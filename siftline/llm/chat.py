@@ -1,9 +1,8 @@
 """Chat formatting by prefix-target expansion.
 
-Every turn becomes a marked piece of its conversation's text. Every assistant turn is an example
-of its own: its text is the conversation from the start to the end of that turn, and only the reply is trainable. Examples
-share their prefixes, so they are kept by reference: the pieces once, and for each example (``expand``) how far its context
-goes, the digest of that context, and where its reply lies. ``examples`` writes the texts out where that is wanted.
+Every turn becomes a marked piece of its conversation's text. Every assistant turn is an example of its own: its text is the
+conversation from the start to the end of that turn, and only the reply is trainable. ``examples`` writes these texts out,
+``expand`` reads them back.
 """
 
 from __future__ import annotations
@@ -74,109 +73,144 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     )
 
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """``conv_id, place, text, loss_begin, loss_end``: each assistant turn with all that precedes it, written out.
+#: Characters of examples that a task hands on at once; a longer example goes by itself.
+BATCH_CHARS = 1 << 20
+
+_WRITTEN = "conv_id long, place long, trainable boolean, text string, loss_begin long, loss_end long"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(",")]
+    columns = [pa.array(x, _KINDS[kind]) for (_, kind), x in zip(fields, zip(*rows))]
+    return pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
+
 
-    The text grows with the square of a conversation's turns, as every example repeats its prefix.
+def _examples(batches):
+    """Rows of ``_WRITTEN`` from the pieces of one conversation after the other."""
+    own, text, place, open_ = None, "", None, False
+    for batch in batches:
+        for conversation, at, piece, begin, loss_begin, loss_end in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if place is None or conversation != own:
+                if open_:
+                    yield own, place, False, text, None, None
+                own, text = conversation, ""
+            if begin != len(text):
+                raise ValueError(f"conversation {own}: broken text at character {len(text)}")
+            text, place, open_ = text + piece, at, loss_begin is None
+            if not open_:
+                yield own, place, True, text, loss_begin, loss_end
+    if open_:
+        yield own, place, False, text, None, None
+
+
+def _write(batches):
+    done, chars = [], 0
+    for row in _examples(batches):
+        if done and chars + len(row[3]) > BATCH_CHARS:
+            yield _batch(done, _WRITTEN)
+            done, chars = [], 0
+        done.append(row)
+        chars += len(row[3])
+    if done:
+        yield _batch(done, _WRITTEN)
+
+
+def _written(formatted: DataFrame) -> DataFrame:
+    """The examples, and for each conversation with turns after its last reply one row that is not ``trainable``: all its turns.
+
+    The pieces of a conversation go through one task in order. The task holds the text of one conversation and ``BATCH_CHARS``
+    characters of examples, and the examples of a conversation follow each other in the same partition.
     """
-    targets = formatted.where("loss_begin is not null").select(
-        "conv_id", F.col("place").alias("target"), "loss_begin", "loss_end"
-    )
-    pieces = formatted.select(F.col("conv_id").alias("own"), "place", "piece")
-    joined = targets.join(pieces, targets.conv_id.eqNullSafe(pieces.own) & (F.col("place") <= F.col("target")))
-    parts = F.array_sort(F.collect_list(F.struct("place", "piece")))
-    return joined.groupBy("conv_id", F.col("target").alias("place"), "loss_begin", "loss_end").agg(
-        F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text")
-    )
+    ordered = formatted.select("conv_id", "place", "piece", "begin", "loss_begin", "loss_end")
+    ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    return ordered.mapInArrow(_write, _WRITTEN)
 
 
-_PIECE = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + r"\n", re.DOTALL)
+def examples(formatted: DataFrame) -> DataFrame:
+    """``conv_id, place, text, loss_begin, loss_end``: each assistant turn with all that precedes it, written out.
+
+    ``[loss_begin, loss_end)`` is the reply in ``text``. The texts grow with the square of a conversation's turns, as every
+    example repeats its prefix.
+    """
+    return _written(formatted).where("trainable").drop("trainable")
 
 
 class _Reader:
-    """What has been read of a conversation so far: counts and hash states, no text."""
+    """What has been read of a conversation so far: the last example's text, counts and hash states."""
 
     def __init__(self, conversation):
-        self.conversation, self.place, self.turns, self.loss_chars, self.chars = conversation, 0, 0, 0, 0
+        self.conversation, self.seen, self.turns, self.loss_chars = conversation, "", 0, 0
         self.all, self.loss, self.text = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
-        self.open = False  # turns after the last reply
-
-    def add(self, place: int, piece: str, begin: int, loss_begin: int | None, loss_end: int | None):
-        """The example that ends with this piece, if it is a reply."""
-        parts = _PIECE.fullmatch(piece)
-        if begin != self.chars or parts is None or "<|" in parts[1] + parts[2]:
-            raise ValueError(f"conversation {self.conversation}: broken text at character {self.chars}")
-        context = None
-        if loss_begin is not None:
-            head, reply = piece[: loss_begin - begin], piece[loss_begin - begin : loss_end - begin]
-            before = self.text.copy()
-            before.update(head.encode())
-            context = self.turns, loss_begin, before.hexdigest(), loss_begin, loss_end
-            reply = unescape(reply)
-            self.loss_chars += len(reply)
-            self.loss.update(reply.encode())
-        self.place, self.turns, self.chars, self.open = place, self.turns + 1, self.chars + len(piece), context is None
-        self.all.update(f"{unescape_role(parts[1])}\n{unescape(parts[2])}\n".encode())
-        self.text.update(piece.encode())
-        return self._row(True, context) if context else None
-
-    def rest(self):
-        """The turns after the last reply: context of no example."""
-        return self._row(False, (self.turns, self.chars, self.text.hexdigest(), None, None)) if self.open else None
-
-    def _row(self, trainable, context):
-        read = self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
-        return self.conversation, self.place, trainable, *context, *read
+
+    def _broken(self, at: int) -> ValueError:
+        return ValueError(f"conversation {self.conversation}: broken text at character {at}")
+
+    def add(self, place: int, trainable: bool, text: str, loss_begin: int | None, loss_end: int | None):
+        """Read one example. It must begin with the text of the one before; the turns that it adds are parsed."""
+        if not text.startswith(self.seen) or len(text) == len(self.seen):
+            raise self._broken(len(self.seen))
+        at, head, body, end = len(self.seen), 0, 0, 0
+        while at < len(text):
+            head, body = at + len(START), text.find("\n", at) + 1
+            end = text.find("<|", body)
+            if not body or not text.startswith(START, at) or not text.startswith(END + "\n", end) or "<|" in text[head:body]:
+                raise self._broken(at)
+            role, said = unescape_role(text[head : body - 1]), unescape(text[body:end])
+            last = end + len(END) + 1 == len(text)
+            if trainable and last:
+                if role != TRAINABLE or (loss_begin, loss_end) != (body, end):
+                    raise self._broken(at)
+                before = self.text.copy()
+                before.update(text[at:loss_begin].encode())
+                context = self.turns, loss_begin, before.hexdigest(), loss_begin, loss_end
+                self.loss_chars += len(said)
+                self.loss.update(said.encode())
+            self.turns += 1
+            self.all.update(f"{role}\n{said}\n".encode())
+            self.text.update(text[at : end + len(END) + 1].encode())
+            at = end + len(END) + 1
+        self.seen = text
+        if not trainable:
+            context = self.turns, len(text), self.text.hexdigest(), None, None
+        read = self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), len(text)
+        return self.conversation, place, trainable, *context, *read
 
 
 _READ = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-_EXAMPLES = (
+_EXPANDED = (
     "conv_id long, place long, trainable boolean, context_turns long, context_chars long, context_sha256 string,"
     f" loss_begin long, loss_end long, {_READ}"
 )
-_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
-
 
-def _expand(batches):
-    fields = [c.split() for c in _EXAMPLES.split(",")]
-
-    def rows(done):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x, _KINDS[kind]) for (_, kind), x in zip(fields, zip(*done))], [name for name, _ in fields]
-        )
 
+def _read(batches):
     current, done = None, []
     for batch in batches:
-        for own, *piece in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if current is None or own != current.conversation:
-                done += [current.rest()] if current is not None and current.open else []
-                current = _Reader(own)
-            example = current.add(*piece)
-            done += [example] if example else []
+        for conversation, *example in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if current is None or conversation != current.conversation:
+                current = _Reader(conversation)
+            done.append(current.add(*example))
         if len(done) > 1000:
-            yield rows(done)
+            yield _batch(done, _EXPANDED)
             done = []
-    done += [current.rest()] if current is not None and current.open else []
     if done:
-        yield rows(done)
+        yield _batch(done, _EXPANDED)
 
 
 def expand(formatted: DataFrame) -> DataFrame:
-    """One row for each assistant turn: the example that has all preceding turns as context and only that reply trainable.
+    """One row for each assistant turn, read from its example: all preceding turns are context, only that reply is trainable.
 
-    ``context_turns`` turns and ``context_chars`` characters precede the reply in the joined pieces of the conversation;
-    ``context_sha256`` is the digest (UTF-8) of these characters, the example's untrained text. ``[loss_begin, loss_end)``
-    is the reply. Contexts are kept by reference, so the rows grow with the turns, not with their square; ``examples``
-    writes the texts out. Turns after the last reply, which are in no example, give one row that is not ``trainable``.
+    ``context_turns`` turns and ``context_chars`` characters precede the reply in the example's text; ``context_sha256`` is the
+    digest (UTF-8) of these characters, the example's untrained text. ``[loss_begin, loss_end)`` is the reply. Turns after
+    the last reply, which are in no example, give one row that is not ``trainable``.
 
     The other columns are counts and digests of what was read up to the end of the row, unescaped.
 
-    The pieces of a conversation stream through one task in order, as their digests need; the task holds one
-    batch of pieces and the hash states.
+    Every example is written out whole and read whole. As an example must begin with the one before, only the turns that it adds are
+    parsed again; anything else that differs is an error.
     """
-    ordered = formatted.select("conv_id", "place", "piece", "begin", "loss_begin", "loss_end")
-    ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "place")
-    return ordered.mapInArrow(_expand, _EXAMPLES)
+    return _written(formatted).mapInArrow(_read, _EXPANDED)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -88,6 +88,25 @@ def test_damage_is_noticed(spark):
         chat.read_back(formatted.withColumn("piece", F.replace("piece", F.lit("user"), F.lit("us<|er")))).collect()
 
 
+def test_what_is_read_back_are_the_written_examples(spark, monkeypatch):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e")]
+    formatted = chat.format_turns(spark.createDataFrame(rows, SCHEMA))
+    written = [tuple(r) for r in chat._written(formatted).orderBy("place").collect()]
+    turns = [f"<|im_start|>{r}\n{t}<|im_end|>\n" for _, _, r, t in rows]
+    assert [r[3] for r in written] == ["".join(turns[:2]), "".join(turns[:4]), "".join(turns)]
+    # each example holds its own copy of the first turn: damage to the second copy alone is noticed
+    monkeypatch.setattr(chat, "_written", lambda frame: spark.createDataFrame(
+        [written[0], (*written[1][:3], written[1][3].replace("a<", "x<", 1), *written[1][4:])], chat._WRITTEN).coalesce(1))
+    with pytest.raises(Exception, match="broken text"):
+        chat.read_back(formatted).collect()
+
+
+def test_the_mask_must_be_the_last_reply(spark):
+    formatted = chat.format_turns(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "bcd")], SCHEMA))
+    with pytest.raises(Exception, match="broken text"):
+        chat.expand(formatted.withColumn("loss_end", F.col("loss_end") - 1)).collect()
+
+
 def test_empty(spark):
     formatted = chat.format_turns(spark.createDataFrame([], SCHEMA))
     assert chat.read_back(formatted).collect() == [] and chat.expand(formatted).collect() == [] and chat.examples(formatted).collect() == []
