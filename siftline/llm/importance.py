@@ -27,7 +27,7 @@ U64 = np.uint64
 RESULT = ("n_words", "n_features", "weight", "score", "rank")
 
 #: Text bytes interned at once; a longer text is a slice of its own.
-TABLE_BYTES = 1 << 20
+TABLE_BYTES = 1 << 18
 
 # The constants of xxHash64 (fixed values).
 _PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
@@ -156,25 +156,25 @@ class Table:
 
     def __init__(self, text: Bytes, at: np.ndarray, size: np.ndarray, keys: np.ndarray, buckets: int):
         slots = 1 << max(4, int(2 * len(at)).bit_length())
-        self.owner = np.full(slots, -1, np.int64)  # the occurrence that a slot holds
+        held = np.full(slots, -1, np.int64)  # the occurrence that a slot holds
         self.slot = (keys & U64(slots - 1)).astype(np.int64)  # of each occurrence
         waiting = np.arange(len(at))
         while len(waiting):
             here = self.slot[waiting]
-            owner = self.owner[here]
+            owner = held[here]
             free = np.flatnonzero(owner < 0)
-            self.owner[here[free]] = waiting[free]
-            owner = self.owner[here]
+            held[here[free]] = waiting[free]
+            owner = held[here]
             found = owner == waiting
             alike = np.flatnonzero(~found & (keys[owner] == keys[waiting]) & (size[owner] == size[waiting]))
             a, b = owner[alike], waiting[alike]
             found[alike] = text.equal(at[a], at[b], size[b])
             waiting = waiting[~found]
             self.slot[waiting] = (self.slot[waiting] + 1) & (slots - 1)
-        taken = np.flatnonzero(self.owner >= 0)
+        taken = np.flatnonzero(held >= 0)
         self.count = np.bincount(self.slot, minlength=slots)
         self.bucket = np.zeros(slots, np.int64)
-        own = self.owner[taken]
+        own = held[taken]
         self.bucket[taken] = text.crc32(at[own], size[own]) % np.uint32(buckets)
 
 
@@ -201,25 +201,30 @@ def joined_words(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def interned(column: pa.Array, params: Resampling):
-    """For each length of run: its table, and where each text's occurrences begin; and the texts' numbers of words."""
+    """The texts' numbers of words, and for each length of run its table and where each text's occurrences begin.
+
+    The tables are made one at a time, when they are asked for, so that only one is held.
+    """
     data, starts, ends, first = joined_words(*text_bytes(column))
-    words = np.diff(first)
-    text, tables = Bytes(data), []
-    for length in range(1, params.longest + 1):
-        runs = np.maximum(words - (length - 1), 0)
-        begin = np.concatenate([[0], np.cumsum(runs)])
-        at = np.repeat(first[:-1] - begin[:-1], runs) + np.arange(begin[-1])
-        place = starts[at]
-        size = ends[at + length - 1] - place
-        tables.append((Table(text, place, size, text.xxhash64(place, size), params.buckets), begin))
-    return tables, words
+    words, text = np.diff(first), Bytes(data)
+
+    def tables():
+        for length in range(1, params.longest + 1):
+            runs = np.maximum(words - (length - 1), 0)
+            begin = np.concatenate([[0], np.cumsum(runs)])
+            at = np.repeat(first[:-1] - begin[:-1], runs) + np.arange(begin[-1])
+            place = starts[at]
+            size = ends[at + length - 1] - place
+            yield Table(text, place, size, text.xxhash64(place, size), params.buckets), begin
+
+    return words, tables()
 
 
 def _count(params: Resampling):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(params.buckets, np.int64)
         for batch in slices(batches, "text", size=TABLE_BYTES):
-            for table, _ in interned(batch.column("text"), params)[0]:
+            for table, _ in interned(batch.column("text"), params)[1]:
                 counts += np.bincount(table.bucket, table.count, params.buckets).astype(np.int64)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(counts[found])], ["bucket", "n"])
@@ -247,7 +252,7 @@ def gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 def _weigh(params: Resampling, gain: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", size=TABLE_BYTES):
-            tables, words = interned(batch.column("text"), params)
+            words, tables = interned(batch.column("text"), params)
             weight, features = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
             for table, begin in tables:
                 total = np.concatenate([[0], np.cumsum(gain[table.bucket][table.slot])])

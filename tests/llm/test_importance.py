@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -130,3 +131,15 @@ def test_joined_words():
     got = [[bytes(data[a:b]).decode() for a, b in zip(starts[x:y], ends[x:y])] for x, y in zip(first[:-1], first[1:])]
     assert got == [words(t) for t in texts]
     assert b"d e f" in bytes(data)
+
+
+def test_memory_of_a_task_is_bounded():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, 3000)) for _ in range(150)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array(texts)], ["doc_id", "text"])
+    for run in (importance._count(importance.Resampling()), importance._weigh(importance.Resampling(), np.zeros(10_000, np.int64))):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in run(iter([batch]))) > 0
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20 << 20, peak
