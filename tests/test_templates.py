@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 
 from siftline.operators import templates as T
@@ -122,3 +123,20 @@ def test_many_leaves_cross_batch_borders(spark):
         assert sum(counts.values()) == len(texts)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_a_leaf_of_half_a_million_tokens_needs_no_join_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(["Once", *rng.choices(["upon", "a", "time", "there", "was", "one"], k=2), *(f"w{chr(97 + i % 26)}{chr(97 + j)}" for j in rng.choices(range(26), k=60))]) for i in range(9000)]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "seq BIGINT, raw STRING")
+    assert 9000 * 63 > 1 << 19  # more than fitted in a task before
+    monkeypatch.setattr(T, "_partners", lambda *a: pytest.fail("a round by joins"))
+    check_invariants(T.mine(df, "raw").collect())
+
+
+def test_tokens_are_numbered_by_leaf():
+    rows, words = T._numbered(pd.Series(["a <*> b", "b a <*>", " a é"]))
+    assert [[words[t] for t in r] for r in rows] == [["a", "<*>", "b"], ["b", "a", "<*>"], ["", "a", "é"]]
+    assert (rows == 0).tolist() == [[False, True, False], [False, False, True], [False, False, False]]
+    rows, words = T._numbered(pd.Series(["", "x"]))
+    assert [[words[t] for t in r] for r in rows] == [[""], ["x"]]
