@@ -39,7 +39,7 @@ U64 = np.uint64
 
 @dataclass(frozen=True)
 class Paragraphs:
-    """``bands`` bands of one minimum each over ``shingle``-word shingles; links need ``percent`` overlap.
+    """``bands`` bands (15 at most) of one minimum each over ``shingle``-word shingles; links need ``percent`` overlap.
 
     A pair at exactly 80 percent shares no band with probability 0.2^3 = 0.8 %; equal paragraphs always meet.
     With a radius of 5 words paragraphs have 11 words on average; of passages of 51 random words 98 % contain
@@ -88,74 +88,80 @@ def _paragraphs(params: Paragraphs):
             once = np.zeros(len(runs), U64)
             once[np.unique(mix(runs + own * U64(0x9E3779B97F4A7C15)), return_index=True)[1]] = U64(1)
             sets = np.add.reduceat(mix(runs) * once, at[:-1])
-            keys = [
-                (np.minimum.reduceat(mix(runs ^ U64(0x51ED27 * (k + 1))), at[:-1]) << U64(3)) | U64(k)
+            keep = np.flatnonzero(keep)
+            sets, doc, word, length = sets[keep], doc[keep], (begin[:-1] - first[doc])[keep], length[keep]
+            # of equal paragraphs of a slice only the first one meets others: a frequent one is a row for each slice there
+            head, back, count = np.unique(sets, return_index=True, return_inverse=True, return_counts=True)[1:]
+            head = np.sort(head)
+            several = np.flatnonzero(count[back] > 1)
+            bands = [
+                (np.minimum.reduceat(mix(runs ^ U64(0x51ED27 * (k + 1))), at[:-1])[keep[head]] << U64(4)) | U64(k)
                 for k in range(params.bands)
             ]
-            count = int(keep.sum())
+            rows = np.concatenate([*[head] * params.bands, several])
+            spread = mix(sets[several] + several.astype(U64)) | U64(_SEVERAL)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(doc[keep])),
-                    pa.array((begin[:-1] - first[doc])[keep], pa.int32()),
-                    pa.array(length[keep], pa.int32()),
-                    pa.array(sets[keep].view(np.int64)),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(count + 1) * params.bands, pa.int32()),
-                        pa.array(np.stack([k[keep] for k in keys], axis=1).reshape(-1).view(np.int64)),
-                    ),
+                    pa.array(np.concatenate([*bands, spread]).view(np.int64)),
+                    pa.array(sets[rows].view(np.int64)),
+                    batch.column("doc_id").take(pa.array(doc[rows])),
+                    pa.array(word[rows], pa.int32()),
+                    pa.array(length[rows], pa.int32()),
                 ],
-                ["doc", "word", "size", "class", "keys"],
+                _MET.names,
             )
 
     return run
 
 
 _OCCURRENCE = ["doc", "word", "size"]
+#: In the last four bits of a key, in place of the band: an occurrence of a class that is known to have several.
+_SEVERAL = 15
 _MET = T.StructType().add("key", "long").add("class", "long").add("doc", "long").add("word", "integer").add("size", "integer")
 
 
 def _meet(batches):
-    """Rows come sorted by bucket, class, document and word; a bucket may begin and end in other partitions.
+    """Rows come sorted by bucket, class, document and word, with all rows of a bucket in one partition.
 
-    Reported without key: all occurrences of a class that has several (band 0). With key: an occurrence of each class of a
-    bucket that has several. What lies at either end of the partition is reported as well, as
-    it may go on in the next. Only the first rows of the bucket and of the class are carried along.
+    Reported without key: all occurrences of a class that has several (band 0, and those known before). With key: the first
+    occurrence of each class of a bucket that has several classes, once. Only the first rows of the bucket and of the class are
+    carried along.
     """
     names = ["class", *_OCCURRENCE]
     carried: list[np.ndarray] = []
+    told = False  # whether the carried bucket's first row has been reported
 
     def report(rows, chosen, key=None):
         bucket = pa.nulls(len(chosen), pa.int64()) if key is None else pa.array(key[chosen])
         return pa.RecordBatch.from_arrays([bucket, *(pa.array(r[chosen]) for r in rows)], _MET.names)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
         key = batch.column("key").to_numpy()
         rows = [batch.column(n).to_numpy() for n in names]
-        begins = not carried
+        several = key & 15 == _SEVERAL
+        yield report(rows, np.flatnonzero(several))
+        key, rows = key[~several], [r[~several] for r in rows]
+        if not len(key):
+            continue
+        skip = len(carried[0]) if carried else 0
         if carried:
             key = np.concatenate([carried[0], key])
             rows = [np.concatenate([c, r]) for c, r in zip(carried[1:], rows)]
-        skip = len(key) - batch.num_rows
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         new_class = new_key | np.concatenate([[True], rows[0][1:] != rows[0][:-1]])
         at = np.arange(len(key))
         hub = np.maximum.accumulate(np.where(new_key, at, 0))
         head = np.maximum.accumulate(np.where(new_class, at, 0))
         fresh = at >= skip
-        again = ~new_class & (key & 7 == 0) & fresh
+        again = ~new_class & (key & 15 == 0) & fresh
         second = again & (at - head == 1)
         other = new_class & ~new_key & fresh
-        ends = [0] if begins else []
-        yield report(rows, np.concatenate([np.flatnonzero(again), head[second], ends]).astype(np.int64))
-        yield report(rows, np.concatenate([np.flatnonzero(other), np.unique(hub[other]), ends]).astype(np.int64), key)
+        hubs = np.unique(hub[other])
+        yield report(rows, np.concatenate([np.flatnonzero(again), head[second]]))
+        yield report(rows, np.concatenate([np.flatnonzero(other), hubs[1:] if told and len(hubs) and not hubs[0] else hubs]), key)
+        told = hub[-1] in hubs or told and not hub[-1]
         last = [hub[-1], head[-1]] if hub[-1] != head[-1] else [hub[-1]]
         carried = [key[last], *(r[last] for r in rows)]
-    if carried:
-        both = np.arange(len(carried[0]))
-        yield report(carried[1:], both)
-        yield report(carried[1:], both, carried[0])
 
 
 def _shingles(size: int):
@@ -203,19 +209,16 @@ def _links(met: DataFrame, docs: DataFrame, params: Paragraphs) -> DataFrame:
     for each shingle: sets whose bits differ in more places than their shingles may differ can't be linked, which
     settles nearly all comparisons without loss.
     """
+    everywhere = W.partitionBy("key")
+    members = met.where("key is not null").withColumn("n", F.count(F.lit(1)).over(everywhere))
+    members = stage(members, "bucket-members")
     first = F.min(F.struct(*_OCCURRENCE)).alias("first")
-    members = met.where("key is not null").groupBy("key", "class").agg(first)
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stage(members.join(shared, "key").select("key", "class", "first.*", "n"), "bucket-members")
-    wanted = members.select(*_OCCURRENCE).distinct()
-    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("word", "size")).alias("wanted"))
+    classes = stage(members.groupBy("class").agg(first, F.sum("n").alias("weight")).select("class", "first.*", "weight"), "bucket-classes")
+    wanted = classes.groupBy("doc").agg(F.collect_set(F.struct("word", "size")).alias("wanted"))
     sets = docs.join(wanted, docs.doc_id == wanted.doc).select("doc_id", "text", "wanted")
     sets = sets.mapInArrow(_shingles(params.shingle), "doc long, word int, shingles array<long>, bits long")
-    weight = members.groupBy("class").agg(F.sum("n").alias("weight"))
-    members = stage(
-        members.join(sets, ["doc", "word"]).join(weight, "class").select("key", "class", "weight", "shingles", "bits"),
-        "paragraph-sets",
-    )
+    classes = classes.join(sets, ["doc", "word"]).select("class", "weight", "shingles", "bits")
+    members = stage(members.select("key", "class").join(classes, "class").select("key", *classes.columns), "paragraph-sets")
     p = params.percent
     sizes = F.size("shingles_a") + F.size("shingles_b")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
@@ -223,14 +226,15 @@ def _links(met: DataFrame, docs: DataFrame, params: Paragraphs) -> DataFrame:
     may = (100 + p) * F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= (100 - p) * sizes
     linked = may & (100 * common >= p * (sizes - common))
     named = lambda rows, s: rows.select("key", *(F.col(n).alias(f"{n}_{s}") for n in rows.columns if n != "key"))
-    central = F.min_by(F.struct("class", "shingles", "bits"), F.struct(-F.col("weight"), "class")).alias("hub")
-    hubs = members.groupBy("key").agg(central).select("key", "hub.*")
-    stars = named(members, "a").join(named(hubs, "b"), "key").where((F.col("class_a") != F.col("class_b")) & linked)
+    order = everywhere.orderBy(F.desc("weight"), "class").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hub = [F.first(name).over(order).alias(f"{name}_b") for name in ("class", "shingles", "bits")]
+    stars = members.select(*(F.col(n).alias(f"{n}_a") for n in ("class", "shingles", "bits")), *hub)
+    stars = stars.where((F.col("class_a") != F.col("class_b")) & linked)
     stars = stage(stars.select("class_a", "class_b").distinct(), "paragraph-stars")
     labels = connected_components(stars, "class_a", "class_b").select(F.col("node").alias("class"), "component")
     placed = members.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    placed = stage(placed.join(split.select("key"), "key", "left_semi"), "paragraph-apart")
+    apart = F.min("component").over(everywhere) != F.max("component").over(everywhere)
+    placed = stage(placed.withColumn("apart", apart).where("apart").drop("apart"), "paragraph-apart")
     apart = named(placed, "a").join(named(placed, "b"), "key").where((F.col("component_a") < F.col("component_b")) & linked)
     return stars.union(apart.select("class_a", "class_b")).distinct()
 
@@ -248,30 +252,20 @@ def repeated_passages(docs: DataFrame, params: Paragraphs = Paragraphs()) -> Dat
     the same doc_id are taken as one document: a paragraph at the same words of both is one occurrence.
     Other columns are ignored.
 
-    One shuffle sorts the paragraphs by bucket, class and place over all partitions, so a frequent paragraph is spread over
-    many tasks. Rows stream through a task, which keeps two at a time. A repeat costs one row; only
+    One shuffle sorts the paragraphs by bucket, class and place. Of equal paragraphs of a slice of texts one takes part, the
+    others go past the buckets, so a frequent paragraph is spread over many tasks. Rows stream through a task, which keeps two at a time. A repeat costs one row; only
     different paragraphs of a bucket are compared with each other.
     """
     docs = _documents(docs)
-    order = ["key", "class", "doc", "word"]
-    buckets = (
-        docs.mapInArrow(_paragraphs(params), "doc long, word int, size int, class long, keys array<long>")
-        .select("class", "doc", "word", "size", F.explode("keys").alias("key"))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-    )
+    buckets = docs.mapInArrow(_paragraphs(params), _MET).repartition("key").sortWithinPartitions("key", "class", "doc", "word")
     met = stage(buckets.mapInArrow(_meet, _MET), "paragraphs")
     links = stage(_links(met, docs, params), "paragraph-links")
     labels = connected_components(links, "class_a", "class_b").select(F.col("node").alias("class"), "component")
-    # where each class occurs first, and where each component of linked classes does
-    heads = met.groupBy("class").agg(F.min(F.struct("doc", "word")).alias("own")).join(labels, "class", "left")
-    kept = heads.where("component is not null").groupBy("component").agg(F.min("own").alias("kept"))
-    heads = stage(
-        heads.join(kept, "component", "left").select("class", F.coalesce("kept", "own").alias("kept")), "paragraph-heads"
-    )
-    linked = labels.select("class").join(met, "class").select("class", *_OCCURRENCE)
-    removed = met.where("key is null").select("class", *_OCCURRENCE).union(linked).distinct()
-    removed = removed.join(heads, "class").where((F.col("doc") != F.col("kept.doc")) | (F.col("word") != F.col("kept.word")))
+    # a class that links leave alone is a group of its own
+    rows = met.join(labels, "class", "left").where("key is null or component is not null")
+    rows = stage(rows.select(F.coalesce("component", "class").alias("group"), *_OCCURRENCE), "paragraph-occurrences")
+    heads = rows.groupBy("group").agg(F.min(F.struct("doc", "word")).alias("kept"))
+    removed = rows.join(heads, "group").where((F.col("doc") != F.col("kept.doc")) | (F.col("word") != F.col("kept.word")))
     removed = removed.groupBy("doc", "word", "size").agg(F.min("kept").alias("kept"))
     order = W.partitionBy("doc").orderBy("word")
     gap = F.col("word") != F.lag(F.col("word") + F.col("size")).over(order)

@@ -7,7 +7,6 @@ compared word by word in both directions, also across edits, and what is joined
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,12 +47,14 @@ def winnowed(runs: np.ndarray, begin: np.ndarray, window: int) -> np.ndarray:
     value = np.full(len(runs) + len(counts) * (window - 1), ~U64(0))
     value[spot] = runs
     at = spot[np.arange(len(runs)) - begin[:-1][owner] < np.maximum(counts - window + 1, 1)[owner]]
-    best, chosen = value[at], at.copy()
+    starts = max(len(value) - window + 1, 0)
+    best, offset = value[:starts].copy(), np.zeros(starts, np.int16)
     for k in range(1, window):
-        here = value[at + k]
+        here = value[k : k + starts]
         better = here < best
-        best[better] = here[better]
-        chosen[better] = at[better] + k
+        np.copyto(best, here, where=better)
+        np.copyto(offset, k, where=better)
+    chosen = at + offset[at]
     mark = np.zeros(len(value), bool)
     mark[chosen] = True
     return np.flatnonzero(mark[spot])
@@ -85,6 +86,21 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> U64(32)).astype(np.uint32)
 
 
+def _lists(begin: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), values)
+
+
+def _bounds(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins in ``flatten()``, with one end entry."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``start, start + 1, ...`` of every range, one range after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _references(params: Passages):
     """The words of the first occurrence around the seeds of each pair of documents, as extents."""
 
@@ -93,90 +109,191 @@ def _references(params: Passages):
             buffer, offsets = text_bytes(batch.column("text"))
             _, _, hashes, first = words(buffer, offsets, BLANK)
             own = _short(hashes).view(np.int32)
-            found = []
-            for i, seeds in enumerate(batch.column("seeds").to_pylist()):
-                size = int(first[i + 1] - first[i])
-                extents = []
-                for s in sorted(seeds, key=lambda s: s["kept_word"]):
-                    a, b = max(0, s["kept_word"] - params.margin), min(size, s["kept_word"] + params.seed + params.margin)
-                    if s["kept_word"] + params.seed > size:
-                        continue  # another row of the same doc_id
-                    if extents and a <= extents[-1][1]:
-                        extents[-1][1] = max(b, extents[-1][1])
-                        extents[-1][2].append(s)
-                    else:
-                        extents.append([a, b, [s]])
-                found.append([{"at": a, "seeds": s, "words": own[first[i] + a : first[i] + b]} for a, b, s in extents])
+            seeds = batch.column("seeds")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(_bounds(seeds)))
+            word, kept = (x.to_numpy() for x in seeds.flatten().flatten())
+            size = np.diff(first)
+            order = np.lexsort((kept, row))
+            order = order[kept[order] + params.seed <= size[row[order]]]  # the others: another row of the same doc_id
+            row, word, kept = row[order], word[order], kept[order]
+            low = np.maximum(kept.astype(np.int64) - params.margin, 0)
+            high = np.minimum(kept.astype(np.int64) + params.seed + params.margin, size[row])
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (low[1:] > high[:-1])
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(row))
+            low, length = low[at], high[last - 1] - low[at]
+            extents = pa.StructArray.from_arrays(
+                [
+                    pa.array(low, pa.int32()),
+                    _lists(np.append(at, len(row)), pa.StructArray.from_arrays([pa.array(word), pa.array(kept)], ["word", "kept_word"])),
+                    _lists(np.append(0, np.cumsum(length)), pa.array(own[_ranges(first[row[at]] + low, length)])),
+                ],
+                ["at", "seeds", "words"],
+            )
+            begin = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("kept_doc"), pa.array(found, _EXTENTS)], ["doc", "kept_doc", "extents"]
+                [batch.column("doc"), batch.column("kept_doc"), _lists(begin, extents)], ["doc", "kept_doc", "extents"]
             )
 
     return run
 
 
-_EXTENTS = pa.list_(
-    pa.struct(
-        [
-            ("at", pa.int32()),
-            ("seeds", pa.list_(pa.struct([("word", pa.int32()), ("kept_word", pa.int32())]))),
-            ("words", pa.list_(pa.int32())),
-        ]
-    )
-)
 _EXTENTS_SPARK = "array<struct<at int, seeds array<struct<word int, kept_word int>>, words array<int>>>"
 
 
-def _equal(a: np.ndarray, b: np.ndarray) -> int:
-    """How many words are equal from the start."""
-    n, at, step = min(len(a), len(b)), 0, 64
-    while at < n:
-        differ = np.flatnonzero(a[at : min(at + step, n)] != b[at : min(at + step, n)])
-        if len(differ):
-            return at + int(differ[0])
-        at, step = at + step, 4 * step
-    return n
-
-
-def _resumed(a: np.ndarray, b: np.ndarray, params: Passages) -> tuple[int, int] | None:
-    """The smallest edit after which both go on with equal words."""
-    reach = params.gap + params.resume
-    x, y, size = a[:reach].tobytes(), b[:reach].tobytes(), 4 * params.resume
-    for total in range(1, 2 * params.gap + 1):
-        for i in range(max(0, total - params.gap), min(total, params.gap) + 1):
-            own, other = x[4 * i : 4 * i + size], y[4 * (total - i) : 4 * (total - i) + size]
-            if len(own) == size and own == other:
-                return i, total - i
-    return None
-
-
-def _segments(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], params: Passages) -> list[tuple[int, int, int]]:
-    """Maximal equal stretches ``(place in a, place in b, words)`` that seeds and what follows edits lie in, in order."""
-    found: dict[int, list[tuple[int, int, int]]] = {}
-
-    def add(i: int, j: int) -> tuple[int, int, int] | None:
-        for s in found.get(i - j, ()):
-            if s[0] <= i < s[0] + s[2]:
-                return None
-        back = _equal(a[:i][::-1], b[:j][::-1])
-        new = i - back, j - back, back + _equal(a[i:], b[j:])
-        found.setdefault(i - j, []).append(new)
-        return new
-
-    for w, r in sorted(seeds):
-        if w < 0 or r < 0 or len(a) < w + params.seed or not np.array_equal(a[w : w + params.seed], b[r : r + params.seed]):
-            continue  # another row of the same doc_id
-        start = add(w, r)
-        new = start
-        while new:
-            i, j = new[0] + new[2], new[1] + new[2]
-            edit = _resumed(a[i:], b[j:], params)
-            new = add(i + edit[0], j + edit[1]) if edit else None
-        new = start
-        while new:
-            i, j = new[0], new[1]
-            edit = _resumed(a[:i][::-1], b[:j][::-1], params)
-            new = add(i - edit[0] - 1, j - edit[1] - 1) if edit else None
-    return sorted(s for own in found.values() for s in own)
+class _Pairs:
+    """The words of all texts of a slice and of all extents they are compared with, each as one array.
+
+    Points are places ``(i, j)`` in these arrays and the number ``e`` of their extent; ``low`` and ``high`` are the bounds of
+    the extent and of its text.
+    """
+
+    def __init__(self, own: np.ndarray, other: np.ndarray, low: tuple, high: tuple, params: Passages):
+        self.own, self.other, self.low, self.high, self.params = own, other, low, high, params
+        self.own_twos, self.other_twos = _twos(own), _twos(other)
+
+    def equal(self, i: np.ndarray, j: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+        """How many words, ``most`` at most, are equal from each point on: forwards, or with ``step`` -1 backwards."""
+        count = np.zeros(len(i), np.int64)
+        active, width = np.flatnonzero(most > 0), 8
+        while len(active):
+            going = []
+            for k in range(0, len(active), _POINTS * 8 // width):
+                here = active[k : k + _POINTS * 8 // width]
+                done, reach = count[here], np.arange(width)
+                inside = done[:, None] + reach < most[here, None]
+                x = (i[here] + step * done)[:, None] + step * reach
+                y = (j[here] + step * done)[:, None] + step * reach
+                same = inside & (self.own[np.where(inside, x, 0)] == self.other[np.where(inside, y, 0)])
+                run = np.where(same.all(axis=1), width, same.argmin(axis=1))
+                count[here] += run
+                going.append(here[run == width])
+            active, width = np.concatenate(going), min(4 * width, _POINTS * 8)
+        return count
+
+    def stretches(self, e: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The maximal equal stretch around each point: its first words and length."""
+        back = self.equal(i - 1, j - 1, np.minimum(i - self.low[0][e], j - self.low[1][e]), -1)
+        ahead = self.equal(i, j, np.minimum(self.high[0][e] - i, self.high[1][e] - j), 1)
+        return i - back, j - back, back + ahead
+
+    def resumed(self, e: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The smallest edit from each point on after which both go on with equal words: whether there is one, and its sizes."""
+        gap, last = self.params.gap, self.params.resume - 2
+        twos_of = sorted({*range(0, last, 2), last})  # two words at a time: pair r are the words r and r + 1 from the point on
+        edits = [(x, t - x) for t in range(1, 2 * gap + 1) for x in range(max(0, t - gap), min(t, gap) + 1)]
+        reach = np.arange(gap + self.params.resume - 1)[:, None]
+        best = np.full(len(i), -1, np.int16)
+        for k in range(0, len(i), _POINTS):
+            part = slice(k, k + _POINTS)
+            sides = []
+            for side, (place, twos) in enumerate(((i[part], self.own_twos), (j[part], self.other_twos))):
+                left = self.high[side][e[part]] - place if step > 0 else place - self.low[side][e[part]]
+                there = reach + 2 <= left
+                at = place + reach if step > 0 else place - 2 - reach
+                sides.append((twos[np.where(there, at, 0)], there))
+            (a, in_a), (b, in_b) = sides
+            found = best[part]
+            for n in range(len(edits) - 1, -1, -1):  # the smallest is written last
+                x, y = edits[n]
+                hit = in_a[x + last] & in_b[y + last]
+                for r in twos_of:
+                    hit &= a[x + r] == b[y + r]
+                np.copyto(found, n, where=hit)
+        there = best >= 0
+        x, y = np.array(edits).T[:, best]
+        return there, x, y
+
+
+#: Points handled at once.
+_POINTS = 4096
+
+
+def _twos(words: np.ndarray) -> np.ndarray:
+    """Every two adjacent words as one number."""
+    out = words.astype(U64)
+    out[:-1] |= words[1:].astype(U64) << U64(32)
+    return out if len(out) else np.zeros(1, U64)
+
+
+def _seeded(pairs: _Pairs, e: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """``e, i, j, n``: the maximal equal stretches that seeds lie in, in the order of their first seeds."""
+    seed = pairs.params.seed
+    inside = (i >= pairs.low[0][e]) & (j >= pairs.low[1][e]) & (i + seed <= pairs.high[0][e]) & (j + seed <= pairs.high[1][e])
+    e, i, j = e[inside], i[inside], j[inside]
+    holds = pairs.equal(i, j, np.full(len(i), seed), 1) == seed  # the others: another row of the same doc_id
+    e, i, j = e[holds], i[holds], j[holds]
+    order = np.lexsort((i, j - i, e))
+    e, i, j = e[order], i[order], j[order]
+    # only up to the next seed on the same diagonal, so that no word is compared for every seed
+    next_ = np.full(len(e), np.iinfo(np.int64).max)
+    follows = (e[1:] == e[:-1]) & (j[1:] - i[1:] == j[:-1] - i[:-1])
+    next_[:-1][follows] = (i[1:] - i[:-1])[follows]
+    most = np.minimum(np.minimum(pairs.high[0][e] - i, pairs.high[1][e] - j), np.maximum(next_, seed))
+    run = pairs.equal(i, j, most, 1)
+    starts = np.ones(len(e), bool)
+    starts[1:] = run[:-1] < next_[:-1]
+    head = np.flatnonzero(starts)
+    last = np.append(head[1:], len(e)) - 1
+    order = np.lexsort((j[head], i[head], e[head])) if len(head) else head
+    head, last = head[order], last[order]
+    e, i, j, n = e[head], i[head], j[head], i[last] + run[last] - i[head]
+    back = pairs.equal(i - 1, j - 1, np.minimum(i - pairs.low[0][e], j - pairs.low[1][e]), -1)
+    return e, i - back, j - back, n + back
+
+
+def _segments(pairs: _Pairs, e: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``e, i, j, n``: maximal equal stretches that seeds and what follows edits lie in, by extent and place.
+
+    From each stretch that seeds are in, in their order, edits are followed in both directions up to a stretch that is known.
+    """
+    e, i, j, n = _seeded(pairs, e, i, j)
+    count = len(e)
+    number = {key: k for k, key in enumerate(zip(e.tolist(), (j - i).tolist(), i.tolist()))}
+    size, rows = count, [(e, i, j, n)]
+    onward: list[dict[int, int]] = [{}, {}]
+    for way, step in enumerate((1, -1)):
+        ids, at, done = np.arange(count), (e, i, j, n), set(range(count))
+        while len(ids):
+            e1, i1, j1, n1 = at
+            ends = (i1 + n1, j1 + n1) if step > 0 else (i1, j1)
+            there, x, y = pairs.resumed(e1, *ends, step)
+            less = 0 if step > 0 else 1
+            e1, i1, j1 = e1[there], (ends[0] + step * x - less)[there], (ends[1] + step * y - less)[there]
+            i1, j1, n1 = pairs.stretches(e1, i1, j1)
+            fresh, further = [], []
+            for k, (source, key) in enumerate(zip(ids[there].tolist(), zip(e1.tolist(), (j1 - i1).tolist(), i1.tolist()))):
+                target = number.setdefault(key, len(number))
+                if target == size:
+                    fresh.append(k)
+                    size += 1
+                onward[way][source] = target
+                if target not in done:
+                    done.add(target)
+                    further.append((k, target))
+            rows.append((e1[fresh], i1[fresh], j1[fresh], n1[fresh]))
+            ids, chosen = np.array([t for _, t in further], np.int64), [k for k, _ in further]
+            at = (e1[chosen], i1[chosen], j1[chosen], n1[chosen])
+    e, i, j, n = (np.concatenate(x) for x in zip(*rows))
+    known = np.zeros(len(e), bool)
+    known[:count] = True
+    seen: set[int] = set()
+    for start in sorted(onward[0].keys() | onward[1].keys()):
+        if start >= count:
+            break
+        if start in seen:
+            continue
+        seen.add(start)
+        for ahead in onward:
+            k = ahead.get(start)
+            while k is not None and k not in seen:
+                seen.add(k)
+                k = ahead.get(k)
+    known[list(seen)] = True
+    at = np.flatnonzero(known)
+    at = at[np.lexsort((n[at], j[at], i[at], e[at]))]
+    return e[at], i[at], j[at], n[at]
 
 
 def _jaccard_holds(a: np.ndarray, b: np.ndarray, params: Passages) -> bool:
@@ -188,68 +305,119 @@ def _jaccard_holds(a: np.ndarray, b: np.ndarray, params: Passages) -> bool:
 
 
 def _chains(segments, params: Passages):
-    """Segments that follow each other in both texts with at most ``gap`` words between them."""
-    open_: list[list[tuple[int, int, int]]] = []
-    done = []
+    """Segments that follow each other in both texts with at most ``gap`` words between them.
+
+    They come by place. A segment goes on the oldest chain that it can; such a chain ends on a diagonal within ``gap``.
+    """
+    gap = params.gap
+    chains: list[list[tuple[int, int, int]]] = []
+    ending: dict[int, list[tuple[int, int, int, int]]] = {}  # by diagonal: chain, last segment's places, its end
     for i, j, n in segments:
-        best = None
-        for chain in open_:
-            pi, pj, pn = chain[-1]
-            over = max(0, pi + pn - i, pj + pn - j)
-            if pi < i and pj < j and over < n and i + over - pi - pn <= params.gap and j + over - pj - pn <= params.gap:
-                best = (chain, over)
-                break
+        best, d, past = None, j - i, False
+        for there in range(d - gap, d + gap + 1):
+            for last in ending.get(there, ()):
+                k, pi, pj, end = last
+                if end + gap < i:
+                    past = True
+                elif pj < j and pi < i and (best is None or k < best[0]):
+                    over = max(0, end - i, end + there - j)
+                    if over < n and i + over - end <= gap and j + over - end - there <= gap:
+                        best = k, over, there, last
+            if past:
+                ending[there] = [x for x in ending[there] if x[3] + gap >= i]
+                past = False
         if best:
-            best[0].append((i + best[1], j + best[1], n - best[1]))
+            k, over, there, last = best
+            chains[k].append((i + over, j + over, n - over))
+            ending[there].remove(last)
         else:
-            open_.append([(i, j, n)])
-        still = [c for c in open_ if c[-1][0] + c[-1][2] + params.gap >= i]
-        done += [c for c in open_ if c[-1][0] + c[-1][2] + params.gap < i]
-        open_ = still
-    return done + open_
+            k, over = len(chains), 0
+            chains.append([(i, j, n)])
+        ending.setdefault(d, []).append((k, i + over, j + over, i + n))
+    return chains
 
 
-def repeats(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], params: Passages) -> list[tuple[int, int, int, int]]:
-    """``(place in a, words, place in b, edits)`` of the passages of ``a`` that ``b`` has as well."""
-    out = []
+def _chained(pairs: _Pairs, chain: list[tuple[int, int, int]]):
+    """``(place, words, place of the other, edits)`` of the passages of a chain."""
+    params = pairs.params
     p, less = params.percent, params.shingle - 1
-    for chain in _chains(_segments(a, b, seeds, params), params):
-        common = np.concatenate([[0], np.cumsum([max(0, n - less) for _, _, n in chain])])
-        upto = [(100 + p) * c - p * (i + j + 2 * n - 2 * less) for c, (i, j, n) in zip(common[1:].tolist(), chain)]
-        ahead = np.maximum.accumulate(np.array(upto)[::-1])  # largest of the last 1, 2, ... values
-        k = 0
-        while k < len(chain):
-            i, j, n = chain[k]
-            least = (100 + p) * int(common[k]) - p * (i + j)
-            last = len(chain) - 1 - int(np.searchsorted(ahead, least, side="left"))
-            end, other = (chain[last][0] + chain[last][2], chain[last][1] + chain[last][2]) if last > k else (i + n, j + n)
-            if last <= k or not _jaccard_holds(a[i:end], b[j:other], params):
-                last, end = k, i + n
-            if end - i >= params.seed:
-                out.append((i, end - i, j, last - k))
-            k = last + 1
-    return out
+    common = [0]
+    for _, _, n in chain:
+        common.append(common[-1] + max(0, n - less))
+    upto = [(100 + p) * c - p * (i + j + 2 * n - 2 * less) for c, (i, j, n) in zip(common[1:], chain)]
+    ahead = np.maximum.accumulate(np.array(upto)[::-1])  # largest of the last 1, 2, ... values
+    k = 0
+    while k < len(chain):
+        i, j, n = chain[k]
+        least = (100 + p) * common[k] - p * (i + j)
+        last = len(chain) - 1 - int(np.searchsorted(ahead, least, side="left"))
+        end, other = (chain[last][0] + chain[last][2], chain[last][1] + chain[last][2]) if last > k else (i + n, j + n)
+        if last <= k or not _jaccard_holds(pairs.own[i:end], pairs.other[j:other], params):
+            last, end = k, i + n
+        if end - i >= params.seed:
+            yield i, end - i, j, last - k
+        k = last + 1
+
+
+def repeats(pairs: _Pairs, e: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """``e, i, n, j, edits`` of the passages that texts have in common with the extents their seeds ``e, i, j`` point to."""
+    params = pairs.params
+    e, i, j, n = _segments(pairs, e, i, j)
+    # a chain goes on within the gap, in its place and its diagonal: most segments are alone
+    order = np.lexsort((j - i, e))
+    first = np.ones(len(e), bool)
+    first[1:] = (np.diff(e[order]) > 0) | (np.diff((j - i)[order]) > params.gap)
+    near = np.zeros(len(e), np.int64)
+    near[order] = np.cumsum(first)
+    order = np.lexsort((n, j, i, near))
+    e, i, j, n, near = e[order], i[order], j[order], n[order], near[order]
+    at = near * (len(pairs.own) + params.gap + 1) + i
+    first[1:] = at[1:] > np.maximum.accumulate(at + n)[:-1] + params.gap
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, len(e)))
+    alone = begin[size == 1]
+    alone = alone[n[alone] >= params.seed]
+    found = []
+    for b, count in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
+        part = slice(b, b + count)
+        for chain in _chains(zip(i[part].tolist(), j[part].tolist(), n[part].tolist()), params):
+            if len(chain) > 1:
+                found += [(e[b], *x) for x in _chained(pairs, chain)]
+            elif chain[0][2] >= params.seed:
+                found.append((e[b], chain[0][0], chain[0][2], chain[0][1], 0))
+    more = np.array(found, np.int64).reshape(-1, 5).T
+    own = (e[alone], i[alone], n[alone], j[alone], np.zeros(len(alone), np.int64))
+    return [np.concatenate(x) for x in zip(own, more)]
 
 
 def _found(params: Passages):
     names = ["doc_id", "first_word", "n_words", "kept_doc_id", "kept_word", "edits"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
         for batch in slices(batches, "text"):
             buffer, offsets = text_bytes(batch.column("text"))
             _, _, hashes, first = words(buffer, offsets, BLANK)
-            own = _short(hashes)
-            out = []
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                a = own[first[i] : first[i + 1]]
-                for pair in batch.column("pairs")[i].as_py():
-                    for extent in pair["extents"]:
-                        b = np.array(extent["words"], np.int32).view(np.uint32)
-                        seeds = [(s["word"], s["kept_word"] - extent["at"]) for s in extent["seeds"]]
-                        for at, n, there, edits in repeats(a, b, seeds, params):
-                            out.append((doc, at, n, pair["kept_doc"], there + extent["at"], edits))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+            by_doc = batch.column("pairs")
+            kept_doc, by_pair = by_doc.flatten().flatten()
+            at, by_extent, other = by_pair.flatten().flatten()
+            pair = np.repeat(np.arange(len(kept_doc)), np.diff(_bounds(by_pair)))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(_bounds(by_doc)))[pair]
+            extent = np.repeat(np.arange(len(pair)), np.diff(_bounds(by_extent)))
+            word, kept_word = (x.to_numpy().astype(np.int64) for x in by_extent.flatten().flatten())
+            at, bounds = at.to_numpy().astype(np.int64), _bounds(other)
+            pairs = _Pairs(_short(hashes), other.flatten().to_numpy().view(np.uint32), (first[row], bounds[:-1]), (first[row + 1], bounds[1:]), params)
+            e, i, n, j, edits = repeats(pairs, extent, word + first[row[extent]], kept_word - at[extent] + bounds[extent])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(row[e])),
+                    pa.array(i - first[row[e]], pa.int32()),
+                    pa.array(n, pa.int32()),
+                    kept_doc.take(pa.array(pair[e])),
+                    pa.array(j - bounds[e] + at[e], pa.int32()),
+                    pa.array(edits, pa.int32()),
+                ],
+                names,
+            )
 
     return run
 
@@ -258,30 +426,30 @@ def edited_passages(docs: DataFrame, params: Passages = Passages()) -> DataFrame
     """``doc_id, first_word, n_words, kept_doc_id, kept_word, edits`` of passages of ``docs(doc_id, text)`` that occur before.
 
     ``docs`` has neither null ids nor null texts. Passages may overlap; each is given with the first occurrence of a
-    seed in it. ``edits`` counts the places where the occurrences differ.
+    seed in it. ``edits`` counts the places where the occurrences differ. Rows with the same doc_id may give a passage twice.
     """
     spark = docs.sparkSession
     mark = staged_so_far(spark)
-    # a few bytes each; most occur once and go in the join with the heads
-    seeds = stage(docs.mapInArrow(_seeds(params), "hash long, doc long, word int"), "seeds")
-    heads = seeds.groupBy("hash").agg(F.min(F.struct("doc", "word")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = stage(heads.select("hash", F.col("head.doc").alias("kept_doc"), F.col("head.word").alias("kept_word")), "seed-heads")
+    # a few bytes each; one sort brings the occurrences of a seed together, the first one in front
+    seeds = docs.mapInArrow(_seeds(params), "hash long, doc long, word int")
+    order = W.partitionBy("hash").orderBy("doc", "word").rowsBetween(W.unboundedPreceding, W.currentRow)
+    heads = [F.first(name).over(order).alias(f"kept_{name}") for name in ("doc", "word")]
     pairs = (
-        seeds.join(heads, "hash")
+        seeds.select("doc", "word", *heads)
         .where("doc != kept_doc or word != kept_word")
         .groupBy("doc", "kept_doc")
         .agg(F.collect_set(F.struct("word", "kept_word")).alias("seeds"))
     )
     pairs = stage(pairs, "seed-pairs")
     release(spark, mark, pairs)
-    there = docs.select(F.col("doc_id").alias("kept_doc"), "text")
-    extents = pairs.join(there, "kept_doc").select("doc", "kept_doc", "text", "seeds")
+    # both joins take the texts by doc_id, from one shuffle
+    extents = pairs.join(docs, pairs.kept_doc == docs.doc_id).select("doc", "kept_doc", "text", "seeds")
     extents = extents.mapInArrow(_references(params), f"doc long, kept_doc long, extents {_EXTENTS_SPARK}")
     by_doc = extents.groupBy("doc").agg(F.collect_list(F.struct("kept_doc", "extents")).alias("pairs"))
     rows = docs.join(by_doc, docs.doc_id == by_doc.doc).select("doc_id", "text", "pairs")
     return rows.mapInArrow(
         _found(params), "doc_id long, first_word int, n_words int, kept_doc_id long, kept_word int, edits int"
-    ).distinct()
+    )
 
 
 def joined(passages: DataFrame) -> DataFrame:

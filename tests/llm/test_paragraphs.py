@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftline.llm.paragraphs import Paragraphs, cuts, remove_repeats, repeated_passages
+from siftline.llm.paragraphs import Paragraphs, _paragraphs, cuts, remove_repeats, repeated_passages
 from siftline.llm.tokens import BLANK, mix, text_bytes, words
 
 SCHEMA = "doc_id long, text string"
@@ -143,3 +143,14 @@ def test_cuts_depend_on_nearby_words_only():
     two = {c - 1 for c in cuts(h2, f2, 5).tolist()}
     inside = set(range(6, 90))
     assert one & inside == two & inside and len(one & inside) > 3
+
+
+def test_copies_meet_others_once_for_each_slice():
+    rnd = random.Random(11)
+    text = " ".join(f"q{rnd.randrange(10**6)}" for _ in range(60))
+    batch = pa.record_batch({"doc_id": pa.array(range(500)), "text": pa.array([text] * 500)})
+    rows = pa.Table.from_batches(_paragraphs(Paragraphs())(iter([batch])))
+    key, kind = rows["key"].to_numpy(), rows["class"].to_numpy()
+    bands = key & 15 != 15
+    assert bands.sum() == Paragraphs().bands * len(set(kind.tolist())) and (~bands).sum() == 500 * len(set(kind.tolist()))
+    assert len(set(key[~bands].tolist())) > 400

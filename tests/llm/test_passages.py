@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from siftline.llm.paragraphs import all_passages, remove_repeats
-from siftline.llm.passages import Passages, winnowed
+from siftline.llm.passages import Passages, _chains, winnowed
 
 SCHEMA = "doc_id long, text string"
 
@@ -59,3 +59,41 @@ def test_every_window_has_a_seed():
     at = winnowed(runs, begin, Passages().window).tolist()
     assert at[0] == int(np.argmin(runs[:5])) and at[1] >= 5
     assert all(5 + k + int(np.argmin(runs[5 + k : 17 + k])) in at for k in range(395 - 11))
+
+
+def plain_chains(segments, gap):
+    """The rule in words: the oldest chain that a segment goes on."""
+    chains = []
+    for i, j, n in segments:
+        for chain in chains:
+            pi, pj, pn = chain[-1]
+            over = max(0, pi + pn - i, pj + pn - j)
+            if pi < i and pj < j and over < n and i + over - pi - pn <= gap and j + over - pj - pn <= gap:
+                chain.append((i + over, j + over, n - over))
+                break
+        else:
+            chains.append([(i, j, n)])
+    return chains
+
+
+def test_chains_are_those_of_the_plain_rule():
+    rnd = random.Random(4)
+    for _ in range(200):
+        segments = sorted({(rnd.randrange(150), rnd.randrange(60), rnd.randint(1, 30)) for _ in range(rnd.randint(0, 60))})
+        assert sorted(_chains(segments, Passages())) == sorted(plain_chains(segments, Passages().gap))
+
+
+def test_chains_look_at_near_diagonals_only():
+    class Counted(int):
+        compared = 0
+
+        def __add__(self, other):
+            Counted.compared += 1
+            return int(self) + int(other)
+
+        __radd__ = __add__
+
+    # a word said again and again: every place goes with the same place of the other text
+    segments = [(i, 5000 - 40 * i, Counted(60)) for i in range(120)]
+    assert len(_chains(segments, Passages())) == 120
+    assert Counted.compared < 20 * 120
