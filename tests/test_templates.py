@@ -1,10 +1,13 @@
+import os
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from siftline.operators import templates as T
 from siftline.operators.parse import parse
+from siftline.session import discard, stage
 from pyspark.sql import functions as F
 
 
@@ -140,3 +143,103 @@ def test_tokens_are_numbered_by_leaf():
     assert (rows == 0).tolist() == [[False, True, False], [False, False, True], [False, False, False]]
     rows, words = T._numbered(pd.Series(["", "x"]))
     assert [[words[t] for t in r] for r in rows] == [[""], ["x"]]
+
+
+def rounds_by_hand(rows, branch):
+    """What each template of a leaf joined, and the templates made; rows of (id, tokens) by id."""
+    width = len(rows[0][1])
+    given = 0 if branch == T.WILDCARD or width <= 2 else 1
+    live, able, joined, led = {i: list(t) for i, t in rows}, {i for i, _ in rows}, {}, {}
+    equal = lambda a, b: "".join("01"[x == y and x != T.WILDCARD] for x, y in zip(a, b))
+    while True:
+        first, near = {}, {}
+        for i, tokens in live.items():
+            for key in enumerate(tokens):
+                first.setdefault(key, i)
+        for i in [i for i in live if i in able]:
+            names = [first[p, t] for p, t in enumerate(live[i]) if p >= given and t != T.WILDCARD and first[p, t] != i]
+            if not names or (len(names) + given) / width < T.SIMILARITY:
+                able.discard(i)
+                continue
+            best = sorted(set(names), key=lambda c: (-names.count(c), c))[: T.COMPARED]
+            masks = [(c, equal(live[i], live[c])) for c in best]
+            near[i] = [(c, m) for c, m in masks if m.count("1") / width >= T.SIMILARITY]
+        near = {i: found for i, found in near.items() if found}
+        if not near:
+            return joined, {i: t for i, t in led.items() if i not in joined}
+        groups = {}
+        for i, found in near.items():
+            found = [x for x in found if x[0] not in near]
+            if found:
+                c, mask = min(found, key=lambda x: (-x[1].count("1"), x[0]))
+                groups.setdefault(c, []).append((i, mask))
+        for c, members in groups.items():
+            masks, chosen = [m for _, m in members], "1" * width
+            for mask in sorted(set(masks), key=lambda m: (masks.count(m), m.count("1"), m), reverse=True):
+                narrower = "".join(min(x) for x in zip(chosen, mask))
+                if narrower.count("1") / width < T.SIMILARITY:
+                    break
+                chosen = narrower
+            joined |= {i: c for i, m in members if all(b == "1" for a, b in zip(chosen, m) if a == "1")}
+            live[c] = [t if b == "1" else T.WILDCARD for t, b in zip(live[c], chosen)]
+            led[c] = " ".join(live[c])
+        live = {i: t for i, t in live.items() if i not in joined and (i in able or i in groups)}
+
+
+@pytest.mark.parametrize("many", [1, 1 << 30])
+def test_leaves_of_a_group_do_their_rounds_by_themselves(monkeypatch, many):
+    monkeypatch.setattr(T, "MANY_TEMPLATES", many)
+    monkeypatch.setattr(T, "CELLS", 40)
+    rng, merged = random.Random(4), 0
+    for width, n, branches in ((1, 9, 1), (2, 30, 2), (3, 60, 3), (5, 150, 1), (5, 150, 3), (9, 120, 2)):
+        ids, leaves = iter(rng.sample(range(1 << 40), n)), {}
+        for text in {" ".join(rng.choice(["a", "b", "c", "d", T.WILDCARD, f"x{rng.randrange(40)}"]) for _ in range(width)) for _ in range(n)}:
+            leaves.setdefault([T.WILDCARD, "A", "B"][rng.randrange(branches)], []).append((next(ids), text.split(" ")))
+        rows, expected = [], set()
+        for branch, leaf in leaves.items():
+            leaf = sorted((i, t if branch == T.WILDCARD else [branch, *t[1:]]) for i, t in leaf)
+            leaf = [x for k, x in enumerate(leaf) if x[1] not in [t for _, t in leaf[:k]]]
+            rows += [{"id": i, "n_tokens": width, "branch": branch, "template": " ".join(t), "able": True} for i, t in leaf]
+            joined, made = rounds_by_hand(leaf, branch)
+            expected |= {(i, c, None) for i, c in joined.items()} | {(i, None, t) for i, t in made.items()}
+        rng.shuffle(rows)
+        got = T._leaf_rounds(pa.Table.from_pylist(rows))
+        assert {(r["id"], r["rep"], r["template"]) for r in got.to_pylist()} == expected
+        merged += len(expected)
+    assert merged > 100
+
+
+def test_templates_without_an_id_say_nothing():
+    texts = {7: "a b c", 9: "a b d", None: "a b e"}
+    rows = [{"id": i, "n_tokens": 3, "branch": "a", "template": t, "able": True} for i, t in texts.items()]
+    assert T._leaf_rounds(pa.Table.from_pylist(rows)).to_pylist() == [
+        {"id": 9, "rep": 7, "template": None}, {"id": 7, "rep": None, "template": "a b <*>"},
+    ]
+
+
+def test_only_merged_templates_are_carried_to_the_lines(lines, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(T, "stage", lambda df, name: staged.setdefault(name, []).append(out := stage(df, name)) or out)
+    monkeypatch.setattr(T, "discard", lambda *tables: None)
+    texts = ["a long line of its own", "user ann went home", " user  bob went\thome ", "code 7", "code 8", "", None]
+    got = T.assign(lines(texts), "raw", max_broadcast_bytes=0).orderBy("seq").collect()
+    assert [(r.raw, r.template, r.cluster_id) for r in got] == [
+        (texts[0], texts[0], 1), (texts[1], "user <*> went home", 2), (texts[2], "user <*> went home", 2),
+        (texts[3], "code <*>", 3), (texts[4], "code <*>", 3), ("", "", 4), (None, "", 4),
+    ]
+    mined = staged["mined"][0].collect()
+    assert sorted((r.n, r.template or "") for r in mined) == [(1, ""), (1, "user <*> went home"), (1, "user <*> went home"), (2, ""), (2, "")]
+
+
+def test_masking_of_white_space_and_digits_beyond_ascii(spark):
+    marks = [chr(i) for i in (9, 10, 13, 28, 31, 32, 48, 0x7F, 0x85, 0xA0, 0xA1, 0x167F, 0x1680, 0x2003, 0x2029, 0x3000, 0x661)]
+    df = spark.createDataFrame([(f"{a}x{m}{a}1é{m}y{b}",) for m in marks for a in ("", " ") for b in ("", " ")], "t STRING")
+    whole = F.regexp_replace(F.trim(F.regexp_replace("t", r"(?U)\s+", " ")), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", T.WILDCARD)
+    assert df.where(~T.masked(F.col("t")).eqNullSafe(whole)).collect() == []
+
+
+def test_discarded_tables_leave_others(spark):
+    one, two = stage(spark.range(3).toDF("id"), "one"), stage(spark.range(4).toDF("id"), "two")
+    path = one.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    discard(one)
+    assert not os.path.exists(path) and two.count() == 4
